@@ -16,7 +16,7 @@ from turnloom.plans.lineage import cut
 #: Labelled rows the language model is fitted on at most.
 SAMPLE = 40_000
 #: Log odds by which another language must lead the question's.
-LANGUAGE_MARGIN = 7.0
+LANGUAGE_MARGIN = 14.0
 #: Words from which a text without an ending has broken off, with and without other evidence.
 LONG_WORDS, SOME_WORDS = 9, 5
 # Reasons that name the output limit, texts that only hold a place.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,12 +12,31 @@ from turnloom.llm.ngrams import flatten, grams
 
 BITS = 16
 ORDERS = (2, 3, 4)
+#: A capitalised word tells a language from so many occurrences in the sample, with such a share in one language.
+CAPITAL_COUNT, CAPITAL_SHARE = 12, 0.9
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_CAPITALISED = re.compile(r"\b[^\W\d_a-zа-я]+[^\W\d_A-ZА-Я]+\w*")
 
 
-def letters(text: str | None) -> str:
-    """Lower-case letters with single blanks between and around words; '' for null."""
-    return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} " if text else ""
+def letters(text: str | None, telling: frozenset[str] = frozenset()) -> str:
+    """Lower-case letters with single blanks between and around words; '' for null.
+
+    Capitalised words are left out as names unless they are among ``telling``.
+    """
+    if not text:
+        return ""
+    bare = _CAPITALISED.sub(lambda m: m[0] if m[0] in telling else " ", text)
+    words = _NOT_LETTERS.sub(" ", bare.lower()).strip()
+    return f" {words} " if words else ""
+
+
+def telling_capitals(texts: list[str], labels: list[str]) -> frozenset[str]:
+    """Capitalised words that occur often and nearly always in one language (so no names)."""
+    counts: dict[str, Counter] = {}
+    for text, label in zip(texts, labels):
+        for w in set(_CAPITALISED.findall(text)):
+            counts.setdefault(w, Counter())[label] += 1
+    return frozenset(w for w, c in counts.items() if c.total() >= CAPITAL_COUNT and max(c.values()) >= CAPITAL_SHARE * c.total())
 
 
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,12 +60,13 @@ class LanguageModel:
 
     languages: tuple[str, ...]
     weights: np.ndarray
+    telling: frozenset[str] = frozenset()
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log likelihood of each text in each language, up to a constant of the text; 0 for texts without letters."""
         out = np.zeros((len(texts), len(self.languages)))
         if texts:
-            of, at = _features([letters(t) for t in texts])
+            of, at = _features([letters(t, self.telling) for t in texts])
             for k in range(len(self.languages)):
                 out[:, k] = np.bincount(at, self.weights[of, k], len(texts))
         return out
@@ -56,7 +77,8 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2) -> LanguageModel:
     known = tuple(sorted(set(labels)))
     y = np.array([known.index(x) for x in labels])
     kept = np.ones(len(texts), bool)
-    clean = [letters(t) for t in texts]
+    telling = telling_capitals(texts, labels)
+    clean = [letters(t, telling) for t in texts]
     of, at = _features(clean)
     size = len(ORDERS) << BITS
     for _ in range(rounds):
@@ -65,7 +87,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2) -> LanguageModel:
             counts[:, k] = np.bincount(of[(y[at] == k) & kept[at]], minlength=size)
         share = (counts + 0.25) / (counts.sum(0) + 0.25 * size)
         weights = np.log(share) - np.log(share.mean(1, keepdims=True))
-        model = LanguageModel(known, weights.astype("f4"))
+        model = LanguageModel(known, weights.astype("f4"), telling)
         s = np.stack([np.bincount(at, model.weights[of, k], len(texts)) for k in range(len(known))], 1)
         kept = s.max(1) - s[np.arange(len(y)), y] < 5
     return model
