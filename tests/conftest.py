@@ -19,4 +19,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from turnloom.catalog import ship
+
+    ship(s)
     return s

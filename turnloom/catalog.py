@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ["instant_queries"]
 
@@ -17,3 +23,28 @@ def collect(package: str, names: list[str]) -> tuple[dict[str, Callable], dict[s
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_turnloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    file = Path(tempfile.mkdtemp(prefix="turnloom-")) / "turnloom.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(file))
+    context._turnloom_shipped = True
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package shipped first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
