@@ -14,7 +14,7 @@ from turnloom.llm.languages import LanguageModel, fit
 from turnloom.plans.lineage import cut
 
 #: Labelled rows the language model is fitted on at most.
-SAMPLE = 40_000
+SAMPLE = 15_000
 #: Log odds by which another language must lead the question's.
 LANGUAGE_MARGIN = 14.0
 #: Words from which a text without an ending has broken off, with and without other evidence.

@@ -12,6 +12,8 @@ from turnloom.llm.ngrams import flatten, grams
 
 BITS = 16
 ORDERS = (2, 3, 4)
+#: Texts whose n-grams are held at once.
+CHUNK = 1000
 #: A capitalised word tells a language from so many occurrences in the sample, with such a share in one language.
 CAPITAL_COUNT, CAPITAL_SHARE = 12, 0.9
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -65,10 +67,11 @@ class LanguageModel:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log likelihood of each text in each language, up to a constant of the text; 0 for texts without letters."""
         out = np.zeros((len(texts), len(self.languages)))
-        if texts:
-            of, at = _features([letters(t, self.telling) for t in texts])
+        for start in range(0, len(texts), CHUNK):
+            part = [letters(t, self.telling) for t in texts[start : start + CHUNK]]
+            of, at = _features(part)
             for k in range(len(self.languages)):
-                out[:, k] = np.bincount(at, self.weights[of, k], len(texts))
+                out[start : start + CHUNK, k] = np.bincount(at, self.weights[of, k], len(part))
         return out
 
 
@@ -78,16 +81,15 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2) -> LanguageModel:
     y = np.array([known.index(x) for x in labels])
     kept = np.ones(len(texts), bool)
     telling = telling_capitals(texts, labels)
-    clean = [letters(t, telling) for t in texts]
-    of, at = _features(clean)
     size = len(ORDERS) << BITS
     for _ in range(rounds):
         counts = np.zeros((size, len(known)), "f8")
-        for k in range(len(known)):
-            counts[:, k] = np.bincount(of[(y[at] == k) & kept[at]], minlength=size)
+        for start in range(0, len(texts), CHUNK):
+            of, at = _features([letters(t, telling) for t in texts[start : start + CHUNK]])
+            for k in range(len(known)):
+                counts[:, k] += np.bincount(of[((y == k) & kept)[start + at]], minlength=size)
         share = (counts + 0.25) / (counts.sum(0) + 0.25 * size)
-        weights = np.log(share) - np.log(share.mean(1, keepdims=True))
-        model = LanguageModel(known, weights.astype("f4"), telling)
-        s = np.stack([np.bincount(at, model.weights[of, k], len(texts)) for k in range(len(known))], 1)
+        model = LanguageModel(known, (np.log(share) - np.log(share.mean(1, keepdims=True))).astype("f4"), telling)
+        s = model.scores(texts)
         kept = s.max(1) - s[np.arange(len(y)), y] < 5
     return model
