@@ -37,6 +37,13 @@ _REFUSALS = [
     r"я не могу (помочь|ответить|отвечать|обсуждать|делиться)", r"вынужден[аы]? отказаться", r"мне нельзя", r"мне не разрешено", r"противоречит моим", r"я (предпочитаю|предпочту|предпочёл бы) не", r"отказываюсь (отвечать|от ответа)", r"не (стану|буду) (отвечать|обсуждать|раскрывать)", r"не вправе (отвечать|обсуждать|разглашать)",
 ]
 REFUSAL = re.compile("|".join(f"(?:{p})" for p in _REFUSALS), re.I)
+#: One of these stands in every text that ``REFUSAL`` matches.
+_TELLING = [
+    "can't", "can not", "cannot", "won't", "will not", "unable", "not able", "decline", "refuse", "ai ", "language ", "rather not", "permitted", "allowed", "privacy", "should", "something else", "against my", "comfortable", "willing", "no comment",
+    "helfen", "gegen meine", "auskunft", "möchte ich", "befugt", "darf ich", "ablehnen", "verweigern", "kann ich", "no puedo", "en contra de mis", "negarme", "permitido", "prefiero no",
+    "peux pas", "contraire à", "préfère ne", "impossible", "le droit", "je dois", "je refuse", "não posso", "não consigo", "contra as minhas", "prefiro não", "não tenho permissão", "recus",
+    "не могу", "отказ", "нельзя", "не разрешено", "противоречит", "я пред", "не стану", "не буду", "не вправе",
+]
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”»’]*\s+")
 _PLAIN = re.compile(r"[\W_]+")
 _ENDED = r"[.!?。؟][\s\p{Z}\p{C}\"”»’')\]*_`]*$"
@@ -49,8 +56,11 @@ def plain(text: str | None) -> str:
 
 def copies_question(prediction: str, question: str) -> bool:
     """Whether a text holds the question, once or more, and nothing else but a short lead-in before it."""
-    p, q = plain(prediction), plain(question)
-    if not q or q not in p:
+    q = plain(question)
+    if not q or q.rsplit(" ", 1)[-1] not in prediction.lower():
+        return False
+    p = plain(prediction)
+    if q not in p:
         return False
     before, _, after = f" {p} ".partition(f" {q} ")
     if not after.replace(q, " ").strip() and not before.strip():
@@ -60,7 +70,10 @@ def copies_question(prediction: str, question: str) -> bool:
 
 
 def declines(prediction: str) -> bool:
-    """Whether the text's first sentence declines to answer."""
+    """Whether one of the text's first two sentences declines to answer."""
+    low = prediction.lower()
+    if not any(k in low for k in _TELLING):
+        return False
     parts = [s for s in _SENTENCE.split(prediction.strip()) if s.strip()]
     return any(REFUSAL.search(s) for s in parts[:2])
 
@@ -68,7 +81,10 @@ def declines(prediction: str) -> bool:
 def is_empty(text: Column) -> Column:
     """Null, nothing readable, or only a placeholder, in or out of tags."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"<[^<>]*>", " "), r"[^\p{L}\p{N}]+", " "))
-    return F.coalesce((bare == "") | bare.isin(PLACEHOLDERS), F.lit(True))
+    hold = (bare == "") | bare.isin(PLACEHOLDERS)
+    # Without a tag a text of 20 letters and digits is none of these.
+    plainly = ~text.contains("<") & text.rlike(r"(?:[\p{L}\p{N}][^\p{L}\p{N}]*+){20}")
+    return F.coalesce(F.when(plainly, False).otherwise(hold), F.lit(True))
 
 
 def hit_limit(reason: Column) -> Column:
@@ -78,11 +94,14 @@ def hit_limit(reason: Column) -> Column:
 
 def unended(text: Column) -> Column:
     """Whether a text stops without closing punctuation, or with dots that trail off."""
-    return ~text.rlike(_ENDED) | text.rlike(r"[^.…\s](…|\.\.\.)[\s\"”»]*$")
+    end = F.right(text, F.lit(24))
+    shown = F.when(end.rlike(r"[^\s\p{Z}\p{C}\"”»’')\]*_`.…]"), end).otherwise(text)  # the end tells unless it is all closing marks
+    return ~shown.rlike(_ENDED) | shown.rlike(r"[^.…\s](…|\.\.\.)[\s\"”»]*$")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+def has_words(text: Column, n: int) -> Column:
+    """Whether a text has ``n`` words or more."""
+    return text.rlike(r"(?:[\p{L}\p{N}]++[^\p{L}\p{N}]*+){%d}" % n)
 
 
 def continued_texts(texts: DataFrame) -> DataFrame:
@@ -116,7 +135,7 @@ def continued_texts(texts: DataFrame) -> DataFrame:
     last = pairs.where("pending").select("text", "pid").join(heads, "pid", "left").select("text", F.col("head").alias("next"))
     both = pairs.where("text is not null and not pending").select("text", "next").unionByName(last)
     rest = F.expr("substring(next, length(text) + 1)")
-    return both.where(F.col("next").startswith(F.col("text")) & (n_words(rest) >= 2)).select("text").distinct()
+    return both.where(F.col("next").startswith(F.col("text")) & has_words(rest, 2)).select("text").distinct()
 
 
 def limit_spikes(rows: DataFrame) -> DataFrame:
@@ -142,11 +161,11 @@ def defective_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     model = language_model(answers, questions)
     a = answers.select("answer_no", "question_id", "prediction", "completion_tokens", hit_limit(F.col("finish_reason")).alias("limit"), F.lower(F.trim("answer_model")).alias("model"))
     empty = a.where(is_empty(F.col("prediction"))).select("answer_no", F.lit("empty").alias("defect"))
-    read = a.where(~is_empty(F.col("prediction"))).withColumn("open", unended(F.col("prediction")) & (n_words(F.col("prediction")) >= SOME_WORDS))
+    read = a.where(~is_empty(F.col("prediction"))).withColumn("open", unended(F.col("prediction")) & has_words(F.col("prediction"), SOME_WORDS))
     texts = read.where(F.length("prediction") >= 12).groupBy(F.col("prediction").alias("text")).agg(F.max("open").alias("open"))
     cut_short = continued_texts(texts).select(F.col("text").alias("prediction"), F.lit(True).alias("continued"))
     opened = read.where("open").join(cut_short, "prediction", "left").join(limit_spikes(read), ["model", "completion_tokens"], "left")
-    evidence = F.coalesce("continued", F.lit(False)) | F.coalesce("spike", F.lit(False)) | (n_words(F.col("prediction")) >= LONG_WORDS)
+    evidence = F.coalesce("continued", F.lit(False)) | F.coalesce("spike", F.lit(False)) | has_words(F.col("prediction"), LONG_WORDS)
     columns = ["answer_no", "question_id", "prediction", "limit"]
     judged = opened.select(*columns, evidence.alias("broken")).unionByName(read.where("not open").select(*columns, F.lit(False).alias("broken")))
     judged = judged.join(questions.select("question_id", "question", "lang"), "question_id", "left")
@@ -154,14 +173,15 @@ def defective_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = {x: k for k, x in enumerate(model.languages)}
         for b in batches:
-            scores = model.scores(b["prediction"].tolist())
-            own = np.array([at.get(x, -1) for x in b["lang"]])
-            lead = scores.max(1) - scores[np.arange(len(b)), np.maximum(own, 0)] if len(b) else np.zeros(0)
+            which, texts = pd.factorize(b["prediction"])
+            scores, refused = model.scores(list(texts))[which], [declines(t) for t in texts]
+            own = np.array([at.get(x, -1) for x in b["lang"]], "i8")
+            lead = scores.max(1) - scores[np.arange(len(b)), np.maximum(own, 0)]
             out = []
-            for no, text, q, limit, broken, foreign in zip(b["answer_no"], b["prediction"], b["question"], b["limit"], b["broken"], (own >= 0) & (lead > LANGUAGE_MARGIN)):
+            for no, text, q, limit, broken, foreign, k in zip(b["answer_no"], b["prediction"], b["question"], b["limit"], b["broken"], (own >= 0) & (lead > LANGUAGE_MARGIN), which):
                 if isinstance(q, str) and copies_question(text, q):
                     out.append((no, "copies_question"))
-                elif declines(text):
+                elif refused[k]:
                     out.append((no, "refusal"))
                 elif limit or broken:
                     out.append((no, "truncated"))

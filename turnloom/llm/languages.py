@@ -11,7 +11,9 @@ import numpy as np
 from turnloom.llm.ngrams import flatten, grams
 
 BITS = 16
-ORDERS = (2, 3, 4)
+ORDERS = (3, 4)
+#: Bucket of what is no n-gram; it weighs nothing.
+NOTHING = len(ORDERS) << BITS
 #: Texts whose n-grams are held at once.
 CHUNK = 1000
 #: A capitalised word tells a language from so many occurrences in the sample, with such a share in one language.
@@ -41,19 +43,20 @@ def telling_capitals(texts: list[str], labels: list[str]) -> frozenset[str]:
     return frozenset(w for w, c in counts.items() if c.total() >= CAPITAL_COUNT and max(c.values()) >= CAPITAL_SHARE * c.total())
 
 
-def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams and the text each is of."""
+def _features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the bucket of the n-gram at each character (``NOTHING`` across texts), and where each text starts."""
     codes, starts = flatten(texts)
-    owner = np.searchsorted(starts, np.arange(len(codes)), side="right") - 1
-    of, at = [], []
+    blank, out = codes == 0, []
     for k, n in enumerate(ORDERS):
-        h = grams(codes, n, BITS)
-        inside = codes[: len(h)] != 0
+        h = np.full(len(codes), NOTHING, "i8")
+        got = grams(codes, n, BITS).astype("i8") + (k << BITS)
+        across = blank[: len(got)].copy()
         for j in range(1, n):
-            inside &= codes[j : len(h) + j] != 0
-        of.append(h[inside].astype("i8") + (k << BITS))
-        at.append(owner[: len(h)][inside])
-    return np.concatenate(of), np.concatenate(at)
+            across |= blank[j : len(got) + j]
+        got[across] = NOTHING
+        h[: len(got)] = got
+        out.append(h)
+    return out, starts
 
 
 @dataclass(frozen=True)
@@ -68,10 +71,11 @@ class LanguageModel:
         """Log likelihood of each text in each language, up to a constant of the text; 0 for texts without letters."""
         out = np.zeros((len(texts), len(self.languages)))
         for start in range(0, len(texts), CHUNK):
-            part = [letters(t, self.telling) for t in texts[start : start + CHUNK]]
-            of, at = _features(part)
-            for k in range(len(self.languages)):
-                out[start : start + CHUNK, k] = np.bincount(at, self.weights[of, k], len(part))
+            features, at = _features([letters(t, self.telling) for t in texts[start : start + CHUNK]])
+            sums = self.weights[features[0]]
+            for h in features[1:]:
+                sums = sums + self.weights[h]
+            out[start : start + CHUNK] = np.add.reduceat(sums, at[:-1])
         return out
 
 
@@ -81,15 +85,21 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2) -> LanguageModel:
     y = np.array([known.index(x) for x in labels])
     kept = np.ones(len(texts), bool)
     telling = telling_capitals(texts, labels)
-    size = len(ORDERS) << BITS
+    size = NOTHING + 1
     for _ in range(rounds):
         counts = np.zeros((size, len(known)), "f8")
         for start in range(0, len(texts), CHUNK):
-            of, at = _features([letters(t, telling) for t in texts[start : start + CHUNK]])
-            for k in range(len(known)):
-                counts[:, k] += np.bincount(of[((y == k) & kept)[start + at]], minlength=size)
+            features, at = _features([letters(t, telling) for t in texts[start : start + CHUNK]])
+            owner = np.repeat(np.arange(len(at) - 1), np.diff(at)) + start
+            for h in features:
+                own = h[at[0] : at[-1]]
+                for k in range(len(known)):
+                    counts[:, k] += np.bincount(own[((y == k) & kept)[owner]], minlength=size)
+        counts[NOTHING] = 0
         share = (counts + 0.25) / (counts.sum(0) + 0.25 * size)
-        model = LanguageModel(known, (np.log(share) - np.log(share.mean(1, keepdims=True))).astype("f4"), telling)
+        weights = (np.log(share) - np.log(share.mean(1, keepdims=True))).astype("f4")
+        weights[NOTHING] = 0
+        model = LanguageModel(known, weights, telling)
         s = model.scores(texts)
         kept = s.max(1) - s[np.arange(len(y)), y] < 5
     return model
