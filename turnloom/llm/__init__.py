@@ -1,3 +1,3 @@
 """Operators for training text and training vectors. Nothing else in the library imports this package."""
 
-MODULES = ["conversation_queries", "answer_queries", "mojibake_queries"]
+MODULES = ["conversation_queries", "answer_queries", "mojibake_queries", "leakage_queries", "neighbour_queries"]
