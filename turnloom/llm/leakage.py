@@ -27,6 +27,8 @@ Q = 10
 BAND = 64
 #: Shared q-grams that a band must hold: a stretch of 27 characters with one edit keeps 8.
 LEAST = 8
+#: Of a passage's own q-grams a document must share so many: half of them with an edit every 12 characters is 0.12.
+LEAST_PART = 0.08
 #: Three words in a row that this share of the passages (and ``SHARED_LEAST`` of them) have are common wording.
 SHARED, SHARED_LEAST = 0.02, 4
 #: Passages looked for in one pass; more take further passes.
@@ -75,6 +77,7 @@ class Passages:
     texts: list[np.ndarray]  # code points of each squeezed passage
     word_at: list[np.ndarray]  # word of each character
     own: list[np.ndarray]  # own words
+    n_own: np.ndarray  # own q-grams that are indexed
     keys: np.ndarray  # sorted distinct q-grams
     first: np.ndarray  # where each q-gram's postings start
     item: np.ndarray
@@ -115,7 +118,7 @@ def index(rows: list[tuple[int, str | None]], common: set[str]) -> Passages:
     item, place, keys, counts = item[keep], place[keep], keys[rare], counts[rare]
     sieve = np.zeros(1 << _SIEVE, bool)
     sieve[keys >> np.uint64(_BITS - _SIEVE)] = True
-    return Passages(ids, texts, word_at, own, keys, np.concatenate([[0], np.cumsum(counts)]).astype("i8"), item, place, sieve)
+    return Passages(ids, texts, word_at, own, np.bincount(item, minlength=len(ids)), keys, np.concatenate([[0], np.cumsum(counts)]).astype("i8"), item, place, sieve)
 
 
 def _aligned(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[np.ndarray, tuple[int, int, int, int]]:
@@ -211,9 +214,9 @@ def find_in(batch: pd.DataFrame, passages: Passages) -> list[tuple[int, int, flo
     edges = np.flatnonzero(np.diff(pair, prepend=-1, append=-2))
     out = []
     for a, b in zip(edges[:-1], edges[1:]):
-        if b - a < LEAST or _best_band(at[a:b] - place[a:b], place[a:b])[0] < LEAST:
-            continue
         d, i = int(doc[a]), int(item[a])
+        if b - a < LEAST or len(np.unique(place[a:b])) < LEAST_PART * passages.n_own[i] or _best_band(at[a:b] - place[a:b], place[a:b])[0] < LEAST:
+            continue
         share = leaked_share(passages.texts[i], passages.word_at[i], passages.own[i], codes[starts[d] : starts[d + 1] - 1], place[a:b], at[a:b])
         if share >= PART:
             out.append((batch["doc_id"].iat[d], passages.ids[i], share))
