@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["instant_queries"]
+MODULES = ["algebra_queries", "instant_queries"]
 
 
 def collect(package: str, names: list[str]) -> tuple[dict[str, Callable], dict[str, str]]:
