@@ -56,16 +56,25 @@ def clean(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(v, ",", " "), r"\s+", " "))
 
 
+def _cleaned_parse(v: Column) -> Column:
+    pattern = precision = None
+    for shape, form, _, unit in FORMS:
+        fits = v.rlike("(?i)" + shape)
+        pattern = F.when(fits, form) if pattern is None else pattern.when(fits, form)
+        precision = F.when(fits, unit) if precision is None else precision.when(fits, unit)
+    # Numbers first read as month and day may be day and month.
+    second = F.try_to_timestamp(F.when(v.rlike(FORMS[6][0]), v), F.lit(FORMS[6][1]))
+    start = F.coalesce(F.try_to_timestamp(v, pattern), second).cast("timestamp_ntz")
+    return F.struct(start.alias("start"), precision.alias("precision"))
+
+
 def parsed(value: Column) -> Column:
     """struct(start TIMESTAMP_NTZ, precision) of an absolute time; null if it has none of the forms or is impossible."""
     v = clean(value)
-    v = F.when(v.rlike("(?i) (am|pm) "), F.regexp_replace(F.regexp_replace(v, "(?i) am ", " AM "), "(?i) pm ", " PM ")).otherwise(v)
-    found = []
-    for shape, pattern, _, precision in FORMS:
-        fits = v.rlike("(?i)" + shape)
-        at = F.try_to_timestamp(F.when(fits, v), F.lit(pattern)).cast("timestamp_ntz")
-        found.append(F.when(at.isNotNull(), F.struct(at.alias("start"), F.lit(precision).alias("precision"))))
-    return F.coalesce(*found)
+    v = F.regexp_replace(F.regexp_replace(v, "(?i) am ", " AM "), "(?i) pm ", " PM ")
+    # A lambda binds the cleaned text once, so the plan does not repeat it for every form.
+    got = F.filter(F.transform(F.array(v), _cleaned_parse), lambda x: x["start"].isNotNull())
+    return F.get(got, F.lit(0))
 
 
 def end_of(start: Column, precision: Column) -> Column:
