@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.plans.lineage import cut
+
 # Thresholds of relation signals and how a signal's value becomes a gate score (base, slope).
 THRESHOLDS = {"SCENE_SIMILAR": 0.72, "SHARED_ENTITY": 0.25, "STATE_COMPATIBLE": 0.45, "COLLECTION_RELATED": 0.45, "TEMPORAL_NEAR": math.exp(-2.0), "LEXICAL_RARE": 0.50}
 GATES = {"SCENE_SIMILAR": (0.0, 1.0), "SHARED_ENTITY": (0.82, 0.16), "STATE_COMPATIBLE": (0.80, 0.18), "COLLECTION_RELATED": (0.58, 0.18), "TEMPORAL_NEAR": (0.54, 0.20), "LEXICAL_RARE": (0.82, 0.16)}
@@ -49,7 +51,7 @@ def segment(turns: DataFrame, low: int = 4, high: int = 12, threshold: float = 0
 
 def rare_terms(terms: DataFrame, share: float = 0.1) -> DataFrame:
     """(memory_id, term, df): terms of (memory_id, session_id, term) in two sessions at least and ``share`` of them at most (or two)."""
-    w = terms.distinct()
+    w = cut(terms.distinct())
     n = w.select("memory_id", "session_id").distinct().groupBy("memory_id").agg(F.count(F.lit(1)).alias("sessions"))
     df = w.groupBy("memory_id", "term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(n, "memory_id").where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("sessions") * share)))).select("memory_id", "term", "df")
@@ -110,8 +112,6 @@ def uncovered_units(units: DataFrame, facts: DataFrame) -> DataFrame:
 def grouped_hierarchy(leaves: DataFrame, fanout: int) -> DataFrame:
     """(memory_id, parent_id, child_id, level) of a tree over (memory_id, leaf_id) in id order, ``fanout`` to a parent, up to one root per memory."""
     level, out, k = leaves.select("memory_id", F.col("leaf_id").alias("id")), None, 0
-    from turnloom.plans.lineage import cut
-
     while True:
         k += 1
         w = Window.partitionBy("memory_id").orderBy("id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.text import content_terms
 from turnloom.operators import facts as O
+from turnloom.plans.lineage import cut
 from turnloom.plans.text_queries import sql_content
 from turnloom.sources.canonical import FACTS, facts
 from turnloom.sources.tables import table
@@ -173,7 +174,7 @@ def join_shared_value(spark: SparkSession, folder: str) -> DataFrame:
 def join_scene_referent(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of one memory that share two rare terms or more, the six nearest of each by idf."""
     t = table(spark, folder, "turns", "memory_id", "session_id", "raw_text")
-    w = t.select("memory_id", "session_id", F.explode(content_terms(F.col("raw_text"))).alias("term")).distinct()
+    w = cut(t.select("memory_id", "session_id", F.explode(content_terms(F.col("raw_text"))).alias("term")).distinct())
     df = w.groupBy("memory_id", "term").agg(F.count(F.lit(1)).alias("df")).where("df between 2 and 6")
     n = w.select("memory_id", "session_id").distinct().groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
     rare = w.join(df, ["memory_id", "term"]).join(n, "memory_id").select("memory_id", "term", "session_id", F.log(1 + F.col("n") / F.col("df")).alias("idf"))

@@ -5,6 +5,8 @@ Questions whose number is divisible by 20 are the query set; each searches all t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from turnloom.functions import vectors as V
 from turnloom.functions.text import content_terms
 from turnloom.operators import fusion as U
 from turnloom.operators import search as S
+from turnloom.plans.lineage import cut
 from turnloom.plans.text_queries import sql_content
 from turnloom.sources.tables import table
 
@@ -24,8 +27,9 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns, their postings (written once, as every search reads them several times) and the memories' sizes."""
     t = table(spark, folder, "turns", "turn_no", "memory_id", "session_id", "raw_text")
-    post = S.postings(t, "memory_id", "turn_no", "raw_text")
+    post = cut(S.postings(t, "memory_id", "turn_no", "raw_text"))
     return t, post, S.text_sizes(t, post, "memory_id")
 
 
@@ -42,7 +46,11 @@ def agg_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topk_exact(spark: SparkSession, folder: str) -> DataFrame:
-    t, post, _ = _turns(spark, folder)
+    return _exact(spark, folder, _turns(spark, folder))
+
+
+def _exact(spark: SparkSession, folder: str, turns: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    t, post, _ = turns
     return S.exact(asked(spark, folder), post, t.select(F.col("turn_no").alias("id"), F.col("raw_text").alias("text")), K)
 
 
@@ -54,7 +62,7 @@ def topk_bm25(spark: SparkSession, folder: str) -> DataFrame:
 def topk_session_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 with a session as document; a term's tf is the number of the session's turns with it."""
     t = table(spark, folder, "turns", "turn_no", "memory_id", "session_id", "raw_text")
-    per = t.select("memory_id", "session_id", F.explode(content_terms(F.col("raw_text"))).alias("term")).groupBy("memory_id", "session_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    per = cut(t.select("memory_id", "session_id", F.explode(content_terms(F.col("raw_text"))).alias("term")).groupBy("memory_id", "session_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     length = per.groupBy("memory_id", "session_id").agg(F.sum("tf").alias("length"))
     post = per.join(length, ["memory_id", "session_id"]).select(F.col("memory_id").alias("scope"), F.col("session_id").alias("id"), "term", "tf", "length")
     sizes = length.groupBy(F.col("memory_id").alias("scope")).agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("average"))
@@ -116,8 +124,11 @@ def vec_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def channels(spark: SparkSession, folder: str) -> DataFrame:
-    """(query_id, channel, id, score, rank) of exact, BM25 and lexical hits."""
-    return topk_exact(spark, folder).withColumn("channel", F.lit("exact")).unionByName(topk_bm25(spark, folder).withColumn("channel", F.lit("bm25"))).unionByName(topk_lexical_nodes(spark, folder).withColumn("channel", F.lit("lexical")))
+    """(query_id, channel, id, score, rank) of exact, BM25 and lexical hits over one set of postings."""
+    turns = _turns(spark, folder)
+    q, (_, post, sizes) = asked(spark, folder), turns
+    parts = {"exact": _exact(spark, folder, turns), "bm25": S.bm25(q, post, sizes, K), "lexical": S.lexical_hits(q, post, K)}
+    return cut(reduce(DataFrame.unionByName, (p.withColumn("channel", F.lit(c)) for c, p in parts.items())))
 
 
 def win_rrf(spark: SparkSession, folder: str) -> DataFrame:
