@@ -226,7 +226,7 @@ _GF = """lo AS (SELECT question_id AS query_id, arg_min(evidence_turn_ids, answe
  s AS (SELECT *, round(coalesce(hits / nullif(turns, 0), 0), 6) AS precision, round(coalesce(hits / nullif(gold, 0), 0), 6) AS recall, round(CASE WHEN hits = 0 THEN 0 ELSE 2 * (hits / turns) * (hits / gold) / (hits / turns + hits / gold) END, 6) AS f1, hits > 0 AS any_hit, hits = gold AS all_hit FROM b)"""
 _STRATA = f"{_GF}, st AS (SELECT s.*, question_type AS stratum FROM s JOIN questions ON question_id = query_id)"
 _MACRO = "m AS (SELECT stratum, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, count(*) AS n FROM st GROUP BY ALL), mm AS (SELECT * FROM m UNION ALL SELECT 'overall', avg(precision), avg(recall), avg(f1), count(*) FROM st UNION ALL SELECT 'equal_stratum', avg(precision), avg(recall), avg(f1), count(*) FROM m)"
-_MICRO = "mi AS (SELECT stratum, sum(hits) AS h, sum(turns) AS t, sum(gold) AS g FROM st GROUP BY ALL), mk AS (SELECT stratum, round(h / t, 6) AS precision, round(h / g, 6) AS recall, round(2 * (h / t) * (h / g) / (h / t + h / g), 6) AS f1 FROM mi)"
+_MICRO = "mi AS (SELECT stratum, sum(hits) AS h, sum(turns) AS t, sum(gold) AS g FROM st GROUP BY ALL), mk AS (SELECT stratum, round(coalesce(h / nullif(t, 0), 0), 6) AS precision, round(coalesce(h / nullif(g, 0), 0), 6) AS recall, round(CASE WHEN h = 0 THEN 0 ELSE 2 * (h / t) * (h / g) / (h / t + h / g) END, 6) AS f1 FROM mi)"
 
 SQL = {
     "dt_extract": f"SELECT turn_no, {_PH} AS phrase FROM turns",
