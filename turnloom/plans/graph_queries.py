@@ -34,7 +34,7 @@ def _late(spark: SparkSession, folder: str) -> DataFrame:
 def _haystacks(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON row per memory with its first two sessions nested, as benchmark files hold them."""
     t = _late(spark, folder).where("session_id like '%_1' or session_id like '%_2'")
-    item = F.struct("turn_index", F.lower("role").alias("role"), "speaker", "listener", F.col("raw_text").alias("content"))
+    item = F.struct("turn_index", "turn_no", F.lower("role").alias("role"), "speaker", "listener", F.col("raw_text").alias("content"))
     s = t.groupBy("memory_id", "session_id").agg(F.array_sort(F.collect_list(item)).alias("turns"))
     m = s.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("session_id", "turns"))).alias("s"))
     return m.select(F.to_json(F.struct(F.col("memory_id").alias("question_id"), F.col("s.session_id").alias("haystack_session_ids"), F.col("s.turns").alias("haystack_sessions"))).alias("json"))
@@ -55,7 +55,7 @@ def src_ingest(spark: SparkSession, folder: str) -> DataFrame:
 def src_locomo(spark: SparkSession, folder: str) -> DataFrame:
     t = _late(spark, folder).where("session_id = 'session_1'")
     first = t.groupBy("memory_id").agg(F.min("speaker").alias("a"), F.max("speaker").alias("b"))
-    item = F.struct("turn_index", "speaker", F.col("raw_text").alias("text"), F.when(F.col("turn_index") % 5 == 0, "a lamp").alias("blip_caption"))
+    item = F.struct("turn_index", "turn_no", "speaker", F.col("raw_text").alias("text"), F.when(F.col("turn_index") % 5 == 0, "a lamp").alias("blip_caption"))
     s = t.groupBy("memory_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("body"))
     j = s.join(first, "memory_id").select("memory_id", F.to_json(F.create_map(F.lit("speaker_a"), F.col("a"), F.lit("speaker_b"), F.col("b"), F.lit("session_1"), F.col("body"), F.lit("session_1_date_time"), F.lit("x"))).alias("json"))
     return I.dialogue_turns(j, "memory_id", "json")
@@ -511,7 +511,7 @@ QUERIES = {f.__name__: f for f in (
     gb_semantic_validate, gb_span_resolve, gb_fact_dedup, gb_unit_coverage, gb_routing_card, map_child_postings, st_hwm, id_stable,
 )}
 
-_HAY = f"{LATE}, h AS (SELECT *, dense_rank() OVER (PARTITION BY memory_id ORDER BY session_id) - 1 AS ordinal FROM late WHERE session_id LIKE '%_1' OR session_id LIKE '%_2'), hh AS (SELECT *, row_number() OVER (PARTITION BY memory_id, session_id ORDER BY turn_index) - 1 AS pos FROM h)"
+_HAY = f"{LATE}, h AS (SELECT *, dense_rank() OVER (PARTITION BY memory_id ORDER BY session_id) - 1 AS ordinal FROM late WHERE session_id LIKE '%_1' OR session_id LIKE '%_2'), hh AS (SELECT *, row_number() OVER (PARTITION BY memory_id, session_id ORDER BY turn_index, turn_no) - 1 AS pos FROM h)"
 _TREE = "t AS (SELECT 'r' || lpad(CAST(n_regionkey AS VARCHAR), 8, '0') AS p, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS c FROM nation UNION ALL SELECT 'n' || lpad(CAST(c_nationkey AS VARCHAR), 8, '0'), 'c' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer)"
 _WORDS = f"w AS (SELECT DISTINCT memory_id, session_id, unnest({sql_content('raw_text')}) AS term FROM turns)"
 _RARE = f"{_WORDS}, n AS (SELECT memory_id, count(DISTINCT session_id) AS s FROM w GROUP BY ALL), rare AS (SELECT memory_id, term, count(*) AS df FROM w JOIN n USING (memory_id) GROUP BY memory_id, term, s HAVING count(*) >= 2 AND count(*) <= greatest(2, floor(s * 0.1::DOUBLE)))"
@@ -526,7 +526,7 @@ _CHAINS = "n AS (SELECT *, lead(binding_id) OVER w AS next_id, lead(value_key) O
 SQL = {
     "src_json_lme": f"WITH {_HAY} SELECT memory_id, session_id, CAST(pos AS INT) AS turn_index, coalesce(speaker, lower(role), 'unknown') AS speaker, coalesce(lower(role), 'unknown') AS role, coalesce(raw_text, '') AS raw_text FROM hh",
     "src_ingest": f"WITH {_HAY} SELECT 'turn:' || substr(sha256('turn|' || memory_id || '|' || session_id || '|' || pos), 1, 32) AS turn_id, memory_id, CAST(ordinal AS INT) AS ordinal, sha256(coalesce(raw_text, '')) AS content_hash FROM hh",
-    "src_locomo": f"""WITH {LATE}, t AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY turn_index) - 1 AS pos, min(speaker) OVER (PARTITION BY memory_id) AS a, max(speaker) OVER (PARTITION BY memory_id) AS b FROM late WHERE session_id = 'session_1')
+    "src_locomo": f"""WITH {LATE}, t AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY turn_index, turn_no) - 1 AS pos, min(speaker) OVER (PARTITION BY memory_id) AS a, max(speaker) OVER (PARTITION BY memory_id) AS b FROM late WHERE session_id = 'session_1')
  SELECT memory_id, session_id, CAST(pos AS INT) AS turn_index, speaker, CASE WHEN speaker = a THEN b ELSE a END AS listener, coalesce(raw_text, '') || CASE WHEN turn_index % 5 = 0 THEN chr(10) || '[Media shared by ' || speaker || '; caption: a lamp]' ELSE '' END AS raw_text FROM t""",
     "src_evidence_ref": """WITH o AS (SELECT o_orderkey, o_orderkey % 3 <> 0 AS strict, [('session_' || (o_orderkey % 30 + 1), o_custkey % 20)] || CASE WHEN o_orderkey % 3 = 0 THEN [('session_2', 3)] ELSE [('session_1', 0)] END AS r FROM orders), u AS (SELECT o_orderkey, strict, unnest(list_distinct(r)) AS x FROM o)
  SELECT o_orderkey, strict, count(*) AS n, min(x[1]) AS first_session, CAST(max(x[2]) AS INT) AS last_index FROM u GROUP BY ALL""",
