@@ -11,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["algebra_queries", "text_queries", "search_queries", "fact_queries", "time_queries", "graph_queries", "instant_queries"]
+MODULES = ["algebra_queries", "text_queries", "search_queries", "fact_queries", "time_queries", "graph_queries", "compile_queries", "instant_queries"]
 
 
 def collect(package: str, names: list[str]) -> tuple[dict[str, Callable], dict[str, str]]:
