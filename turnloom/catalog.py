@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import functools
 import importlib
-import tempfile
+import io
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnloom.plans.lineage import shared_dir
+
 MODULES = ["algebra_queries", "text_queries", "search_queries", "fact_queries", "time_queries", "graph_queries", "compile_queries", "instant_queries"]
 
 
@@ -26,16 +28,21 @@ def collect(package: str, names: list[str]) -> tuple[dict[str, Callable], dict[s
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per Spark context."""
+    """Give the executors' Python workers this package, once per Spark context, by way of the shared folder."""
     context = spark.sparkContext
     if getattr(context, "_turnloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    file = Path(tempfile.mkdtemp(prefix="turnloom-")) / "turnloom.zip"
-    with zipfile.ZipFile(file, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(file))
+    at = f"{shared_dir(spark)}/turnloom-{context.applicationId}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(data.getvalue())
+    out.close()
+    context.addPyFile(at)
     context._turnloom_shipped = True
 
 
