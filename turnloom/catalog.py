@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.plans.lineage import shared_dir
 
-MODULES = ["algebra_queries", "text_queries", "search_queries", "fact_queries", "time_queries", "graph_queries", "compile_queries", "instant_queries"]
+MODULES = ["algebra_queries", "text_queries", "search_queries", "fact_queries", "time_queries", "graph_queries", "compile_queries", "region_queries", "instant_queries"]
 
 
 def collect(package: str, names: list[str]) -> tuple[dict[str, Callable], dict[str, str]]:

@@ -89,6 +89,11 @@ def end_of(start: Column, precision: Column) -> Column:
 
 def relative(phrase: Column, anchor: Column) -> Column:
     """struct(start DATE, precision) of a phrase seen from the day ``anchor``; null if it is not relative or names too much."""
+    # A lambda binds both once, so the plan does not repeat them for every form.
+    return F.get(F.transform(F.array(F.struct(phrase.alias("p"), anchor.alias("a"))), lambda x: _relative(x["p"], x["a"])), F.lit(0))
+
+
+def _relative(phrase: Column, anchor: Column) -> Column:
     p = F.regexp_replace(F.lower(F.trim(phrase)), r"\s+", " ")
     a = anchor.cast("date")
     wd = F.weekday(a)
