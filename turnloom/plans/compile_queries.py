@@ -18,6 +18,7 @@ from turnloom.operators import symbolic as Y
 from turnloom.plans import search_queries as SQ
 from turnloom.plans.lineage import shared_dir
 from turnloom.plans.text_queries import _SLOTS, sql_content, sql_terms
+from turnloom.plans.text_queries import SQL as _TEXT
 from turnloom.sources.tables import table
 from turnloom.streaming import jobs as J
 
@@ -269,6 +270,7 @@ SQL = {
  ('order','binding','o1'), ('order','provenance','o1'), ('order','ordering','o1'), ('order','collection','o1'), ('lookup','binding','o1'), ('lookup','provenance','o1')) t(plan, kind, operand_id)""",
     "qc_principals": "WITH t AS (SELECT memory_id, speaker, count(*) AS turns, lower(trim(speaker)) AS l FROM turns WHERE speaker <> '' GROUP BY ALL) SELECT memory_id, speaker, CASE WHEN l = 'assistant' THEN 'assistant' WHEN l IN ('user', 'human', 'ai', 'system', 'tool') THEN 'memory_user' ELSE 'conversation_participant' END AS role, turns, l NOT IN ('user', 'assistant', 'human', 'ai', 'system', 'tool') AS named, CASE WHEN l IN ('user', 'assistant', 'human', 'ai', 'system', 'tool') THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM t",
     "qc_answer_plan": f"WITH k AS ({_SLOTS}), a AS (SELECT DISTINCT question_id, unnest(evidence_turn_ids) AS turn_id FROM answers) SELECT question_id, count(*) AS turns, count(DISTINCT session_id) AS sessions FROM k JOIN a USING (question_id) JOIN (SELECT DISTINCT turn_id, session_id FROM turns) USING (turn_id) WHERE is_duration OR temporal_relation <> '' OR answer_slot = 'date' GROUP BY question_id HAVING count(*) >= 2 AND count(DISTINCT session_id) >= 2",
+    "qc_worksheet_route": "SELECT question_id, CASE WHEN intent = 'sum' THEN 'sum_worksheet' WHEN intent = 'count_distinct' THEN 'direct_count' WHEN intent IN ('mean', 'unit_rate') THEN 'ratio_worksheet' WHEN intent IN ('difference', 'date_difference') THEN 'difference_worksheet' WHEN intent IS NOT NULL THEN 'extreme_worksheet' END AS route FROM (" + _TEXT["str_agg_intent"] + ")",
     "arr_longest_alias": f"""WITH pr AS (SELECT DISTINCT memory_id, speaker, lower(trim(speaker)) AS l FROM turns WHERE speaker <> ''), q AS (SELECT question_id AS query_id, memory_id, ' ' || array_to_string({sql_terms('question')}, ' ') || ' ' AS t FROM questions),
  nm AS (SELECT memory_id, speaker, array_to_string({sql_terms('speaker')}, ' ') AS alias FROM pr WHERE l NOT IN ('user', 'assistant', 'human', 'ai', 'system', 'tool')), h AS (SELECT query_id, speaker, alias FROM q JOIN nm USING (memory_id) WHERE length(alias) > 2 AND contains(t, ' ' || alias || ' ')),
  k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.query_id = h.query_id AND length(o.alias) > length(h.alias) AND contains(' ' || o.alias || ' ', ' ' || h.alias || ' ')))

@@ -329,10 +329,10 @@ def win_degree_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def win_mutual_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of vectors that are each other's nearest within a label, with a cosine of 0.2 or more."""
+    """Pairs of vectors that are each other's nearest, with a cosine of 0.2 or more."""
     from turnloom.operators.search import dense
 
-    e = table(spark, folder, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     best = dense(e.select(F.col("id").alias("query_id"), "vector"), e, 2).where("query_id <> id and score >= 0.2").groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"))
     back = best.select(F.col("query_id").alias("id"), F.col("id").alias("query_id"))
     return best.join(back, ["query_id", "id"], "left_semi").where("query_id < id").select("query_id", "id")
@@ -423,7 +423,7 @@ SQL = {
     "agg_mean_certified": "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY ALL HAVING count(*) >= 3 AND count(*) = count(o_totalprice)",
     "agg_weekly_count": f"WITH {FACTS} SELECT owner_id, count(DISTINCT predicate || isodow(ts)) AS kinds FROM facts WHERE ts IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT predicate) >= 2",
     "win_degree_cap": "WITH e AS (SELECT l_partkey, sum(l_quantity) AS c, l_partkey * 100000 + l_suppkey AS edge_id FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT edge_id, row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, edge_id) AS rank FROM e QUALIFY rank <= 4",
-    "win_mutual_nearest": """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id),
+    "win_mutual_nearest": """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id),
  b AS (SELECT query_id, id FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1) SELECT x.query_id, x.id FROM b x JOIN b y ON x.query_id = y.id AND x.id = y.query_id WHERE x.query_id < x.id""",
     "gb_dedup": f"WITH {_LATE} SELECT turn_id, turn_no FROM late",
     "rt_bind": f"WITH {FACTS}, {_BIND} SELECT * FROM b",

@@ -32,12 +32,11 @@ def _late(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _haystacks(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON row per memory with its first two sessions nested, as benchmark files hold them."""
-    t = _late(spark, folder).where("session_id like '%_1' or session_id like '%_2'")
+    """One JSON row per session, its turns nested as benchmark files hold them."""
+    t = _late(spark, folder)
     item = F.struct("turn_index", "turn_no", F.lower("role").alias("role"), "speaker", "listener", F.col("raw_text").alias("content"))
     s = t.groupBy("memory_id", "session_id").agg(F.array_sort(F.collect_list(item)).alias("turns"))
-    m = s.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("session_id", "turns"))).alias("s"))
-    return m.select(F.to_json(F.struct(F.col("memory_id").alias("question_id"), F.col("s.session_id").alias("haystack_session_ids"), F.col("s.turns").alias("haystack_sessions"))).alias("json"))
+    return s.select(F.to_json(F.struct(F.col("memory_id").alias("question_id"), F.array("session_id").alias("haystack_session_ids"), F.array("turns").alias("haystack_sessions"))).alias("json"))
 
 
 def src_json_lme(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +52,7 @@ def src_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def src_locomo(spark: SparkSession, folder: str) -> DataFrame:
-    t = _late(spark, folder).where("session_id = 'session_1'")
+    t = _late(spark, folder).withColumn("memory_id", F.concat_ws("/", "memory_id", "session_id"))
     first = t.groupBy("memory_id").agg(F.min("speaker").alias("a"), F.max("speaker").alias("b"))
     item = F.struct("turn_index", "turn_no", "speaker", F.col("raw_text").alias("text"), F.when(F.col("turn_index") % 5 == 0, "a lamp").alias("blip_caption"))
     s = t.groupBy("memory_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("body"))
@@ -88,9 +87,8 @@ def src_by_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def src_sqlite(spark: SparkSession, folder: str) -> DataFrame:
-    """One memory's rows of three tables from one snapshot."""
-    own = F.col("memory_id") == F.lit("m7")
-    f = facts(spark, folder).where(own)
+    """What each memory holds, by owner, from one snapshot."""
+    f = facts(spark, folder)
     return f.groupBy("memory_id", "owner_id").agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct("session_id").alias("n_sessions"), F.count_distinct("value_key").alias("n_values"))
 
 
@@ -209,7 +207,9 @@ def rt_owner_terminals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "lineitem", "l_partkey", "l_suppkey").where("l_partkey <= 40").distinct()
+    """Parts and suppliers in both directions, each part with the four suppliers it has most of."""
+    li = table(spark, folder, "lineitem", "l_partkey", "l_suppkey", "l_quantity").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("confidence"))
+    e = O.degree_capped(li.withColumn("edge_id", F.col("l_suppkey")), 4, ["l_partkey"]).select("l_partkey", "l_suppkey")
     return G.both_ways(e.select(F.concat("l_partkey", F.lit("-"), "l_suppkey").alias("edge_id"), F.concat(F.lit("p"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("src_id"), F.lit("MEMBER_OF").alias("relation"), F.concat(F.lit("s"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("dst_id")))
 
 
@@ -511,7 +511,7 @@ QUERIES = {f.__name__: f for f in (
     gb_semantic_validate, gb_span_resolve, gb_fact_dedup, gb_unit_coverage, gb_routing_card, map_child_postings, st_hwm, id_stable,
 )}
 
-_HAY = f"{LATE}, h AS (SELECT *, dense_rank() OVER (PARTITION BY memory_id ORDER BY session_id) - 1 AS ordinal FROM late WHERE session_id LIKE '%_1' OR session_id LIKE '%_2'), hh AS (SELECT *, row_number() OVER (PARTITION BY memory_id, session_id ORDER BY turn_index, turn_no) - 1 AS pos FROM h)"
+_HAY = f"{LATE}, hh AS (SELECT *, 0 AS ordinal, row_number() OVER (PARTITION BY memory_id, session_id ORDER BY turn_index, turn_no) - 1 AS pos FROM late)"
 _TREE = "t AS (SELECT 'r' || lpad(CAST(n_regionkey AS VARCHAR), 8, '0') AS p, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS c FROM nation UNION ALL SELECT 'n' || lpad(CAST(c_nationkey AS VARCHAR), 8, '0'), 'c' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer)"
 _WORDS = f"w AS (SELECT DISTINCT memory_id, session_id, unnest({sql_content('raw_text')}) AS term FROM turns)"
 _RARE = f"{_WORDS}, n AS (SELECT memory_id, count(DISTINCT session_id) AS s FROM w GROUP BY ALL), rare AS (SELECT memory_id, term, count(*) AS df FROM w JOIN n USING (memory_id) GROUP BY memory_id, term, s HAVING count(*) >= 2 AND count(*) <= greatest(2, floor(s * 0.1::DOUBLE)))"
@@ -526,14 +526,14 @@ _CHAINS = "n AS (SELECT *, lead(binding_id) OVER w AS next_id, lead(value_key) O
 SQL = {
     "src_json_lme": f"WITH {_HAY} SELECT memory_id, session_id, CAST(pos AS INT) AS turn_index, coalesce(speaker, lower(role), 'unknown') AS speaker, coalesce(lower(role), 'unknown') AS role, coalesce(raw_text, '') AS raw_text FROM hh",
     "src_ingest": f"WITH {_HAY} SELECT 'turn:' || substr(sha256('turn|' || memory_id || '|' || session_id || '|' || pos), 1, 32) AS turn_id, memory_id, CAST(ordinal AS INT) AS ordinal, sha256(coalesce(raw_text, '')) AS content_hash FROM hh",
-    "src_locomo": f"""WITH {LATE}, t AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY turn_index, turn_no) - 1 AS pos, min(speaker) OVER (PARTITION BY memory_id) AS a, max(speaker) OVER (PARTITION BY memory_id) AS b FROM late WHERE session_id = 'session_1')
- SELECT memory_id, session_id, CAST(pos AS INT) AS turn_index, speaker, CASE WHEN speaker = a THEN b ELSE a END AS listener, coalesce(raw_text, '') || CASE WHEN turn_index % 5 = 0 THEN chr(10) || '[Media shared by ' || speaker || '; caption: a lamp]' ELSE '' END AS raw_text FROM t""",
+    "src_locomo": f"""WITH {LATE}, t AS (SELECT * REPLACE (memory_id || '/' || session_id AS memory_id), row_number() OVER (PARTITION BY memory_id, session_id ORDER BY turn_index, turn_no) - 1 AS pos, min(speaker) OVER (PARTITION BY memory_id, session_id) AS a, max(speaker) OVER (PARTITION BY memory_id, session_id) AS b FROM late)
+ SELECT memory_id, 'session_1' AS session_id, CAST(pos AS INT) AS turn_index, speaker, CASE WHEN speaker = a THEN b ELSE a END AS listener, coalesce(raw_text, '') || CASE WHEN turn_index % 5 = 0 THEN chr(10) || '[Media shared by ' || speaker || '; caption: a lamp]' ELSE '' END AS raw_text FROM t""",
     "src_evidence_ref": """WITH o AS (SELECT o_orderkey, o_orderkey % 3 <> 0 AS strict, [('session_' || (o_orderkey % 30 + 1), o_custkey % 20)] || CASE WHEN o_orderkey % 3 = 0 THEN [('session_2', 3)] ELSE [('session_1', 0)] END AS r FROM orders), u AS (SELECT o_orderkey, strict, unnest(list_distinct(r)) AS x FROM o)
  SELECT o_orderkey, strict, count(*) AS n, min(x[1]) AS first_session, CAST(max(x[2]) AS INT) AS last_index FROM u GROUP BY ALL""",
     "src_gold": """WITH g AS (SELECT CASE WHEN answer_no % 50 <> 0 THEN question_id END AS q, evidence_tokens % 40 - 1 AS ti, completion_tokens % 9 AS s0, prompt_tokens % 11 AS s1, evidence_tokens % 13 / 10.0::DOUBLE AS c, answer_no FROM answers), d AS (SELECT *, count(*) OVER (PARTITION BY q, ti, s0) AS n FROM g)
  SELECT answer_no, CASE WHEN q IS NULL THEN 'question_id' WHEN coalesce(ti, -1) < 0 THEN 'turn_index' WHEN coalesce(s0, -1) < 0 THEN 'span_start' WHEN coalesce(s1, -1) <= s0 THEN 'span_end' WHEN NOT coalesce(c BETWEEN 0 AND 1, false) THEN 'confidence' WHEN n > 1 THEN 'duplicate' END AS problem FROM d""",
     "src_by_ids": f"WITH {LATE}, a AS (SELECT answer_no, unnest(evidence_turn_ids) AS turn_id, generate_subscripts(evidence_turn_ids, 1) AS pos FROM answers) SELECT answer_no, string_agg(turn_no::VARCHAR, ',' ORDER BY pos, turn_no) AS turn_nos FROM a JOIN late USING (turn_id) GROUP BY answer_no",
-    "src_sqlite": f"WITH {FACTS} SELECT memory_id, owner_id, count(*) AS n_facts, count(DISTINCT session_id) AS n_sessions, count(DISTINCT value_key) AS n_values FROM facts WHERE memory_id = 'm7' GROUP BY ALL",
+    "src_sqlite": f"WITH {FACTS} SELECT memory_id, owner_id, count(*) AS n_facts, count(DISTINCT session_id) AS n_sessions, count(DISTINCT value_key) AS n_values FROM facts GROUP BY ALL",
     "sink_upsert": f"WITH {LATE} SELECT turn_id, turn_no, content_hash FROM late",
     "sink_delta": """WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), n AS (SELECT DISTINCT 'p' || p AS node_id, CASE WHEN p % 5 = 0 THEN 2 ELSE 1 END AS rev FROM e WHERE p % 7 <> 0 UNION ALL SELECT DISTINCT 's' || s, 1 FROM e),
  w AS (SELECT 's' || s AS node_id, sum(CASE WHEN p = 10 THEN 5 ELSE 1 END) AS weight FROM e WHERE p % 7 <> 0 AND (s <> 3 OR p = 10) GROUP BY ALL) SELECT node_id, rev, CAST(coalesce(weight, 0) AS BIGINT) AS weight FROM n LEFT JOIN w USING (node_id)""",
@@ -554,7 +554,7 @@ SQL = {
  SELECT query_id, node_id, 0 AS depth, score FROM l0 UNION ALL SELECT query_id, node_id, 1, score FROM l1 UNION ALL SELECT query_id, node_id, 2, score FROM l2""",
     "st_affected": f"WITH {_TREE}, b AS (SELECT c AS leaf, p FROM t WHERE c LIKE 'c%' AND CAST(substr(c, 2) AS INT) % 20 = 0), a AS (SELECT leaf, p AS node_id FROM b UNION ALL SELECT leaf, t.p FROM b JOIN t ON t.c = b.p) SELECT node_id, count(*) AS changed_leaves FROM a GROUP BY ALL",
     "rt_owner_terminals": f"WITH {FACTS} SELECT owner_id, binding_id, row_number() OVER (PARTITION BY owner_id ORDER BY value_key DESC, binding_id) AS rank FROM facts QUALIFY rank <= 20",
-    "rt_node_paths": """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS a, 's' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS b FROM lineitem WHERE l_partkey <= 40), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    "rt_node_paths": """WITH RECURSIVE q AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS c FROM lineitem GROUP BY ALL), e AS (SELECT 'p' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS a, 's' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS b FROM q QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, l_suppkey) <= 4), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
  w AS (SELECT DISTINCT a AS source_id, a AS node_id, 0 AS hops, a AS path FROM u WHERE a IN ('p000001', 'p000002') UNION ALL SELECT source_id, u.b, hops + 1, path || '>' || u.b FROM w JOIN u ON u.a = w.node_id WHERE hops < 3)
  SELECT source_id, node_id, min((hops, path))[1] AS hops, min((hops, path))[2] AS path FROM w GROUP BY source_id, node_id""",
     "rt_provenance": f"WITH {LATE}, a AS (SELECT DISTINCT question_id, unnest(evidence_turn_ids) AS turn_id FROM answers) SELECT question_id, count(*) AS turns, min(turn_no) AS first_no FROM a JOIN late USING (turn_id) GROUP BY ALL",
@@ -563,6 +563,10 @@ SQL = {
     "rt_fact_reservoir": f"WITH {_RES} SELECT memory_id, binding_id, rrf, rank FROM rr",
     "rt_active_facts": f"WITH {_RES} SELECT memory_id, operand_id, binding_id, row_number() OVER (PARTITION BY memory_id, operand_id ORDER BY rank) AS k FROM rr QUALIFY k <= 8",
     "rt_seed": f"WITH {SQ._CHANNELS}, g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM c GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM g QUALIFY rank <= 20",
+    "rt_session_router": "WITH b AS (" + SQ.SQL["topk_bm25"] + "), sb AS (" + SQ.SQL["topk_session_bm25"] + ") SELECT b.query_id, b.id FROM b JOIN turns ON turn_no = b.id JOIN sb ON sb.query_id = b.query_id AND sb.id = session_id AND sb.rank <= 2",
+    "rt_session_flood": "WITH sb AS (" + SQ.SQL["topk_session_bm25"] + ") SELECT query_id, turn_no FROM sb JOIN questions q ON question_id = query_id JOIN turns t ON t.memory_id = q.memory_id AND t.session_id = sb.id WHERE rank = 1",
+    "rt_ledger": "WITH c AS (" + SQ.SQL["num_coverage"] + "), s AS (SELECT query_id, id, round(2 * coverage + CASE WHEN regexp_matches(raw_text, '[0-9]') THEN 0.5::DOUBLE ELSE 0 END, 6) AS score FROM c JOIN turns ON turn_no = id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 12",
+    "gb_knn_pairs": "WITH n AS (" + SQ._DENSE.format("").replace("rank <= 10", "rank <= 25") + "), k AS (SELECT query_id, id, score FROM n JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE a.label <> b.label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM k GROUP BY ALL",
     "pack_render": f"WITH {_CAND}, r AS (SELECT query_id, id, row_number() OVER w AS place, CAST(sum(token_cost) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_tokens FROM cand WINDOW w AS (PARTITION BY query_id ORDER BY mandatory DESC, fused DESC, id)) SELECT * FROM r WHERE used_tokens <= 150",
     "gb_rare_terms": f"WITH {_RARE} SELECT memory_id, term, df FROM rare",
     "gb_entities": f"""WITH t AS (SELECT DISTINCT memory_id, session_id, turn_no, unnest(list_transform(list_filter(regexp_extract_all(raw_text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{2,}}$')), lambda w: lower(w))) AS name FROM turns)

@@ -193,7 +193,7 @@ def st_insert_session(spark: SparkSession, folder: str) -> DataFrame:
 def st_publish(spark: SparkSession, folder: str) -> DataFrame:
     """A publication on top of a version that has moved on is refused."""
     v = VersionedTable(spark, f"{shared_dir(spark)}/publish-{uuid.uuid4().hex}")
-    f = facts(spark, folder).select("memory_id", "binding_id").where("memory_id = 'm2'")
+    f = facts(spark, folder).select("memory_id", "binding_id")
     v.publish(f, expected=0)
     try:
         v.publish(f, expected=0)
@@ -282,7 +282,7 @@ SQL = {
     "st_insert_session": f"""WITH w AS (SELECT DISTINCT memory_id, session_id, unnest({sql_content('raw_text')}) AS term FROM turns), s AS (SELECT memory_id, max((ordinal, session_id))[2] AS session_id FROM sessions GROUP BY memory_id), n AS (SELECT memory_id, session_id, count(*) AS n FROM w GROUP BY ALL),
  j AS (SELECT a.memory_id, a.session_id, b.session_id AS nearest, count(*) AS s FROM w a JOIN s ON s.memory_id = a.memory_id AND s.session_id = a.session_id JOIN w b ON b.memory_id = a.memory_id AND b.term = a.term AND b.session_id <> a.session_id GROUP BY ALL)
  SELECT j.memory_id, j.session_id, nearest, round(s / (x.n + y.n - s), 6) AS score FROM j JOIN n x ON x.memory_id = j.memory_id AND x.session_id = j.session_id JOIN n y ON y.memory_id = j.memory_id AND y.session_id = nearest QUALIFY row_number() OVER (PARTITION BY j.memory_id, j.session_id ORDER BY score DESC, nearest) = 1""",
-    "st_publish": f"WITH {FACTS} SELECT memory_id, count(*) AS n, true AS refused FROM facts WHERE memory_id = 'm2' GROUP BY memory_id",
+    "st_publish": f"WITH {FACTS} SELECT memory_id, count(*) AS n, true AS refused FROM facts GROUP BY memory_id",
     "flt_eligible_refine": "SELECT * FROM (" + GQ.SQL["gb_rel_gate"] + ") WHERE gate BETWEEN 0.70 AND 0.92",
     "flt_edge_admissible": f"WITH {_VP} SELECT scope, a, b FROM vp WHERE shared >= 3 OR list_has_any(wit, ['42', '7'])",
     "topk_fact_terms": f"WITH {FACTS}, h AS (SELECT memory_id, binding_id, CAST((value_key = '42')::INT + (predicate = 'purchase')::INT + (collection_key = 'c2')::INT AS INT) AS hits FROM facts) SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY hits DESC, binding_id) AS rank FROM h QUALIFY rank <= 10 AND hits > 0",

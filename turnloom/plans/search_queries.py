@@ -15,7 +15,7 @@ from turnloom.functions.text import content_terms
 from turnloom.operators import fusion as U
 from turnloom.operators import search as S
 from turnloom.plans.lineage import cut
-from turnloom.plans.text_queries import sql_content
+from turnloom.plans.text_queries import _SLOTS, sql_content
 from turnloom.sources.tables import table
 
 K = 10
@@ -221,6 +221,7 @@ _DENSE = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, la
  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10"""
 
 SQL = {
+    "flt_adaptive_limit": f"WITH k AS ({_SLOTS}) SELECT question_id, CASE WHEN is_count OR is_list THEN 24 WHEN regexp_matches(lower(question), '{TIMED}') THEN 24 ELSE 16 END AS turn_limit FROM k JOIN questions USING (question_id)",
     "agg_df": f"WITH w AS (SELECT DISTINCT turn_no, memory_id, session_id, unnest({sql_content('raw_text')}) AS term FROM turns) SELECT memory_id, term, count(*) AS turns, count(DISTINCT session_id) AS sessions FROM w GROUP BY ALL",
     "agg_postings": f"WITH {_BASE} SELECT scope AS memory_id, id AS turn_no, term, tf, length FROM p",
     "topk_exact": f"WITH {_CHANNELS} SELECT query_id, id, score, rank FROM c WHERE channel = 'exact'",

@@ -92,10 +92,10 @@ def num_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def num_rate_pair(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").where("l_linenumber = 1")
+    e = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     text = F.concat(F.lit("Bought "), F.col("l_quantity").cast("int").cast("string"), F.lit(" lamps at $"), (F.col("l_extendedprice") / 100).cast("int").cast("string"), F.lit(" each."))
     p = N.rate_pair(text)
-    return e.select("l_orderkey", p["count"].alias("n"), p["rate"].alias("rate"))
+    return e.select("l_orderkey", "l_linenumber", p["count"].alias("n"), p["rate"].alias("rate"))
 
 
 def num_fact_cap(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,7 +247,7 @@ SQL = {
     "dt_scalars": "WITH v AS (SELECT question_id, replace(question_date, '/', '-') AS d, CAST(split_part(question_id, '_', 3) AS INT) % 3 AS k FROM questions) SELECT question_id, CAST(CAST(CASE k WHEN 0 THEN left(d, 4) || '-07-01' WHEN 1 THEN left(d, 7) || '-15' ELSE left(d, 10) END AS DATE) - DATE '1970-01-01' AS INT) AS days FROM v",
     "dt_kernel": f"WITH {FACTS}, g AS (SELECT owner_id, min(ts) FILTER (operand_id = 'o1') AS a, min(ts) FILTER (operand_id = 'o2') AS b FROM facts GROUP BY ALL) SELECT owner_id, round(exp(-abs(datediff('day', CAST(b AS DATE), CAST(a AS DATE))) / 90.0::DOUBLE), 6) AS kernel FROM g WHERE a IS NOT NULL AND b IS NOT NULL",
     "num_scalar": f"WITH {FACTS} SELECT binding_id, CAST(replace(value, '$', '') AS DOUBLE) AS number, CASE WHEN value LIKE '$%' THEN 'USD' ELSE '' END AS unit FROM facts",
-    "num_rate_pair": "SELECT l_orderkey, CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) AS n, '$' || CAST(trunc(l_extendedprice / 100) AS INT) AS rate FROM lineitem WHERE l_linenumber = 1",
+    "num_rate_pair": "SELECT l_orderkey, l_linenumber, CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) AS n, '$' || CAST(trunc(l_extendedprice / 100) AS INT) AS rate FROM lineitem",
     "num_fact_cap": "SELECT turn_no, CAST(least(32, greatest(4, ceil(0.6::DOUBLE * len(regexp_extract_all(raw_text, '[.!?]')) + 0.4::DOUBLE * len(regexp_extract_all(raw_text, '[0-9]+')) + 0.2::DOUBLE))) AS INT) AS cap FROM turns WHERE raw_text IS NOT NULL",
     "ev_set": f"WITH {_GF} SELECT * FROM s",
     "ev_ranked": f"""WITH {_GF}, n AS (SELECT query_id, count(*) AS gold FROM gold GROUP BY ALL), h AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM found JOIN gold USING (query_id, id)),
