@@ -149,7 +149,7 @@ def _fused(spark: SparkSession, folder: str) -> DataFrame:
     wide = channels(spark, folder).groupBy("query_id", "id").pivot("channel", ["exact", "bm25", "lexical"]).agg(F.max("score")).na.fill(0.0)
     parts = {"exact": F.col("exact"), "bm25": F.col("bm25") / 20, "role": F.col("lexical")}
     t = table(spark, folder, "turns", "turn_no", "session_id").withColumnRenamed("turn_no", "id")
-    return wide.select("*", F.round(U.weighted(U.FUSION, parts), 6).alias("fused"), F.round(U.weighted(U.COVERAGE, {**parts, "role": F.lit(0.0)}), 6).alias("coverage")).join(t, "id")
+    return wide.select("*", F.round(U.weighted(U.FUSION, parts), 9).alias("fused"), F.round(U.weighted(U.COVERAGE, {**parts, "role": F.lit(0.0)}), 9).alias("coverage")).join(t, "id")
 
 
 def topk_fused(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,7 +216,7 @@ _CHANNELS = f"""{_BASE},
  lx AS (SELECT query_id, id, round(count(*) / n_terms, 6) AS score FROM qt JOIN p USING (scope, term) GROUP BY query_id, id, n_terms),
  c AS (SELECT *, 'exact' AS channel FROM {_TOP.format('ex')} UNION ALL SELECT *, 'bm25' FROM {_TOP.format('bm')} UNION ALL SELECT *, 'lexical' FROM {_TOP.format('lx')})"""
 _FUSED = f"""{_CHANNELS}, w AS (SELECT query_id, id, coalesce(max(score) FILTER (channel = 'exact'), 0) AS e, coalesce(max(score) FILTER (channel = 'bm25'), 0) AS b, coalesce(max(score) FILTER (channel = 'lexical'), 0) AS l FROM c GROUP BY ALL),
- f AS (SELECT query_id, id, session_id, round(1.2::DOUBLE * e + b / 20 + 0.25::DOUBLE * l, 6) AS fused, round(1.2::DOUBLE * e + b / 20, 6) AS coverage FROM w JOIN turns ON turn_no = id)"""
+ f AS (SELECT query_id, id, session_id, round(1.2::DOUBLE * e + b / 20 + 0.25::DOUBLE * l, 9) AS fused, round(1.2::DOUBLE * e + b / 20, 9) AS coverage FROM w JOIN turns ON turn_no = id)"""
 _DENSE = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), s AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id % 20 = 0 {0})
  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10"""
 
