@@ -46,6 +46,34 @@ def test_recall_with_ranges_far_smaller_than_the_data(spark, monkeypatch):
     assert len(got & true) >= 0.9 * len(true)
 
 
+def tight(n=1800, dims=24):
+    """A third of the rows in one group of cosines of about 0.999, their keys dealt at random."""
+    rng = np.random.default_rng(5)
+    centre, names = rng.standard_normal(dims), rng.permutation(n)
+    centre /= np.linalg.norm(centre)
+    out = {}
+    for i in range(n):
+        v = centre + 0.0316 / np.sqrt(dims) * rng.standard_normal(dims) if i % 3 == 0 else rng.standard_normal(dims)
+        out[f"k{names[i]:04d}"] = ("a", (v / np.linalg.norm(v)).astype("f4"))
+    return out
+
+
+def test_recall_in_a_tight_group_and_at_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 32)
+    vectors = tight()
+    true = brute(vectors, 10, 0.8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = {(r.cache_key, r.other_key) for r in M.nearest_vectors(*frames(spark, vectors), k=10, least=0.8).collect()}
+            share = len(got & true) / len(true)
+            print(f"recall at {partitions} partitions: {share:.4f}")
+            assert share >= 0.97
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_unusable_and_unlisted_vectors_take_no_part(spark):
     v = np.eye(4, dtype="f4")
     vectors = {"a": ("m", v[0]), "b": ("m", v[0] * 3), "c": ("n", v[0])}
