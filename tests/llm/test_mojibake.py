@@ -55,6 +55,13 @@ def test_originals_come_back(case):
     assert got[902].n_repaired == 0
 
 
+def test_every_distinct_clean_text_counts_for_the_margin(spark):
+    # More than 5,000 documents of one text, then 40 words that are clean but rare.
+    texts = ["déjà vu café"] * 6000 + [f"{w} Nr. {i}" for i in range(40) for w in GERMAN]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert J.lead_histogram(df, J.train(df)).sum() == 2 + 40 * len(GERMAN)
+
+
 def test_round_trip_of_every_chain():
     text = "Größe, déjà – où?"
     for charset in ("latin-1", "cp1252"):

@@ -3,7 +3,7 @@
 A character trigram model is trained on all clean records.  Every token with a character beyond ASCII is
 put through the candidate chains (encode with the charset that was wrongly used, decode with the right
 one, up to three times); the likeliest reading is accepted where its log likelihood leads the token's own
-by more than the margin, which is validated on clean tokens.  Tokens that hold replacement signs or
+by more than the margin, which is validated on all clean tokens.  Tokens that hold replacement signs or
 control codes, or scraps of broken sequences, count as garbled beyond recovery.
 """
 
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from turnloom.llm.ngrams import flatten, grams
 
 BITS = 18
-#: Clean tokens on which the margin is validated, at most.
-VALIDATION = 20_000
 #: Tokens whose verdict a worker remembers.
 REMEMBERED = 200_000
 MARGIN, WORST_MARGIN = 2.5, 16.0
+#: Bins of the histogram of leads, and bins to a unit of lead: it reaches to the worst margin.
+BINS, PER_NAT = 16 * 1024, 1024
 #: Lead from which a reading keeps its record out of the second training.
 DOUBT = 0.0
 #: Log prior of one chain step, and of one that swaps two one-byte charsets.
@@ -176,12 +176,35 @@ def best_readings(tokens: list[str], model: CharacterModel) -> list[tuple[float,
     return out
 
 
+def lead_histogram(documents: DataFrame, model: CharacterModel) -> np.ndarray:
+    """Number of clean tokens by the bin of their lead, each token once per distinct clean text; the first and last bin are open."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": b["h"], "tokens": [sorted(set(_TOKEN.findall(t))) for t in b["text"]]})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(BINS + 1, "i8")
+        for b in batches:
+            leads = np.array([x[0] for x in best_readings(list(b["token"]), model)])
+            np.add.at(sums, np.clip(np.floor(leads * PER_NAT), 0, BINS).astype("i8"), b["c"].to_numpy("i8"))
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"bin": at.astype("i4"), "c": sums[at]})
+
+    telling = documents.where(F.col("text").rlike(r"[^\x00-\x7f]")).where(clean_records(F.col("text")))
+    texts = telling.select(F.md5("text").alias("h"), "text").mapInPandas(split, "h string, tokens array<string>").dropDuplicates(["h"])
+    tokens = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    rows = tokens.mapInPandas(count, "bin int, c bigint").groupBy("bin").agg(F.sum("c").alias("c")).toPandas()  # BINS + 1 rows at most
+    out = np.zeros(BINS + 1, "i8")
+    out[rows["bin"].to_numpy("i8")] = rows["c"].to_numpy("i8")
+    return out
+
+
 def validated_margin(documents: DataFrame, model: CharacterModel) -> float:
-    """The lead that one clean token in 500 reaches, held between ``MARGIN`` and ``WORST_MARGIN``."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*"), F.lit(0)))).alias("token")
-    sample = documents.where(clean_records(F.col("text"))).orderBy(F.xxhash64("doc_id", F.lit(3))).limit(VALIDATION // 4).select(token).limit(VALIDATION)
-    leads = np.array([x[0] for x in best_readings([r[0] for r in sample.collect()], model)] or [0.0])
-    return float(np.clip(np.quantile(leads, 0.998) + 1, MARGIN, WORST_MARGIN))
+    """The lead that one clean token in 500 reaches, over all distinct clean texts, held between ``MARGIN`` and ``WORST_MARGIN``."""
+    up_to = np.cumsum(lead_histogram(documents, model))
+    lead = np.searchsorted(up_to, 0.998 * (up_to[-1] - 1), "right") / PER_NAT if up_to[-1] else 0.0
+    return float(np.clip(lead + 1, MARGIN, WORST_MARGIN))
 
 
 class _Leads:
