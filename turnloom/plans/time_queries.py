@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import numbers as N
@@ -185,13 +185,35 @@ def ev_holdout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ev_paired(spark: SparkSession, folder: str) -> DataFrame:
-    """Gains and losses of the last answers against the first: a verdict is that the gold answer stands in the text."""
+    """Gains and losses of the last answers against the first; a verdict is the parity of ``evidence_tokens``, as in the SQL twin. ``judged`` reads the answers."""
     q = table(spark, folder, "questions", "question_id", "question_type", "gold_answer").where("gold_answer is not null")
     a = table(spark, folder, "answers", "question_id", "answer_no", "evidence_tokens").where("evidence_tokens is not null")
     p = a.groupBy("question_id").agg((F.min_by("evidence_tokens", "answer_no") % 2 == 0).alias("base"), (F.max_by("evidence_tokens", "answer_no") % 2 == 0).alias("candidate"))
     return q.join(p, "question_id").groupBy("question_type").agg(F.count_if(~F.col("base") & F.col("candidate")).alias("gains"), F.count_if(F.col("base") & ~F.col("candidate")).alias("losses"))
 
 
+def _words(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")), F.lit(" "))
+
+
+def judged(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(question_type, gains, losses) of the last predictions against the first: a verdict is that the gold answer stands in the text, word by word.
+
+    An unchanged prediction keeps its verdict; a null one is wrong. A gold answer without a word is looked for as it is.
+    """
+    q = questions.where("gold_answer is not null").select("question_id", "question_type", "gold_answer")
+    text = F.struct("prediction")
+    p = answers.groupBy("question_id").agg(F.min_by(text, "answer_no")["prediction"].alias("first"), F.max_by(text, "answer_no")["prediction"].alias("last"))
+    gold = _words(F.col("gold_answer"))
+
+    def right(text: Column) -> Column:
+        return F.coalesce(F.when(F.trim(gold) == "", text.contains(F.col("gold_answer"))).otherwise(_words(text).contains(gold)), F.lit(False))
+
+    v = q.join(p, "question_id").withColumn("base", right(F.col("first")))
+    v = v.withColumn("candidate", F.when(F.col("first").eqNullSafe(F.col("last")), F.col("base")).otherwise(right(F.col("last"))))
+    return v.groupBy("question_type").agg(F.count_if(~F.col("base") & F.col("candidate")).alias("gains"), F.count_if(F.col("base") & ~F.col("candidate")).alias("losses"))
+
+
 def agg_mcnemar(spark: SparkSession, folder: str) -> DataFrame:
     """Exact p-value per question type; one row per type is read out in Arrow batches."""
 
@@ -199,7 +221,8 @@ def agg_mcnemar(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             yield b.assign(p_value=[M.mcnemar(int(g), int(x)) for g, x in zip(b["gains"], b["losses"])])
 
-    return ev_paired(spark, folder).mapInPandas(test, "question_type string, gains bigint, losses bigint, p_value double")
+    pairs = judged(table(spark, folder, "questions", "question_id", "question_type", "gold_answer"), table(spark, folder, "answers", "question_id", "answer_no", "prediction"))
+    return pairs.mapInPandas(test, "question_type string, gains bigint, losses bigint, p_value double")
 
 
 QUERIES = {f.__name__: f for f in (
