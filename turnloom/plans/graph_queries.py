@@ -435,7 +435,7 @@ def gb_sparse_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gb_canonicalize(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters of owners linked by eight shared values or more."""
+    """Clusters of owners linked by twenty shared values or more."""
     p = gb_sparse_pairs(spark, folder).where("shared >= 20").select(F.col("owner_id").alias("a"), F.col("other_id").alias("b"))
     return G.components(p)
 
