@@ -56,10 +56,30 @@ def test_names_do_not_tell_a_language():
 def test_neighbours_over_range_borders_match_a_plain_scan(spark):
     texts = sorted({f"word{i % 7} and word{j} go on to say more {k}" for i in range(7) for j in range(20) for k in range(2)} | {f"word{i} and word{j} go on to" for i in range(7) for j in range(20)})
     df = spark.createDataFrame([(t, t.endswith("on to")) for t in texts], "text string, open boolean")
-    got = {r.text for r in W.continued_texts(df).collect()}
+    got = {r.text for r in W.continued_texts(df, 2).collect()}
     assert got == {t for t in texts if t.endswith("on to") and any(o != t and o.startswith(t) and len(o[len(t) :].split()) >= 2 for o in texts)}
 
 
 def test_empty_tables(spark):
     a = spark.createDataFrame([], "answer_no bigint, question_id string, prediction string, completion_tokens int, finish_reason string, answer_model string")
     assert W.defective_answers(a, spark.createDataFrame([], "question_id string, question string, lang string")).count() == 0
+
+
+def test_a_later_text_continues_past_one_that_adds_a_word(spark):
+    short = "the red lamp was left"
+    df = spark.createDataFrame([(t, t == short) for t in (short, short + " in", short + " in the", short + "s", "the red lamp was lent to her")], "text string, open boolean")
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert [r.text for r in W.continued_texts(df, 2).collect()] == [short]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_long_texts_need_neighbours(spark):
+    base = "One two three four five six seven eight "
+    rows = [(base + "she left fo", True), ("Later she left for home.", False), (base + "quux zork", True), (base + "he owns the", True), ("the end is near.", False), (base + "they met in Ulm", True), ("He is in Ulm.", False), ("Ulm it is.", False)]
+    df = spark.createDataFrame([(*r, r[1]) for r in rows], "text string, open boolean, long boolean")
+    assert {r.text[len(base) :] for r in W.broken_off(df).collect()} == {"she left fo", "he owns the"}
+
+
+def test_refusals_in_any_sentence():
+    assert W.declines("Thanks for asking. You want the tent's price. I'm sorry, but I can't share that.") and not W.declines("Thanks. He declined the tent. She won't be there.")

@@ -17,8 +17,10 @@ from turnloom.plans.lineage import cut
 SAMPLE = 15_000
 #: Log odds by which another language must lead the question's.
 LANGUAGE_MARGIN = 14.0
-#: Words from which a text without an ending has broken off, with and without other evidence.
-LONG_WORDS, SOME_WORDS = 9, 5
+#: Words from which an unended text is judged at all, and from which its last words alone are compared.
+SOME_WORDS, LONG_WORDS = 5, 9
+#: Words of a run.
+RUN = 3
 # Reasons that name the output limit, texts that only hold a place.
 LIMIT_REASONS = ["length", "max_tokens", "max_length", "max_output_tokens", "token_limit", "model_length", "truncated"]
 PLACEHOLDERS = ["none", "null", "nil", "nan", "na", "n a", "undefined", "unknown", "tbd", "todo", "empty", "answer", "no answer", "placeholder", "blank", "nothing", "answer answer"]
@@ -46,6 +48,9 @@ _TELLING = [
 ]
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”»’]*\s+")
 _PLAIN = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+_STOP = re.compile(r"[.!?。؟…]+(?!\d)")
+_TRAILING = " \t\r\n.…\"”»"
 _ENDED = r"[.!?。؟][\s\p{Z}\p{C}\"”»’')\]*_`]*$"
 
 
@@ -70,12 +75,12 @@ def copies_question(prediction: str, question: str) -> bool:
 
 
 def declines(prediction: str) -> bool:
-    """Whether one of the text's first two sentences declines to answer."""
+    """Whether one of the text's sentences declines to answer."""
     low = prediction.lower()
     if not any(k in low for k in _TELLING):
         return False
     parts = [s for s in _SENTENCE.split(prediction.strip()) if s.strip()]
-    return any(REFUSAL.search(s) for s in parts[:2])
+    return any(REFUSAL.search(s) for s in parts)
 
 
 def is_empty(text: Column) -> Column:
@@ -104,38 +109,94 @@ def has_words(text: Column, n: int) -> Column:
     return text.rlike(r"(?:[\p{L}\p{N}]++[^\p{L}\p{N}]*+){%d}" % n)
 
 
-def continued_texts(texts: DataFrame) -> DataFrame:
-    """Of distinct ``text`` with flag ``open``, the open ones that the next text in sort order continues by two words or more.
+def continued_texts(texts: DataFrame, more: int) -> DataFrame:
+    """Of distinct ``text`` with flag ``open``, the open ones that another text begins with and continues by ``more`` words (0: by any sign).
 
-    A text that begins others stands directly before one of them in sort order, so only neighbours are
-    compared.  The first text of each range stands in for the neighbour of the range before.
+    In sort order the texts that one text begins stand directly behind it, so a walk keeps only the open
+    texts that begin the one at hand.  What is still open at the end of a range meets the start of the ranges
+    behind it; of a range's start one text for each length in common with its first is enough.
     """
 
+    def goes_on(text: str, by: str) -> bool:
+        return len(by) > len(text) and by.startswith(text) and len(_WORD.findall(by[len(text) :])) >= more
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, first, out, part = None, None, [], None
+        stack, part, head, heads = [], None, None, {}
         for b in batches:
-            for text, is_open, pid in zip(b["text"], b["open"], b["pid"]):
-                part = pid
-                if first is None:
-                    first = text
-                if last is not None and last[1]:
-                    out.append((last[0], text, pid, False))
-                last = (text, is_open)
-            yield pd.DataFrame(out, columns=["text", "next", "pid", "pending"])
             out = []
-        if last is not None:
-            out = [(None, first, part, False)] + ([(last[0], None, part, True)] if last[1] else [])
-            yield pd.DataFrame(out, columns=["text", "next", "pid", "pending"])
+            for text, is_open, part in zip(b["text"], b["open"], b["pid"]):
+                if head is None:
+                    head, common = text, len(text)
+                if common:
+                    common = next((k for k in range(min(common, len(text))) if text[k] != head[k]), min(common, len(text)))
+                    if common and len(text.split()) > len(heads.get(common, "").split()):
+                        heads[common] = text
+                while stack and not text.startswith(stack[-1]):
+                    stack.pop()
+                out += [(t, part, 0) for t in stack if goes_on(t, text)]
+                stack = [t for t in stack if not goes_on(t, text)]
+                if is_open:
+                    stack.append(text)
+            yield pd.DataFrame(out, columns=["text", "pid", "kind"])
+        yield pd.DataFrame([(t, part, 1) for t in stack] + [(t, part, 2) for t in {head, *heads.values()} - {None}], columns=["text", "pid", "kind"])
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = texts.repartitionByRange(n, "text").sortWithinPartitions("text").withColumn("pid", F.spark_partition_id())
-    pairs = cut(ordered.mapInPandas(walk, "text string, next string, pid int, pending boolean"))
-    # One head for each range: as many rows as there are partitions, hence the window without a key.
-    heads = pairs.where("text is null").select("pid", F.lead("next").over(Window.orderBy("pid")).alias("head"))
-    last = pairs.where("pending").select("text", "pid").join(heads, "pid", "left").select("text", F.col("head").alias("next"))
-    both = pairs.where("text is not null and not pending").select("text", "next").unionByName(last)
-    rest = F.expr("substring(next, length(text) + 1)")
-    return both.where(F.col("next").startswith(F.col("text")) & has_words(rest, 2)).select("text").distinct()
+    rows = cut(ordered.mapInPandas(walk, "text string, pid int, kind int"))
+    # What meets at the borders: texts of one chain of prefixes, and a text for each length of a first text, from each range.
+    border = rows.where("kind > 0").toPandas()
+    heads = border[border["kind"] == 2].sort_values(["pid", "text"])
+    late = [t for t, pid in border.loc[border["kind"] == 1, ["text", "pid"]].itertuples(index=False) if any(goes_on(t, h) for h in heads.loc[heads["pid"] > pid, "text"])]
+    found = rows.where("kind = 0").select("text")
+    return (found.unionByName(texts.sparkSession.createDataFrame([(t,) for t in late], "text string")) if late else found).distinct()
+
+
+def _tail(text: str) -> list[str]:
+    """Words of the sentence a text stops in."""
+    return _STOP.split(text.rstrip(_TRAILING))[-1].split()
+
+
+def runs(texts: DataFrame) -> DataFrame:
+    """(text, open, closed) of runs of up to ``RUN`` words within the sentences of ``text``: closed where a sentence ends with the run, open where an unended text of ``LONG_WORDS`` stops after it."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["text", "open", "closed"]
+        for b in batches:
+            plain_runs, closed, tails = set(), set(), set()
+            for text, is_open in zip(b["text"], b["open"]):
+                pieces = _STOP.split(text)
+                for k, piece in enumerate(pieces):
+                    words = piece.split()
+                    plain_runs.update(" ".join(words[i : i + RUN]) for i in range(len(words)))
+                    if k < len(pieces) - 1 and words:
+                        closed.add(words[-1])
+                if is_open:
+                    words = _tail(text)
+                    tails.update(" ".join(words[-k:]) for k in (1, 2) if len(words) >= k)
+            yield pd.DataFrame([(r, r in tails, r in closed) for r in plain_runs | tails | closed], columns=names)
+
+    got = texts.mapInPandas(split, "text string, open boolean, closed boolean")
+    return got.groupBy("text").agg(F.max("open").alias("open"), F.max("closed").alias("closed"))
+
+
+def broken_off(texts: DataFrame) -> DataFrame:
+    """Of distinct ``text`` with flags ``open`` and ``long``, those that the sorted neighbours show to be shortened.
+
+    Either another text begins with the whole of it and goes on by two words; or it is long and its last two
+    words, the last perhaps cut, begin a longer run in some text; or its last word does, and no sentence
+    anywhere ends with that word.
+    """
+    whole = continued_texts(texts.select("text", "open"), 2)
+    every = cut(runs(texts.select("text", F.col("long").alias("open"))))
+    on = continued_texts(every.select("text", "open"), 0).join(every.select("text", "closed"), "text").withColumnRenamed("text", "run")
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [_tail(t) for t in b["text"]]
+            yield pd.DataFrame({"text": b["text"], "runs": [[" ".join(w[-k:]) for k in (1, 2) if len(w) >= k] for w in words]})
+
+    tails = texts.where("long").select("text").mapInPandas(ends, "text string, runs array<string>").select("text", F.posexplode("runs").alias("k", "run"))
+    return whole.unionByName(tails.join(on, "run").where("k = 1 or not closed").select("text")).distinct()
 
 
 def limit_spikes(rows: DataFrame) -> DataFrame:
@@ -156,16 +217,18 @@ def language_model(answers: DataFrame, questions: DataFrame) -> LanguageModel:
 def defective_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """(answer_no, defect) of each row with a defect; the first of empty, copies_question, refusal, truncated, wrong_language.
 
+    An unended text is truncated where its sorted neighbours show it to be shortened (``broken_off``), where
+    it stands on a spike of its model's lengths, or where the finish reason names the limit; no length decides.
     Repeated rows are judged one by one.  Answers without a question row keep the defects that need none.
     """
     model = language_model(answers, questions)
     a = answers.select("answer_no", "question_id", "prediction", "completion_tokens", hit_limit(F.col("finish_reason")).alias("limit"), F.lower(F.trim("answer_model")).alias("model"))
     empty = a.where(is_empty(F.col("prediction"))).select("answer_no", F.lit("empty").alias("defect"))
     read = a.where(~is_empty(F.col("prediction"))).withColumn("open", unended(F.col("prediction")) & has_words(F.col("prediction"), SOME_WORDS))
-    texts = read.where(F.length("prediction") >= 12).groupBy(F.col("prediction").alias("text")).agg(F.max("open").alias("open"))
-    cut_short = continued_texts(texts).select(F.col("text").alias("prediction"), F.lit(True).alias("continued"))
-    opened = read.where("open").join(cut_short, "prediction", "left").join(limit_spikes(read), ["model", "completion_tokens"], "left")
-    evidence = F.coalesce("continued", F.lit(False)) | F.coalesce("spike", F.lit(False)) | has_words(F.col("prediction"), LONG_WORDS)
+    texts = cut(read.groupBy(F.col("prediction").alias("text")).agg(F.max("open").alias("open")).withColumn("long", F.col("open") & has_words(F.col("text"), LONG_WORDS)))
+    short = broken_off(texts).select(F.col("text").alias("prediction"), F.lit(True).alias("shortened"))
+    opened = read.where("open").join(short, "prediction", "left").join(limit_spikes(read), ["model", "completion_tokens"], "left")
+    evidence = F.coalesce("shortened", F.lit(False)) | F.coalesce("spike", F.lit(False))
     columns = ["answer_no", "question_id", "prediction", "limit"]
     judged = opened.select(*columns, evidence.alias("broken")).unionByName(read.where("not open").select(*columns, F.lit(False).alias("broken")))
     judged = judged.join(questions.select("question_id", "question", "lang"), "question_id", "left")
