@@ -63,3 +63,19 @@ def test_conversation_budget_sums_turns_and_evidence(spark):
     answers = spark.createDataFrame([("m1", 5), ("m1", None), ("m4", 7)], "memory_id string, evidence_tokens int")
     got = {(r.dataset, r.language): (r.n_rows, r.n_tokens, r.evidence_tokens) for r in K.conversation_budget(turns, reg, answers).collect()}
     assert got == {("a", "en"): (2, plain_count("hi there"), 5), ("unknown", "de"): (1, plain_count("x"), 0), ("unknown", "und"): (1, plain_count("y"), 7)}
+
+
+def test_ledger_follows_changed_and_removed_turns(spark, tmp_path):
+    schema = "memory_id string, raw_text string, content_hash string"
+    ledger = K.TokenLedger(spark, str(tmp_path), dims=("memory_id",))
+    first = [("m1", "one two", "x"), ("m1", "one two", "x"), ("m2", None, "x"), (None, "three", "x")]
+    then = [("m1", "one two", "x"), ("m2", "one two more", "x"), ("m2", None, "x")]
+    for rows in (first, then, [], then):
+        got = {r.memory_id: (r.n_rows, r.n_tokens) for r in ledger.deliver(K.turn_rows(spark.createDataFrame(rows, schema).drop("content_hash"))).collect()}
+        assert got == {m: (sum(a == m for a, *_ in rows), sum(plain_count(t) for a, t, _ in rows if a == m and t)) for m in {r[0] for r in rows}}
+    assert [ledger.spark.read.parquet(f"{tmp_path}/v{v:06d}/counts").count() for v in (1, 2, 3, 4)] == [2, 1, 0, 0]
+
+
+def test_a_worker_with_other_files_is_refused():
+    with pytest.raises(ValueError):
+        K.encoder(K.FOLDER, K.RANKS, "other")

@@ -34,10 +34,13 @@ def tokenizer_hash(folder: str = FOLDER, ranks: str = RANKS) -> str:
 
 
 @lru_cache(maxsize=4)
-def encoder(folder: str, ranks: str):
-    """The tokenizer, built once per worker."""
+def encoder(folder: str, ranks: str, tokenizer: str | None = None):
+    """The tokenizer, built once per worker; refused where the worker's files are not those of the hash ``tokenizer``."""
     import tiktoken
 
+    if tokenizer is not None and tokenizer_hash(folder, ranks) != tokenizer:
+        raise ValueError(f"{ranks} on this worker is not tokenizer {tokenizer}")
+
     with open(os.path.join(folder, ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -66,15 +69,16 @@ def label(value: Column) -> Column:
 def count_tokens(texts: DataFrame, known: DataFrame | None = None, folder: str = FOLDER, ranks: str = RANKS) -> DataFrame:
     """(content_hash, n_tokens) of the contents of ``texts`` (content_hash, text) that ``known`` does not hold yet.
 
-    Null texts have no content.  Texts are encoded where they are read; only hashes and counts move.
+    Null texts have no content.  Without ``known`` texts are encoded where they are read and only hashes and
+    counts move; with it, only texts of unseen contents are encoded.
     """
-    rows = texts.where("text is not null")
+    rows, tokenizer = texts.where("text is not null"), tokenizer_hash(folder, ranks)
     if known is not None:
         unseen = rows.select("content_hash").distinct().join(known.select("content_hash"), "content_hash", "left_anti")
         rows = rows.join(unseen, "content_hash", "left_semi")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, seen = encoder(folder, ranks), {}
+        bpe, seen = encoder(folder, ranks, tokenizer), {}
         for b in batches:
             out = []
             for h, text in zip(b["content_hash"], b["text"]):
@@ -91,21 +95,26 @@ def count_tokens(texts: DataFrame, known: DataFrame | None = None, folder: str =
 
 def token_cube(assigned: DataFrame, counts: DataFrame, dims: list[str]) -> DataFrame:
     """(dims, n_rows, n_tokens): rows with content_hash and ``dims`` are counted per content before they meet their tokens."""
-    per = assigned.groupBy("content_hash", *dims).agg(F.count(F.lit(1)).alias("n"))
-    return per.join(counts, "content_hash", "left").groupBy(*dims).agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
+    return weighed(held_contents(assigned, dims), counts, dims)
+
+
+def held_contents(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """(content_hash, dims, n): how many rows hold each content in each cell."""
+    return rows.groupBy("content_hash", *dims).agg(F.count(F.lit(1)).alias("n"))
+
+
+def weighed(held: DataFrame, counts: DataFrame, dims: list[str]) -> DataFrame:
+    """(dims, n_rows, n_tokens) of contents held ``n`` times; ``n`` may be negative."""
+    return held.join(counts, "content_hash", "left").groupBy(*dims).agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
 
 
 def deltas(before: DataFrame, after: DataFrame, counts: DataFrame, dims: list[str]) -> DataFrame:
-    """Signed change of the cube from two states of (doc_id, content_hash, dims): what left counts less, what came counts more.
+    """Signed change of the cube from two states (content_hash, dims, n): what left counts less, what came counts more.
 
-    Unchanged documents cancel before tokens are looked up; ``counts`` must hold both states' contents.
+    What both states hold cancels before tokens are looked up; ``counts`` must hold both states' contents.
     """
-    body = F.struct("content_hash", *dims)
-    both = before.select("doc_id", body.alias("old")).join(after.select("doc_id", body.alias("new")), "doc_id", "full").where(~F.col("old").eqNullSafe(F.col("new")))
-    signed = both.select(F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("d")), F.struct(F.lit(1).alias("sign"), F.col("new").alias("d")))).alias("x"))
-    signed = signed.where("x.d is not null").select("x.sign", "x.d.*")
-    per = signed.groupBy("content_hash", *dims).agg(F.sum("sign").alias("n")).where("n <> 0")
-    return per.join(counts, "content_hash", "left").groupBy(*dims).agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
+    signed = before.withColumn("n", -F.col("n")).unionByName(after).groupBy("content_hash", *dims).agg(F.sum("n").alias("n")).where("n <> 0")
+    return weighed(signed, counts, dims)
 
 
 def merge_cubes(cube: DataFrame, change: DataFrame, dims: list[str]) -> DataFrame:
@@ -113,21 +122,21 @@ def merge_cubes(cube: DataFrame, change: DataFrame, dims: list[str]) -> DataFram
     return cube.unionByName(change).groupBy(*dims).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_tokens").alias("n_tokens")).where("n_rows <> 0")
 
 
-def document_rows(documents: DataFrame) -> DataFrame:
-    """(doc_id, content_hash, source, language, topic) of documents, in canonical spelling."""
-    return documents.select("doc_id", content_hash(F.col("text")).alias("content_hash"), label(F.col("source")).alias("source"), language(F.col("lang")).alias("language"), label(F.col("topic")).alias("topic"))
+def document_rows(documents: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, content_hash, source, language, topic) of documents, in canonical spelling, and the columns ``more``."""
+    return documents.select("doc_id", *more, content_hash(F.col("text")).alias("content_hash"), label(F.col("source")).alias("source"), language(F.col("lang")).alias("language"), label(F.col("topic")).alias("topic"))
 
 
 class TokenLedger:
-    """Counts, assignments and cube of one corpus as numbered versions in a shared folder.
+    """Counts, contents held and cube of one corpus as numbered versions in a shared folder.
 
-    A version is whole once its ``cube`` is written, which is written last; earlier versions stay readable.
+    ``counts`` of a version has the contents first met in it (with their tokenizer's hash), ``held`` how many
+    rows hold each content in each cell of ``dims``.  A version is whole once its ``cube`` is written, which
+    is written last; earlier versions stay readable.
     """
 
-    dims = ["source", "language", "topic"]
-
-    def __init__(self, spark: SparkSession, folder: str, vocabulary: str = FOLDER, ranks: str = RANKS) -> None:
-        self.spark, self.folder, self.vocabulary, self.ranks = spark, folder.rstrip("/"), vocabulary, ranks
+    def __init__(self, spark: SparkSession, folder: str, vocabulary: str = FOLDER, ranks: str = RANKS, dims: tuple[str, ...] = ("source", "language", "topic")) -> None:
+        self.spark, self.folder, self.vocabulary, self.ranks, self.dims = spark, folder.rstrip("/"), vocabulary, ranks, list(dims)
         self.tokenizer = tokenizer_hash(vocabulary, ranks)
 
     def _exists(self, path: str) -> bool:
@@ -143,43 +152,51 @@ class TokenLedger:
         return v
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        """``counts``, ``assigned`` or ``cube`` of a version."""
+        """``held`` or ``cube`` of a version, or the ``counts`` of all versions up to it."""
         v = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.folder}/v{v:06d}/{name}")
+        return self.spark.read.parquet(*(f"{self.folder}/v{k:06d}/{name}" for k in range(1 if name == "counts" else v, v + 1)))
 
     def refresh(self, documents: DataFrame) -> DataFrame:
-        """The cube of ``documents`` as they now are: only contents without a count under this tokenizer are encoded."""
+        """The cube of ``documents`` as they now are; those no longer among them are taken out."""
+        return self.deliver(document_rows(documents, "text"))
+
+    def deliver(self, rows: DataFrame) -> DataFrame:
+        """The cube of all ``rows`` (content_hash, text, dims): only contents without a count under this tokenizer are encoded, the cube moves by signed deltas."""
         v = self.version()
         to = f"{self.folder}/v{v + 1:06d}"
-        rows = document_rows(documents)
-        rows.write.mode("overwrite").parquet(f"{to}/assigned")
-        after = self.spark.read.parquet(f"{to}/assigned")
-        texts = documents.select(content_hash(F.col("text")).alias("content_hash"), "text")
-        mine = None
-        if v:
-            kept = self.read("counts", v)
-            mine = kept.where(F.col("tokenizer") == self.tokenizer)
-        new = count_tokens(texts, mine, self.vocabulary, self.ranks).withColumn("tokenizer", F.lit(self.tokenizer))
-        (new if not v else kept.unionByName(new)).write.mode("overwrite").parquet(f"{to}/counts")
-        counts = self.spark.read.parquet(f"{to}/counts").where(F.col("tokenizer") == self.tokenizer).drop("tokenizer")
+        held_contents(rows, self.dims).write.mode("overwrite").parquet(f"{to}/held")
+        after = self.spark.read.parquet(f"{to}/held")
+        known = self.read("counts", v).where(F.col("tokenizer") == self.tokenizer) if v else None
+        new = count_tokens(rows, known, self.vocabulary, self.ranks)
+        new.withColumn("tokenizer", F.lit(self.tokenizer)).write.mode("overwrite").parquet(f"{to}/counts")
+        counts = self.read("counts", v + 1).where(F.col("tokenizer") == self.tokenizer).drop("tokenizer")
         if v and self.read("cube", v).where(F.col("tokenizer") != self.tokenizer).isEmpty():
-            cube = merge_cubes(self.read("cube", v).drop("tokenizer"), deltas(self.read("assigned", v), after, counts, self.dims), self.dims)
+            cube = merge_cubes(self.read("cube", v).drop("tokenizer"), deltas(self.read("held", v), after, counts, self.dims), self.dims)
         else:
-            cube = token_cube(after, counts, self.dims)
+            cube = weighed(after, counts, self.dims)
         cube.withColumn("tokenizer", F.lit(self.tokenizer)).write.mode("overwrite").parquet(f"{to}/cube")
         return self.read("cube", v + 1).drop("tokenizer")
 
 
-def conversation_budget(turns: DataFrame, conversations: DataFrame, answers: DataFrame, folder: str = FOLDER, ranks: str = RANKS) -> DataFrame:
-    """(dataset, language, n_rows, n_tokens, evidence_tokens): turns' tokens beside the evidence tokens that answers report.
+def turn_rows(turns: DataFrame, *more: str) -> DataFrame:
+    """(memory_id, content_hash, text) of turns, and the columns ``more``."""
+    return turns.select("memory_id", *more, content_hash(F.col("raw_text")).alias("content_hash"), F.col("raw_text").alias("text"))
+
+
+def beside_evidence(said: DataFrame, conversations: DataFrame, answers: DataFrame) -> DataFrame:
+    """(dataset, language, n_rows, n_tokens, evidence_tokens) from the turns' cube by memory and the evidence tokens that answers report.
 
     A memory registered twice counts once, with its latest row; memories without a row go to ``unknown``
     and ``und``.  Turns and answers are summed by memory before they meet the register.
     """
-    own = turns.select("memory_id", content_hash(F.col("raw_text")).alias("content_hash"), F.col("raw_text").alias("text"))
-    said = token_cube(own.select("memory_id", "content_hash"), count_tokens(own.select("content_hash", "text"), None, folder, ranks), ["memory_id"])
     used = answers.groupBy("memory_id").agg(F.sum("evidence_tokens").alias("evidence_tokens"))
     register = conversations.where("memory_id is not null").groupBy("memory_id").agg(F.max_by(F.struct("dataset", "lang"), "registered_at").alias("r"))
     both = said.unionByName(used, allowMissingColumns=True).groupBy("memory_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "n_tokens", "evidence_tokens")))
     placed = both.join(register, "memory_id", "left").select(label(F.col("r.dataset")).alias("dataset"), language(F.col("r.lang")).alias("language"), "n_rows", "n_tokens", "evidence_tokens")
     return placed.groupBy("dataset", "language").agg(*(F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "evidence_tokens")))
+
+
+def conversation_budget(turns: DataFrame, conversations: DataFrame, answers: DataFrame, folder: str = FOLDER, ranks: str = RANKS) -> DataFrame:
+    """``beside_evidence`` of turns counted at once, without a ledger."""
+    rows = turn_rows(turns)
+    return beside_evidence(token_cube(rows, count_tokens(rows, None, folder, ranks), ["memory_id"]), conversations, answers)
