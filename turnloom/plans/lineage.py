@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return known or tempfile.mkdtemp(prefix="turnloom-")
+    """Folder named by ``spark.checkpoint.dir``. Where that is unset, one temporary folder a context in local mode; on a cluster it must be set."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if known:
+        return known
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not hasattr(context, "_turnloom_folder"):
+        context._turnloom_folder = tempfile.mkdtemp(prefix="turnloom-")
+    return context._turnloom_folder
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
