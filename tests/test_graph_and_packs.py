@@ -33,11 +33,18 @@ def test_components_like_union_find(spark):
     assert got == {x: least[r] for x, r in want.items()}
 
 
-def test_best_first_respects_its_bounds():
-    around = {"a": [("b", "MEMBER_OF", "1"), ("c", "OTHER", "2")], "b": [("d", "OTHER", "3")], "c": [("e", "OTHER", "4")]}
-    out = G.best_first([("a", 1.0)], around, {"c": 0.1, "b": 0.0}, 10, 1)
-    assert [n for n, _ in out] == ["a", "b", "c"] and all(h <= 1 for _, h in out)
-    assert len(G.best_first([("a", 1.0)], around, {}, 2, 5)) == 2
+def test_expansion_respects_its_bounds(spark):
+    steps = spark.createDataFrame([("a", "b", "MEMBER_OF"), ("a", "c", "OTHER"), ("a", "c", "OTHER"), ("b", "d", "OTHER"), ("c", "e", "OTHER"), ("b", "a", "OTHER")], "node string, next string, relation string")
+    terms = spark.createDataFrame([("c", ["x", "y"]), ("b", None), ("d", ["x"])], "node string, terms array<string>")
+    seeds = spark.createDataFrame([("q", "a", ["x", "z"]), ("q", "a", ["x", "z"]), ("none", "a", [])], "query_id string, node_id string, query_terms array<string>")
+
+    def visits(nodes, hops, query="q"):
+        return [(r.node_id, r.hops, round(r.priority, 6)) for r in G.expand(seeds, steps, terms, nodes, hops).where(f"query_id = '{query}'").orderBy("place").collect()]
+
+    assert visits(10, 1) == [("a", 0, 1.0), ("c", 1, 0.42), ("b", 1, 0.17)]
+    assert visits(10, 5)[3:] == [("d", 2, 0.34), ("e", 2, -0.16)] and len(visits(2, 5)) == 2
+    assert visits(3, 1, "none") == [("a", 0, 1.0), ("b", 1, 0.17), ("c", 1, -0.08)]
+    assert G.expand(seeds.limit(0), steps, terms, 3, 2).count() == 0
 
 
 def test_beam_keeps_the_best_children(spark):
@@ -123,3 +130,41 @@ def test_delta_cascades_and_reports_dangling_edges(spark):
 def test_mcnemar_is_a_probability_and_symmetric(b, c):
     p = mcnemar(b, c)
     assert 0 < p <= 1 and p == mcnemar(c, b) and (b != c or p == 1)
+
+
+def test_scenes_do_not_depend_on_blocks(spark):
+    rnd = random.Random(9)
+    rows = [("m", f"s{i // 60}", i, rnd.choice([None, i % 60, i % 60]), rnd.choice(["user", "assistant"]), rnd.choice("pq"), rnd.choice("pq"), rnd.sample("abcdefgh", 2), rnd.sample(["ann", "bob", "cy", "dee", "eve"], rnd.randint(0, 1))) for i in range(180)]
+    df = spark.createDataFrame(rows, "memory_id string, session_id string, turn_no bigint, turn_index int, role string, speaker string, listener string, terms array<string>, names array<string>")
+    whole = {r.turn_no: r.scene for r in B.segment(df).collect()}
+    assert whole == {r.turn_no: r.scene for r in B.segment(df, block=16).collect()} and len(whole) == 180
+    assert B.segment(df.limit(0)).count() == 0
+
+
+def test_a_hierarchy_keeps_like_leaves_together(spark):
+    rows = [("m", f"s{i:02d}", "ab"[i % 2]) for i in range(16)]
+    got = B.grouped_hierarchy(spark.createDataFrame(rows, "memory_id string, leaf_id string, sign string"), 8, "sign").where("level = 1").collect()
+    card = {r.child_id: r.parent_id for r in got}
+    assert len({(card[leaf], sign) for _, leaf, sign in rows}) == 2
+
+
+def test_ranks_over_ranges_match_one_sort(spark):
+    from pyspark.sql import functions as F
+
+    from turnloom.plans.lineage import ranked
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), rnd.randint(0, 30), i) for i in range(500)]
+    got = {r.i: r["rank"] for r in ranked(spark.createDataFrame(rows, "k string, v int, i int"), ["k"], [F.col("v").desc(), F.col("i")]).collect()}
+    for key in {r[0] for r in rows}:
+        want = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in want] == list(range(1, len(want) + 1))
+
+
+def test_packs_pass_over_what_has_no_cost_and_keep_a_reserve(spark):
+    rows = [("q", 1, "s", 0.9, None, [], False), ("q", 2, "s", 0.8, 20, None, False), ("q", 3, None, 0.1, 30, ["a"], True)]
+    df = spark.createDataFrame(rows, CAND)
+    assert [r.id for r in P.pack_rank(df, 9, 100).orderBy("place").collect()] == [2, 3]
+    assert [r.id for r in P.pack_rank(df, 9, 100, 1).orderBy("place").collect()] == [3, 2]
+    assert [r.id for r in P.pack_set_cover(df, 9, 100).orderBy("place").collect()] == [3, 2]
+    assert P.pack_set_cover(df.limit(0), 9, 100).count() == P.pack_obligation(df.limit(0), 9, 100).count() == 0

@@ -22,9 +22,7 @@ def normalized(a: Column) -> Column:
 
 
 def hashed(terms: Column, dims: int = 256) -> Column:
-    """Terms as a signed count vector: each term adds 1 or -1 at the place its hash names."""
-    h = lambda t: F.xxhash64(t)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.aggregate(F.filter(terms, lambda t: F.pmod(h(t), F.lit(dims)) == i), F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.shiftright(h(t), 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)),
-    )
+    """Terms as a signed count vector: a term adds 1 or -1 (the ninth digit of its MD5 is even or odd) at the place its first eight digits name."""
+    part = lambda t, at, n: F.conv(F.substring(F.md5(t), at, n), 16, 10).cast("bigint")
+    each = F.transform(terms, lambda t: F.struct(F.pmod(part(t, 1, 8), F.lit(dims)).alias("place"), F.when(F.pmod(part(t, 9, 1), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(each, lambda x: x["place"] == i), F.lit(0.0), lambda s, x: s + x["sign"]))

@@ -4,49 +4,68 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.plans.lineage import cut
+from turnloom.plans.lineage import cut, ranked
 
 # Thresholds of relation signals and how a signal's value becomes a gate score (base, slope).
 THRESHOLDS = {"SCENE_SIMILAR": 0.72, "SHARED_ENTITY": 0.25, "STATE_COMPATIBLE": 0.45, "COLLECTION_RELATED": 0.45, "TEMPORAL_NEAR": math.exp(-2.0), "LEXICAL_RARE": 0.50}
 GATES = {"SCENE_SIMILAR": (0.0, 1.0), "SHARED_ENTITY": (0.82, 0.16), "STATE_COMPATIBLE": (0.80, 0.18), "COLLECTION_RELATED": (0.58, 0.18), "TEMPORAL_NEAR": (0.54, 0.20), "LEXICAL_RARE": (0.82, 0.16)}
 
 
+def _turn_signals(turns: DataFrame, high: int, threshold: float, block: int) -> DataFrame:
+    """Turns in blocks of their session, with ``quiet`` (the topic turns and nobody is answered) and ``back`` (how many turns ago a name of this turn last fell, up to ``high``).
+
+    A block begins with copies of the ``high`` turns before it, so signals do not end at its border.
+    """
+    by = ["memory_id", "session_id"]
+    placed = ranked(turns, by, [F.col("turn_index").asc_nulls_last(), F.col("turn_no")]).withColumn("block", F.floor((F.col("rank") - 1) / block).cast("int"))
+    again = placed.where(F.pmod(F.col("rank") - 1, F.lit(block)) >= block - high).withColumn("block", F.col("block") + 1)
+    rows = placed.withColumn("own", F.lit(True)).unionByName(again.withColumn("own", F.lit(False)))
+    w = Window.partitionBy(*by, "block").orderBy("rank")
+    ago = lambda c, k: F.lag(c, k).over(w)
+    recent = F.array_union(F.coalesce(ago("terms", 1), F.array().cast("array<string>")), F.coalesce(ago("terms", 2), F.array().cast("array<string>")))
+    near = F.size(F.array_intersect("terms", recent)) / F.greatest(F.size(F.array_union("terms", recent)), F.lit(1))
+    answers = F.coalesce((ago("role", 1) != F.col("role")) & (ago("listener", 1) == F.col("speaker")), F.lit(False))
+    back = F.coalesce(*[F.when(F.arrays_overlap("names", ago("names", k)), k) for k in range(1, high + 1)])
+    return rows.withColumns({"quiet": (near < threshold) & ~answers, "back": back}).where("own").select(*by, "block", "rank", "turn_no", "quiet", "back")
+
+
 def segment(turns: DataFrame, low: int = 4, high: int = 12, threshold: float = 0.55, block: int = 4096) -> DataFrame:
     """(memory_id, session_id, turn_no, scene): scenes of ``low`` to ``high`` turns, cut where the topic turns.
 
     ``turns`` has terms and names arrays.  A scene ends at ``high`` turns, or from ``low`` on where the next
     turn shares under ``threshold`` of the terms of the last two, no name of the scene, and answers nobody.
-    A short last scene joins the one before if both fit.  Sessions are cut into blocks of ``block`` turns.
-    """
+    A short last scene joins the one before if both fit.
 
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["turn_index", "turn_no"]).itertuples())
-        scenes: list[list] = [[]]
-        for r in rows:
-            now = scenes[-1]
-            if len(now) >= high:
-                scenes.append([])
-            elif len(now) >= low:
-                left = {t for x in now[-2:] for t in x.terms}
-                right = set(r.terms)
-                near = len(left & right) / max(1, len(left | right))
-                names = {n for x in now for n in x.names} & set(r.names)
-                answers = now[-1].role != r.role and now[-1].listener == r.speaker
-                if near < threshold and not names and not answers:
-                    scenes.append([])
-            scenes[-1].append(r)
-        if len(scenes) > 1 and len(scenes[-1]) < low and len(scenes[-2]) + len(scenes[-1]) <= high:
-            tail = scenes.pop()
-            scenes[-1] += tail
-        base = int(group[2]) * 100_000
-        return pd.DataFrame([(group[0], group[1], x.turn_no, base + k) for k, s in enumerate(scenes) for x in s], columns=["memory_id", "session_id", "turn_no", "scene"])
-
-    keyed = turns.withColumn("_block", F.floor(F.coalesce("turn_index", F.lit(0)) / block).cast("int"))
-    return keyed.groupBy("memory_id", "session_id", "_block").applyInPandas(run, "memory_id string, session_id string, turn_no bigint, scene int")
+    The only state between turns is the length of the scene at hand.  So each block is folded once from every
+    length it may be entered with, the blocks' results are chained to find the true one, and a second fold
+    from it marks the cuts: no session is walked in one task.
+    """
+    by = ["memory_id", "session_id"]
+    signals = cut(_turn_signals(turns, high, threshold, block))
+
+    def length(now: Column, x: Column) -> Column:
+        ends = (now >= high) | ((now >= low) & x["quiet"] & (x["back"].isNull() | (x["back"] > now)))
+        return F.when(ends, F.lit(1)).otherwise(now + 1)
+
+    blocks = signals.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("rank", "turn_no", "quiet", "back"))).alias("turns"))
+    maps = blocks.select("*", F.transform(F.sequence(F.lit(0), F.lit(high)), lambda n: F.aggregate("turns", n, length)).alias("leads_to"))
+    earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    entered = maps.withColumn("entry", F.aggregate(F.collect_list("leads_to").over(earlier), F.lit(0), lambda n, m: F.element_at(m, n + 1)))
+    walked = F.aggregate("turns", F.array(F.col("entry")), lambda got, x: F.array_append(got, length(F.element_at(got, -1), x)))
+    rows = entered.select(*by, "block", F.explode(F.arrays_zip(F.col("turns.turn_no").alias("turn_no"), F.col("turns.rank").alias("rank"), F.slice(walked, F.lit(2), F.size("turns")).alias("length"))).alias("x"))
+    rows = cut(rows.select(*by, "block", "x.*").withColumn("starts", (F.col("length") == 1).cast("int")))
+    opened = rows.groupBy(*by, "block").agg(F.sum("starts").alias("n"))
+    opened = opened.select(*by, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.sum("starts").over(Window.partitionBy(*by, "block").orderBy("rank"))
+    scenes = rows.withColumn("inside", inside).join(opened, [*by, "block"]).select(*by, "turn_no", (F.col("before") + F.col("inside") - 1).cast("int").alias("scene"))
+    sizes = scenes.groupBy(*by, "scene").agg(F.count(F.lit(1)).alias("n"))
+    last = sizes.groupBy(*by).agg(F.max("scene").alias("last"))
+    ends = sizes.join(last, by).where("scene >= last - 1").groupBy(*by, "last").agg(F.sum("n").alias("both"), F.max(F.when(F.col("scene") == F.col("last"), F.col("n"))).alias("tail"))
+    joined = ends.where((F.col("last") > 0) & (F.col("tail") < low) & (F.col("both") <= high)).select(*by, F.col("last").alias("scene"), F.lit(1).alias("joins"))
+    return scenes.join(joined, [*by, "scene"], "left").select(*by, "turn_no", (F.col("scene") - F.coalesce("joins", F.lit(0))).cast("int").alias("scene"))
 
 
 def rare_terms(terms: DataFrame, share: float = 0.1) -> DataFrame:
@@ -109,15 +128,21 @@ def uncovered_units(units: DataFrame, facts: DataFrame) -> DataFrame:
     return units.join(met, "unit_id", "left_anti")
 
 
-def grouped_hierarchy(leaves: DataFrame, fanout: int) -> DataFrame:
-    """(memory_id, parent_id, child_id, level) of a tree over (memory_id, leaf_id) in id order, ``fanout`` to a parent, up to one root per memory."""
-    level, out, k = leaves.select("memory_id", F.col("leaf_id").alias("id")), None, 0
-    while True:
-        k += 1
-        w = Window.partitionBy("memory_id").orderBy("id")
-        group = F.floor((F.row_number().over(w) - 1) / fanout)
-        pairs = cut(level.select("memory_id", F.col("id").alias("child_id"), F.concat(F.lit(f"card{k:02d}:"), F.lpad(group.cast("string"), 9, "0")).alias("parent_id"), F.lit(k).alias("level")))
-        out = pairs if out is None else out.unionByName(pairs)
-        level = pairs.select("memory_id", F.col("parent_id").alias("id")).distinct()
-        if level.groupBy("memory_id").count().where("count > 1").isEmpty():
-            return out
+def grouped_hierarchy(leaves: DataFrame, fanout: int, sign: str | None = None) -> DataFrame:
+    """(memory_id, parent_id, child_id, level) of a tree over (memory_id, leaf_id), ``fanout`` to a parent, up to one root per memory.
+
+    Leaves stand in order of ``sign`` (null last), a column that is alike for leaves that belong together, then
+    of id; a card holds the next ``fanout`` of the level below.  So a leaf's place tells its card on every level.
+    """
+    rows = leaves.select("memory_id", "leaf_id", F.lit(0).alias("_s") if sign is None else F.col(sign).alias("_s")).distinct()
+    at = ranked(rows, ["memory_id"], [F.col("_s").asc_nulls_last(), F.col("leaf_id")], "place")
+    total = at.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
+    levels = F.lit(1)
+    for k in range(1, 20):
+        levels = levels + (F.lit(fanout**k) < F.col("n")).cast("int")
+    card = lambda k, width: F.concat(F.lit("card"), F.lpad(k.cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor((F.col("place") - 1) / width).cast("string"), 9, "0"))
+    per = at.join(total, "memory_id").select("*", F.explode(F.sequence(F.lit(1), levels)).alias("level"))
+    width = F.pow(F.lit(float(fanout)), F.col("level")).cast("bigint")
+    below = F.pow(F.lit(float(fanout)), F.col("level") - 1).cast("bigint")
+    first = per.where(F.pmod(F.col("place") - 1, below) == 0)
+    return first.select("memory_id", card(F.col("level"), width).alias("parent_id"), F.when(F.col("level") == 1, F.col("leaf_id")).otherwise(card(F.col("level") - 1, below)).alias("child_id"), "level")

@@ -99,8 +99,7 @@ def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def multiset_digest(row: Column) -> dict[str, Column]:
-    """Aggregates that tell a multiset of rows whatever their order: four 64-bit lanes of XOR and eight limb sums of SHA-256."""
+    """Aggregates that tell a multiset of rows whatever their order: XOR and sum of each of the eight 32-bit words of SHA-256."""
     h = F.sha2(row, 256)
-    lane = lambda k: F.conv(F.substring(h, 1 + 16 * k, 15), 16, 10).cast("bigint")
-    limb = lambda k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("bigint")
-    return {f"xor{k}": F.bit_xor(lane(k)) for k in range(4)} | {f"sum{k}": F.sum(limb(k)) for k in range(8)}
+    word = lambda k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("bigint")
+    return {f"xor{k}": F.bit_xor(word(k)) for k in range(8)} | {f"sum{k}": F.sum(word(k)) for k in range(8)}

@@ -91,40 +91,51 @@ def coverage(queries: DataFrame, post: DataFrame, sizes: DataFrame) -> DataFrame
     return held.join(whole, "query_id").select("query_id", "id", F.round(F.col("held") / F.col("whole"), 6).alias("coverage"))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, ident: str = "id", vector: str = "vector") -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int, ident: str = "id", vector: str = "vector", apart: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` vectors of highest cosine for each query vector, all compared.
 
-    Queries are taken in blocks of ``QUERY_BLOCK``; each partition of the corpus sends its own best k per
-    query, so what meets is k rows per query and partition.  Null or zero vectors are never met.
+    Both sides are cut into blocks: a block of ``QUERY_BLOCK`` queries meets every block of vectors, both by
+    shuffle, so neither side is held by the driver or a closure.  Each meeting leaves its own best k per
+    query.  With ``apart``, a column of the queries and one of the vectors, pairs with equal values are left
+    out before the k are chosen.  Null or zero vectors are never met.
     """
-    n = queries.count()
-    found = None
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", vector).collect()
-        ids = [r[0] for r in part]
-        q = np.array([r[1] for r in part], "f8") if part else np.zeros((0, 1))
-
-        def search(batches: Iterator[pd.DataFrame], ids: list = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            size = np.sqrt((q * q).sum(1, keepdims=True)) if len(q) else q
-            unit = q / np.where(size > 0, size, 1)
-            for batch in batches:
-                rows = [(i, v) for i, v in zip(batch[ident], batch[vector]) if v is not None and len(v) == q.shape[1]]
-                if not rows or not ids:
-                    continue
-                m = np.array([v for _, v in rows], "f8")
-                length = np.sqrt((m * m).sum(1, keepdims=True))
-                names = np.array([i for i, _ in rows])
-                good = (length > 0).ravel() & np.isfinite(length).ravel()
-                cos = np.round((m[good] / length[good]) @ unit.T, 6)
-                names = names[good]
-                for j in range(len(ids)):
-                    order = np.lexsort((names, -cos[:, j]))[:k]
-                    best[j] = sorted([*best[j], *((-float(cos[o, j]), int(names[o])) for o in order)])[:k]
-            out = [(ids[j], i, -s) for j, rows in enumerate(best) for s, i in rows]
-            yield pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-        got = vectors.select(ident, vector).mapInPandas(search, "query_id bigint, id bigint, score double")
-        found = got if found is None else found.unionByName(got)
-    return top(found, ["query_id"], k)
+    mine, other = apart or (None, None)
+    spark = queries.sparkSession
+    wide = max(1, -(-queries.count() // QUERY_BLOCK))
+    tall = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // wide, 1)
+    label = lambda c: (F.lit(None) if c is None else F.col(c)).cast("string").alias("label")
+    q = queries.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64("query_id"), F.lit(wide)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("vb"), F.lit(0).alias("side"), F.col("query_id").alias("no"), F.col(vector).cast("array<double>").alias("v"), label(mine))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(wide - 1).cast("bigint"))).alias("qb"), F.pmod(F.xxhash64(ident), F.lit(tall)).cast("int").alias("vb"), F.lit(1).alias("side"), F.col(ident).alias("no"), F.col(vector).cast("array<double>").alias("v"), label(other))
+
+    def unit(rows: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = rows[rows["v"].map(len) == size]
+        m = np.array(rows["v"].tolist(), "f8").reshape(len(rows), size)
+        length = np.sqrt((m * m).sum(1))
+        good = (length > 0) & np.isfinite(length)
+        return rows["no"].to_numpy("i8")[good], m[good] / length[good, None], rows["label"].to_numpy(object)[good]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, asked = None, []
+        for batch in batches:
+            for (qb, vb, side), part in batch.groupby(["qb", "vb", "side"], sort=False):
+                if (qb, vb) != of:
+                    of, asked = (qb, vb), []
+                for size in part["v"].map(len).unique():
+                    no, m, lab = unit(part, int(size))
+                    if side == 0:
+                        asked.append((size, no, m, lab))
+                        continue
+                    for q_size, q_no, q_m, q_lab in asked:
+                        if q_size != size or not len(no) or not len(q_no):
+                            continue
+                        cos = np.round(q_m @ m.T, 6)
+                        if mine is not None:
+                            cos[q_lab[:, None] == lab[None, :]] = -2.0
+                        order = np.argsort(no, kind="stable")
+                        top_k = order[np.argsort(-cos[:, order], axis=1, kind="stable")[:, :k]]
+                        score = np.take_along_axis(cos, top_k, 1)
+                        keep = score > -1.5
+                        yield pd.DataFrame({"query_id": np.repeat(q_no, keep.sum(1)), "id": no[top_k][keep], "score": score[keep]})
+
+    rows = q.unionByName(v).repartition(wide * tall, "qb", "vb").sortWithinPartitions("qb", "vb", "side")
+    return top(rows.mapInPandas(meet, "query_id bigint, id bigint, score double"), ["query_id"], k)

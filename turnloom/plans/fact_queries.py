@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.text import content_terms
 from turnloom.operators import facts as O
-from turnloom.plans.lineage import cut
+from turnloom.plans.lineage import cut, ranked
 from turnloom.plans.text_queries import sql_content
-from turnloom.sources.canonical import FACTS, facts
+from turnloom.sources.canonical import ASKS, FACTS, asks, facts
 from turnloom.sources.tables import table
 
 ONE_CHAIN = ["owner_id", "predicate"]
@@ -28,8 +28,9 @@ def flt_owner_pred(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flt_lookup_collections(spark: SparkSession, folder: str) -> DataFrame:
-    """Collections of an owner with the asked predicate, three of most members."""
-    c = facts(spark, folder).where("predicate = 'purchase'").groupBy("owner_id", "collection_key").agg(F.count(F.lit(1)).alias("n"))
+    """Collections of an owner with the predicate asked of its memory, three of most members."""
+    f = facts(spark, folder).join(asks(spark, folder), "memory_id").where("predicate = asked_predicate")
+    c = f.groupBy("owner_id", "collection_key").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("owner_id").orderBy(F.col("n").desc(), "collection_key")
     return c.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 
@@ -43,27 +44,31 @@ def flt_keep_fact(spark: SparkSession, folder: str) -> DataFrame:
 
 def _signals() -> dict:
     return {
-        "owner": F.col("owner_id").isin("u1", "u2", "u3", "u4", "u5"), "predicate": F.col("predicate").isin("purchase", "view"), "scope": F.col("scope") == "general",
-        "value_type": F.col("value_type") == "number", "temporal": F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"), "session": F.col("session_id") == "2024-01-05",
+        "owner": F.col("owner_id") == F.col("asked_owner"), "predicate": F.col("predicate") == F.col("asked_predicate"), "scope": F.col("collection_key") == F.col("asked_collection"),
+        "value_type": F.col("value_type") == "number", "temporal": F.coalesce(F.col("ts") < F.col("asked_ts"), F.lit(False)), "session": F.coalesce(F.col("session_id") == F.date_format("asked_ts", "yyyy-MM-dd"), F.lit(False)),
     }
 
 
 def flt_binding_veto(spark: SparkSession, folder: str) -> DataFrame:
-    v = O.veto(F.col("owner_id").isin("u1", "u2"), F.col("polarity") == "negative", F.col("modality") == "planned", F.col("value_type") == "number", F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))
-    return facts(spark, folder).select("binding_id", v.alias("veto"))
+    """The first hard conflict of each fact with what is asked of its memory: another owner, negation, a mere plan, another type, a later time."""
+    v = O.veto(F.col("owner_id") != F.col("asked_owner"), F.col("polarity") == "negative", F.col("modality") == "planned", F.col("value_type") == "number", F.col("ts") > F.col("asked_ts"))
+    return facts(spark, folder).join(asks(spark, folder), "memory_id").select("binding_id", v.alias("veto"))
 
 
 def flt_accept(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts by the signals they share with what is asked of their memory."""
     s = _signals()
-    return facts(spark, folder).select("binding_id", F.round(O.signal_score(s), 4).alias("score"), O.accepted(s).alias("accepted"))
+    return facts(spark, folder).join(asks(spark, folder), "memory_id").select("binding_id", F.round(O.signal_score(s), 4).alias("score"), O.accepted(s).alias("accepted"))
 
 
 def flt_admissible(spark: SparkSession, folder: str) -> DataFrame:
-    """Why a fact is admitted: a source rank up to 32 overrides another owner."""
-    rank = F.pmod("binding_id", F.lit(64)) + 1
-    own = F.col("owner_id").isin("u1", "u2", "u3")
-    code = F.when(own, "owner").when(rank <= 32, "source_rank").when(F.col("polarity") == "negative", "rejected_polarity").otherwise("rejected_owner")
-    return facts(spark, folder).select("binding_id", code.alias("reason"), code.isin("owner", "source_rank").alias("admitted"))
+    """Why a fact is admitted: its owner is the asked one, or it is among the 32 last facts of its memory (its source rank), which overrides another owner."""
+    f = facts(spark, folder)
+    w = Window.partitionBy("memory_id").orderBy(F.col("ts").desc_nulls_last(), F.col("binding_id").desc())
+    near = f.select("memory_id", "binding_id", F.row_number().over(w).alias("k")).where("k <= 32").select("binding_id", F.lit(True).alias("near"))
+    rows = f.join(asks(spark, folder), "memory_id").join(near, "binding_id", "left")
+    code = F.when(F.col("owner_id") == F.col("asked_owner"), "owner").when(F.coalesce("near", F.lit(False)), "source_rank").when(F.col("polarity") == "negative", "rejected_polarity").otherwise("rejected_owner")
+    return rows.select("binding_id", code.alias("reason"), code.isin("owner", "source_rank").alias("admitted"))
 
 
 def flt_alias(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,11 +154,29 @@ def win_lead_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def join_interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of memories' session days that overlap in time with an owner's purchase span."""
+    """Of each owner's purchase span, how many owners' view spans of the memory overlap it.
+
+    Spans overlap unless one ends before the other starts, so two counts over the sorted ends do: no pair is
+    made.  The places of starts and ends come from ranges, not from one task a memory.
+    """
     f = facts(spark, folder).where("ts is not null")
     span = f.where("operand_id = 'o1'").groupBy("memory_id", "owner_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     other = f.where("operand_id = 'o2'").groupBy("memory_id", F.col("owner_id").alias("other_id")).agg(F.min("ts").alias("start2"), F.max("ts").alias("end2"))
-    return span.join(other, "memory_id").where("start <= end2 and start2 <= end").groupBy("owner_id").agg(F.count(F.lit(1)).alias("overlaps"))
+    none = F.lit(None).cast("string")
+    # Ends of the others before a start, and starts of the others up to an end: on a tie a span's start stands before an end, and an end behind a start.
+    ended = span.select("memory_id", "owner_id", F.col("start").alias("at"), F.lit(0).alias("kind")).unionByName(other.select("memory_id", none.alias("owner_id"), F.col("end2").alias("at"), F.lit(1).alias("kind")))
+    begun = span.select("memory_id", "owner_id", F.col("end").alias("at"), F.lit(1).alias("kind")).unionByName(other.select("memory_id", none.alias("owner_id"), F.col("start2").alias("at"), F.lit(0).alias("kind")))
+
+    def before(rows: DataFrame, name: str) -> DataFrame:
+        """How many of the others stand before each span of an owner: its place among all less its place among the spans."""
+        kept = cut(rows.withColumn("no", F.monotonically_increasing_id()))
+        order = [F.col("at"), F.col("kind"), F.col("no")]
+        every = ranked(kept, ["memory_id"], order, "place")
+        own = ranked(every.where("owner_id is not null"), ["memory_id"], order, "mine")
+        return own.select("memory_id", "owner_id", (F.col("place") - F.col("mine")).alias(name))
+
+    both = before(begun, "begun").join(before(ended, "ended"), ["memory_id", "owner_id"])
+    return both.groupBy("owner_id").agg(F.sum(F.col("begun") - F.col("ended")).alias("overlaps")).where("overlaps > 0")
 
 
 def join_before(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,13 +195,18 @@ def join_shared_value(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def join_scene_referent(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions of one memory that share two rare terms or more, the six nearest of each by idf."""
+    """Sessions of one memory that share two rare terms or more (in 2 to 64 sessions), the six nearest of each by idf.
+
+    A rare term's sessions are one array of 64 at most, and its pairs are made inside the row: one shuffle by
+    term and one by pair.
+    """
     t = table(spark, folder, "turns", "memory_id", "session_id", "raw_text")
     w = cut(t.select("memory_id", "session_id", F.explode(content_terms(F.col("raw_text"))).alias("term")).distinct())
-    df = w.groupBy("memory_id", "term").agg(F.count(F.lit(1)).alias("df")).where("df between 2 and 6")
+    df = w.groupBy("memory_id", "term").agg(F.count(F.lit(1)).alias("df")).where("df between 2 and 64")
     n = w.select("memory_id", "session_id").distinct().groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
-    rare = w.join(df, ["memory_id", "term"]).join(n, "memory_id").select("memory_id", "term", "session_id", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    pairs = rare.join(rare.select("memory_id", "term", F.col("session_id").alias("other_session")), ["memory_id", "term"]).where("session_id <> other_session")
+    rare = w.join(df, ["memory_id", "term"]).groupBy("memory_id", "term", "df").agg(F.collect_list("session_id").alias("s")).join(n, "memory_id")
+    one = rare.select("memory_id", "s", F.log(1 + F.col("n") / F.col("df")).alias("idf"), F.explode("s").alias("session_id"))
+    pairs = one.select("memory_id", "session_id", "idf", F.explode("s").alias("other_session")).where("session_id <> other_session")
     scored = pairs.groupBy("memory_id", "session_id", "other_session").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum("idf"), 6).alias("score")).where("shared >= 2")
     rank = F.row_number().over(Window.partitionBy("memory_id", "session_id").orderBy(F.col("score").desc(), "other_session"))
     return scored.withColumn("rank", rank).where("rank <= 6")
@@ -206,13 +234,11 @@ def join_paired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def join_hierarchy_cross(spark: SparkSession, folder: str) -> DataFrame:
-    """Surviving pairs of regions open their nations against each other, bounded by the gate."""
+    """Pairs of regions that survived the gate (the next one and the one after) open their nations against each other, by equal keys."""
     nation = table(spark, folder, "nation", "n_nationkey", "n_regionkey")
-    gate = nation.select("n_regionkey").distinct()
-    pairs = gate.select(F.col("n_regionkey").alias("a")).join(gate.select(F.col("n_regionkey").alias("b")), F.expr("b between a + 1 and a + 2"))
-    left = nation.select(F.col("n_regionkey").alias("a"), F.col("n_nationkey").alias("left_id"))
+    left = nation.select(F.col("n_nationkey").alias("left_id"), F.explode(F.array(F.col("n_regionkey") + 1, F.col("n_regionkey") + 2)).alias("b"))
     right = nation.select(F.col("n_regionkey").alias("b"), F.col("n_nationkey").alias("right_id"))
-    return pairs.join(left, "a").join(right, "b").select("left_id", "right_id")
+    return left.join(right, "b").select("left_id", "right_id")
 
 
 def join_embedding(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,12 +327,12 @@ def agg_principals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def agg_percentile(spark: SparkSession, folder: str) -> DataFrame:
-    """Nearest-rank percentiles of latency per model: the row at ceil(p * n)."""
+    """Nearest-rank percentiles of latency per model: the row at ceil(p * n). Places come from ranges, so a model's rows never meet in one task."""
     a = table(spark, folder, "answers", "answer_model", "latency_ms", "answer_no").where("latency_ms >= 0 and not isnan(latency_ms)").withColumn("model", F.lower(F.trim("answer_model"))).where("model is not null")
-    w = Window.partitionBy("model")
-    r = a.select("model", "latency_ms", F.row_number().over(w.orderBy("latency_ms", "answer_no")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    r = ranked(a.select("model", "latency_ms", "answer_no"), ["model"], [F.col("latency_ms"), F.col("answer_no")], "k")
+    n = a.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     pick = lambda p: F.max(F.when(F.col("k") == F.ceil(F.lit(p) * F.col("n")), F.col("latency_ms")))
-    return r.groupBy("model").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+    return r.join(n, "model").groupBy("model").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
 
 
 def agg_mean_certified(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,13 +355,17 @@ def win_degree_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def win_mutual_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of vectors that are each other's nearest, with a cosine of 0.2 or more."""
+    """Vectors divisible by 20 and their nearest other, where each is the other's nearest, with a cosine of 0.2 or more."""
     from turnloom.operators.search import dense
 
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    best = dense(e.select(F.col("id").alias("query_id"), "vector"), e, 2).where("query_id <> id and score >= 0.2").groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"))
-    back = best.select(F.col("query_id").alias("id"), F.col("id").alias("query_id"))
-    return best.join(back, ["query_id", "id"], "left_semi").where("query_id < id").select("query_id", "id")
+
+    def nearest(q: DataFrame) -> DataFrame:
+        return dense(q.select(F.col("id").alias("query_id"), "vector"), e, 2).where("query_id <> id and score >= 0.2").groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"))
+
+    best = cut(nearest(e.where("id % 20 = 0")))
+    back = nearest(e.join(best.select("id"), "id", "left_semi")).select(F.col("query_id").alias("id"), F.col("id").alias("query_id"))
+    return best.join(back, ["query_id", "id"], "left_semi").select(F.least("query_id", "id").alias("query_id"), F.greatest("query_id", "id").alias("id")).distinct()
 
 
 def gb_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -343,10 +373,10 @@ def gb_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rt_bind(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts by how they fit the operand: owner 0.55, predicate overlap up to 0.35, scope 0.10; best of each owner."""
-    f = facts(spark, folder)
-    overlap = F.size(F.array_intersect(content_terms(F.col("predicate")), F.array(F.lit("purchase"), F.lit("view"))))
-    score = F.round(F.when(F.col("owner_id").isin("u1", "u2", "u3"), 0.55).otherwise(0.0) + F.least(F.lit(0.35), 0.18 * overlap) + F.when(F.col("scope") == "general", 0.10).otherwise(0.0), 4)
+    """Facts by how they fit what is asked of their memory: owner 0.55, predicate overlap up to 0.35, collection 0.10."""
+    f = facts(spark, folder).join(asks(spark, folder), "memory_id")
+    overlap = F.size(F.array_intersect(content_terms(F.col("predicate")), content_terms(F.concat_ws(" ", "asked_predicate", "asked_value"))))
+    score = F.round(F.when(F.col("owner_id") == F.col("asked_owner"), 0.55).otherwise(0.0) + F.least(F.lit(0.35), 0.18 * overlap) + F.when(F.col("collection_key") == F.col("asked_collection"), 0.10).otherwise(0.0), 4)
     return f.select("binding_id", score.alias("score"))
 
 
@@ -365,21 +395,21 @@ _LATE = "late AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY tu
 _NEXT = "n AS (SELECT *, lead(binding_id) OVER w AS next_id, lead(value_key) OVER w AS next_value, lead(ts) OVER w AS next_ts FROM facts {0} WINDOW w AS (PARTITION BY memory_id, owner_id, predicate ORDER BY ts ASC NULLS LAST, session_id, turn_index, binding_id))"
 _CH = ", ".join(O.CHAIN)
 _HEX = "CAST(('0x' || substr(h, {0}, {1})) AS UBIGINT)"
-_DIGEST = ", ".join([f"CAST(bit_xor({_HEX.format(1 + 16 * k, 15)}) AS BIGINT) AS xor{k}" for k in range(4)] + [f"CAST(sum({_HEX.format(1 + 8 * k, 8)}) AS BIGINT) AS sum{k}" for k in range(8)])
-_SIG = "owner_id IN ('u1','u2','u3','u4','u5') AS s1, predicate IN ('purchase','view') AS s2, scope = 'general' AS s3, value_type = 'number' AS s4, coalesce(ts < TIMESTAMP '2024-01-10', false) AS s5, session_id = '2024-01-05' AS s6"
+_DIGEST = ", ".join([f"CAST(bit_xor({_HEX.format(1 + 8 * k, 8)}) AS BIGINT) AS xor{k}" for k in range(8)] + [f"CAST(sum({_HEX.format(1 + 8 * k, 8)}) AS BIGINT) AS sum{k}" for k in range(8)])
+_SIG = "owner_id = asked_owner AS s1, predicate = asked_predicate AS s2, collection_key = asked_collection AS s3, value_type = 'number' AS s4, coalesce(ts < asked_ts, false) AS s5, coalesce(session_id = strftime(asked_ts, '%Y-%m-%d'), false) AS s6"
 _SCORE = "round(0.40::DOUBLE * s1::INT + 0.28::DOUBLE * s2::INT + 0.10::DOUBLE * s3::INT + 0.08::DOUBLE * s4::INT + 0.08::DOUBLE * s5::INT + 0.04::DOUBLE * s6::INT, 4)"
-_BIND = f"b AS (SELECT binding_id, round(CASE WHEN owner_id IN ('u1','u2','u3') THEN 0.55::DOUBLE ELSE 0 END + CASE WHEN predicate IN ('purchase', 'view') THEN 0.18::DOUBLE ELSE 0 END + 0.10::DOUBLE, 4) AS score FROM facts)"
+_BIND = f"""{ASKS}, b AS (SELECT binding_id, round(CASE WHEN owner_id = asked_owner THEN 0.55::DOUBLE ELSE 0 END + least(0.35::DOUBLE, 0.18::DOUBLE * len(list_intersect({sql_content('predicate')}, {sql_content("concat_ws(' ', asked_predicate, asked_value)")}))) + CASE WHEN collection_key = asked_collection THEN 0.10::DOUBLE ELSE 0 END, 4) AS score FROM facts JOIN asks USING (memory_id))"""
 
 SQL = {
     "flt_lookup_facts": f"""WITH {FACTS}, a AS (SELECT owner_id, 'purchase' AS wanted, binding_id FROM facts WHERE predicate = 'purchase' UNION ALL SELECT owner_id, 'click now', binding_id FROM facts WHERE predicate = 'click')
  SELECT owner_id, wanted, binding_id, row_number() OVER (PARTITION BY owner_id, wanted ORDER BY binding_id) AS rank FROM a QUALIFY rank <= 5""",
     "flt_owner_pred": f"WITH {FACTS} SELECT memory_id, owner_id, predicate, count(*) AS n, min(binding_id) AS first_id FROM facts GROUP BY ALL",
-    "flt_lookup_collections": f"WITH {FACTS}, c AS (SELECT owner_id, collection_key, count(*) AS n FROM facts WHERE predicate = 'purchase' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY n DESC, collection_key) AS rank FROM c QUALIFY rank <= 3",
+    "flt_lookup_collections": f"WITH {FACTS}, {ASKS}, c AS (SELECT owner_id, collection_key, count(*) AS n FROM facts JOIN asks USING (memory_id) WHERE predicate = asked_predicate GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY n DESC, collection_key) AS rank FROM c QUALIFY rank <= 3",
     "flt_keep_fact": """WITH a AS (SELECT answer_no, lower(CASE WHEN answer_no % 7 = 0 THEN 'shared a photo' ELSE coalesce(finish_reason, 'is') END) AS p, lower(coalesce(CASE WHEN answer_no % 5 = 0 THEN 'Yes' ELSE prediction END, '')) AS v FROM answers)
  SELECT answer_no, NOT regexp_matches(p, '\\b(shared|showed|sent)\\b.*\\b(media|photo|picture|image|caption)\\b') AND NOT (v IN ('yes', 'true', 'it', 'that') AND len(regexp_split_to_array(trim(p), '\\s+')) <= 2) AS kept FROM a""",
-    "flt_binding_veto": f"WITH {FACTS} SELECT binding_id, CASE WHEN owner_id IN ('u1', 'u2') THEN 'owner_conflict' WHEN polarity = 'negative' THEN 'polarity_conflict' WHEN modality = 'planned' THEN 'modality_conflict' WHEN ts >= TIMESTAMP '2024-01-20' THEN 'temporal_conflict' END AS veto FROM facts",
-    "flt_accept": f"WITH {FACTS}, s AS (SELECT binding_id, {_SIG} FROM facts) SELECT binding_id, {_SCORE} AS score, (s1 OR s2::INT + s3::INT + s4::INT + s5::INT + s6::INT >= 2) AND {_SCORE} >= 0.30 AS accepted FROM s",
-    "flt_admissible": f"WITH {FACTS}, c AS (SELECT binding_id, CASE WHEN owner_id IN ('u1', 'u2', 'u3') THEN 'owner' WHEN binding_id % 64 + 1 <= 32 THEN 'source_rank' WHEN polarity = 'negative' THEN 'rejected_polarity' ELSE 'rejected_owner' END AS reason FROM facts) SELECT *, reason IN ('owner', 'source_rank') AS admitted FROM c",
+    "flt_binding_veto": f"WITH {FACTS}, {ASKS} SELECT binding_id, CASE WHEN owner_id <> asked_owner THEN 'owner_conflict' WHEN polarity = 'negative' THEN 'polarity_conflict' WHEN modality = 'planned' THEN 'modality_conflict' WHEN ts > asked_ts THEN 'temporal_conflict' END AS veto FROM facts JOIN asks USING (memory_id)",
+    "flt_accept": f"WITH {FACTS}, {ASKS}, s AS (SELECT binding_id, {_SIG} FROM facts JOIN asks USING (memory_id)) SELECT binding_id, {_SCORE} AS score, (s1 OR s2::INT + s3::INT + s4::INT + s5::INT + s6::INT >= 2) AND {_SCORE} >= 0.30 AS accepted FROM s",
+    "flt_admissible": f"WITH {FACTS}, {ASKS}, c AS (SELECT binding_id, CASE WHEN owner_id = asked_owner THEN 'owner' WHEN row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC NULLS LAST, binding_id DESC) <= 32 THEN 'source_rank' WHEN polarity = 'negative' THEN 'rejected_polarity' ELSE 'rejected_owner' END AS reason FROM facts JOIN asks USING (memory_id)) SELECT *, reason IN ('owner', 'source_rank') AS admitted FROM c",
     "flt_alias": "SELECT DISTINCT lower(trim(speaker)) AS alias FROM turns WHERE length(lower(trim(speaker))) >= 3 AND lower(trim(speaker)) NOT IN ('user', 'assistant', 'system', 'tool', 'the', 'you')",
     "flt_authoritative": "SELECT turn_no FROM turns WHERE coalesce(lower(trim(role)) IN ('user', 'human'), false) OR coalesce(lower(trim(speaker)) NOT IN ('user', 'assistant', 'system', 'tool', ''), false)",
     "flt_promotable_value": "SELECT answer_no, trim(prediction, ' ') AS value FROM answers WHERE len(regexp_extract_all(trim(prediction, ' '), '[\\p{L}\\p{N}_''-]+')) BETWEEN 1 AND 4 AND NOT regexp_matches(trim(prediction, ' '), '[.!?;:]$') AND NOT regexp_matches(trim(prediction, ' '), '^[0-9 .,$€£%]+$')",
@@ -396,7 +426,7 @@ SQL = {
     "join_before": f"WITH {FACTS}, {_NEXT.format('WHERE ts IS NOT NULL')} SELECT binding_id, next_id FROM n WHERE ts < next_ts",
     "win_state_next": f"WITH {FACTS}, {_NEXT.format('')} SELECT binding_id, next_id FROM n WHERE next_id IS NOT NULL AND value_key <> next_value",
     "join_shared_value": f"WITH {FACTS}, c AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY memory_id, value_type, value_key ORDER BY binding_id) <= 16) SELECT a.binding_id, b.binding_id AS other_id FROM c a JOIN c b USING (memory_id, value_type, value_key) WHERE a.binding_id < b.binding_id AND a.session_id <> b.session_id",
-    "join_scene_referent": f"""WITH w AS (SELECT DISTINCT memory_id, session_id, unnest({sql_content('raw_text')}) AS term FROM turns), d AS (SELECT memory_id, term, count(*) AS df FROM w GROUP BY ALL HAVING df BETWEEN 2 AND 6), n AS (SELECT memory_id, count(DISTINCT session_id) AS n FROM w GROUP BY ALL),
+    "join_scene_referent": f"""WITH w AS (SELECT DISTINCT memory_id, session_id, unnest({sql_content('raw_text')}) AS term FROM turns), d AS (SELECT memory_id, term, count(*) AS df FROM w GROUP BY ALL HAVING df BETWEEN 2 AND 64), n AS (SELECT memory_id, count(DISTINCT session_id) AS n FROM w GROUP BY ALL),
  r AS (SELECT memory_id, term, session_id, ln(1 + n / df) AS idf FROM w JOIN d USING (memory_id, term) JOIN n USING (memory_id)),
  s AS (SELECT memory_id, a.session_id, b.session_id AS other_session, count(*) AS shared, round(sum(a.idf), 6) AS score FROM r a JOIN r b USING (memory_id, term) WHERE a.session_id <> b.session_id GROUP BY ALL HAVING shared >= 2)
  SELECT *, row_number() OVER (PARTITION BY memory_id, session_id ORDER BY score DESC, other_session) AS rank FROM s QUALIFY rank <= 6""",
@@ -423,8 +453,10 @@ SQL = {
     "agg_mean_certified": "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY ALL HAVING count(*) >= 3 AND count(*) = count(o_totalprice)",
     "agg_weekly_count": f"WITH {FACTS} SELECT owner_id, count(DISTINCT predicate || isodow(ts)) AS kinds FROM facts WHERE ts IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT predicate) >= 2",
     "win_degree_cap": "WITH e AS (SELECT l_partkey, sum(l_quantity) AS c, l_partkey * 100000 + l_suppkey AS edge_id FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT edge_id, row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, edge_id) AS rank FROM e QUALIFY rank <= 4",
-    "win_mutual_nearest": """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id),
- b AS (SELECT query_id, id FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1) SELECT x.query_id, x.id FROM b x JOIN b y ON x.query_id = y.id AND x.id = y.query_id WHERE x.query_id < x.id""",
+    "win_mutual_nearest": """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0),
+ t AS (SELECT query_id, arg_max(id, (score, -id)) AS id FROM (SELECT * FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1) GROUP BY query_id),
+ u AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM (SELECT * FROM e WHERE id IN (SELECT id FROM t)) a JOIN e b ON a.id <> b.id), w AS (SELECT query_id, id FROM u WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1)
+ SELECT DISTINCT least(t.query_id, t.id) AS query_id, greatest(t.query_id, t.id) AS id FROM t JOIN w ON w.query_id = t.id AND w.id = t.query_id""",
     "gb_dedup": f"WITH {_LATE} SELECT turn_id, turn_no FROM late",
     "rt_bind": f"WITH {FACTS}, {_BIND} SELECT * FROM b",
     "rt_collection_gate": f"WITH {FACTS}, {_BIND} SELECT * FROM b WHERE score >= 0.70",

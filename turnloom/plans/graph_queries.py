@@ -4,26 +4,39 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.text import content_terms, estimate_tokens, merge_surface, names
+from turnloom.functions.text import ARTICLES, content_terms, estimate_tokens, merge_surface, names, slots
 from turnloom.operators import build as B
+from turnloom.operators import compile as C
 from turnloom.operators import facts as O
 from turnloom.operators import graph as G
 from turnloom.operators import packing as P
 from turnloom.operators import storage as S
 from turnloom.plans import search_queries as SQ
-from turnloom.plans.lineage import shared_dir
-from turnloom.plans.text_queries import STOP_NAMES, sql_content, sql_terms
+from turnloom.plans.lineage import cut, ranked, shared_dir
+from turnloom.plans.text_queries import _SLOTS, STOP_NAMES, sql_content, sql_terms
 from turnloom.sources import ingest as I
-from turnloom.sources.canonical import FACTS, facts
+from turnloom.sources.canonical import ASKS, FACTS, asks, facts
 from turnloom.sources.tables import table
 from turnloom.sources.versions import VersionedTable
 
 LATE = "late AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC, turn_no DESC) = 1)"
 
 
+#: SQL of the kind of answer of rows with the slots.
+SQL_KIND = "CASE WHEN is_existence THEN 'existence' WHEN is_duration THEN 'date_difference' WHEN is_sum THEN 'sum' WHEN is_count THEN 'count' WHEN ordinal_index IS NOT NULL THEN 'ordinal' WHEN is_latest THEN 'state' WHEN temporal_relation IN ('before', 'after') THEN 'ordinal' ELSE 'list' END"
+
+
+def answer_kind(s: dict[str, Column]) -> Column:
+    """Kind of answer that a question's slots ask for, by precedence."""
+    return (
+        F.when(s["is_existence"], "existence").when(s["is_duration"], "date_difference").when(s["is_sum"], "sum").when(s["is_count"], "count")
+        .when(s["ordinal_index"].isNotNull(), "ordinal").when(s["is_latest"], "state").when(s["temporal_relation"].isin("before", "after"), "ordinal").otherwise("list")
+    )
+
+
 def _late(spark: SparkSession, folder: str) -> DataFrame:
     return O.last_per_key(table(spark, folder, "turns"), ["turn_id"], ["ingested_at", "turn_no"])
 
@@ -181,8 +194,11 @@ def _tree(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def rt_route_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set of customers divisible by 20, each by its nation's name and market segment, down the tree of regions, nations and customers."""
     nodes, tree = _tree(spark, folder)
-    q = table(spark, folder, "nation", "n_nationkey", "n_name").select(F.concat(F.lit("q"), "n_nationkey").alias("query_id"), content_terms(F.concat("n_name", F.lit(" building"))).alias("terms"))
+    n = table(spark, folder, "nation", "n_nationkey", "n_name")
+    c = table(spark, folder, "customer", "c_custkey", "c_nationkey", "c_mktsegment").where("c_custkey % 20 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    q = c.select(F.concat(F.lit("q"), "c_custkey").alias("query_id"), content_terms(F.concat_ws(" ", "n_name", "c_mktsegment")).alias("terms"))
     return G.beam_route(q, nodes, tree).select("query_id", "node_id", "depth", "score")
 
 
@@ -214,16 +230,20 @@ def _steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rt_node_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Shortest paths of up to two steps from every part divisible by 20."""
     steps = _steps(spark, folder)
-    sources = steps.where("node in ('p000001', 'p000002')").select(F.col("node").alias("source_id")).distinct()
-    return G.shortest_paths(sources, steps, 3).select("source_id", "node_id", "hops", F.array_join("path", ">").alias("path"))
+    sources = steps.where("node like 'p%'").where(F.substring("node", 2, 6).cast("int") % 20 == 0).select(F.col("node").alias("source_id")).distinct()
+    return G.shortest_paths(sources, steps, 2).select("source_id", "node_id", "hops", F.array_join("path", ">").alias("path"))
 
 
 def _expansion(spark: SparkSession, folder: str, hops: int) -> DataFrame:
+    """From every part divisible by 20, by the words of its brand and type."""
     steps = _steps(spark, folder)
-    seeds = steps.where("node like 'p%'").where(F.substring("node", 2, 6).cast("int") % 20 == 0).select(F.concat(F.lit("q"), "node").alias("query_id"), F.col("node").alias("node_id"), F.lit(1.0).alias("score")).distinct()
-    scored = seeds.select("query_id").join(steps.select("node").distinct().where("node like 's%'"), F.substring("query_id", -1, 1) == F.substring("node", -1, 1), "inner")
-    return G.expand(seeds, steps, scored.select("query_id", F.col("node").alias("node_id"), F.lit(0.5).alias("score")), 25, hops)
+    p = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type").select(
+        "p_partkey", F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("node"), content_terms(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("terms")
+    )
+    seeds = p.where("p_partkey % 20 = 0").join(steps.select("node").distinct(), "node", "left_semi")
+    return G.expand(seeds.select(F.concat(F.lit("q"), "node").alias("query_id"), F.col("node").alias("node_id"), F.col("terms").alias("query_terms")), steps, p, 25, hops)
 
 
 def rt_priority_expand(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,8 +251,15 @@ def rt_priority_expand(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rt_schedule(spark: SparkSession, folder: str) -> DataFrame:
-    """Visits within one hop: what a plan whose obligations are met at once would see."""
-    return _expansion(spark, folder, 1)
+    """Obligations first: of each query's visits within two hops, per term of the query the first node that holds it, then the rest by place, ten in all."""
+    got = _expansion(spark, folder, 2)
+    p = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("node"), content_terms(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("terms"))
+    asked = p.select(F.concat(F.lit("q"), "node").alias("query_id"), F.explode("terms").alias("term"))
+    holds = got.where("hops > 0").join(p.select(F.col("node").alias("node_id"), F.explode("terms").alias("term")), "node_id").join(asked, ["query_id", "term"])
+    first = holds.groupBy("query_id", "term").agg(F.min("place").alias("place")).groupBy("query_id", "place").agg(F.count(F.lit(1)).alias("proves"))
+    both = got.join(first, ["query_id", "place"], "left").withColumn("proves", F.coalesce("proves", F.lit(0)))
+    w = Window.partitionBy("query_id").orderBy(F.col("proves").desc(), "place")
+    return both.select("query_id", "node_id", "hops", "proves", F.row_number().over(w).alias("turn")).where("turn <= 10")
 
 
 def rt_provenance(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,19 +289,23 @@ def rt_speaker_bonus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rt_manifest_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Chains whose predicate or a value stands among the asked terms close their operand."""
-    m = O.manifests(facts(spark, folder).where("operand_id in ('o1', 'o2')"), ["owner_id", "predicate"])
-    hit = (F.col("predicate") == "purchase") | F.array_contains("value_keys", "42")
-    return m.where(hit).select("memory_id", "owner_id", "predicate", "member_count")
+    """Chains whose predicate, collection or a value is what is asked of their memory: they close its operand."""
+    m = O.manifests(facts(spark, folder), ["owner_id", "predicate", "collection_key"]).join(asks(spark, folder), "memory_id")
+    hit = (F.col("predicate") == F.col("asked_predicate")) | (F.col("collection_key") == F.col("asked_collection")) | F.array_contains("value_keys", F.col("asked_value"))
+    return m.where(F.coalesce(hit, F.lit(False))).select("memory_id", "owner_id", "predicate", "collection_key", "member_count")
 
 
 def rt_fact_reservoir(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts by reciprocal ranks over two orders, 30 per memory."""
-    f = facts(spark, folder).where("polarity = 'positive'")
-    w = Window.partitionBy("memory_id")
-    r = f.select("memory_id", "binding_id", F.row_number().over(w.orderBy(F.col("ts").desc_nulls_last(), "binding_id")).alias("a"), F.row_number().over(w.orderBy("value_key", "binding_id")).alias("b"))
-    s = r.withColumn("rrf", F.round(1.0 / (60 + F.col("a")) + 1.0 / (60 + F.col("b")), 9))
-    return s.withColumn("rank", F.row_number().over(w.orderBy(F.col("rrf").desc(), "binding_id"))).where("rank <= 30").select("memory_id", "binding_id", "rrf", "rank")
+    """Facts of each memory by reciprocal ranks over five channels, 30 each: newest, of the asked owner, of the asked predicate, of the asked collection, of the asked value.
+
+    A channel ranks only its own hits, newest first.  Places come from ranges, so a memory's facts never meet in one task; of the fused ones only each task's 30 best do.
+    """
+    f = facts(spark, folder).where("polarity = 'positive'").join(asks(spark, folder), "memory_id").select("memory_id", "binding_id", "ts", *(F.col(c) for c in ("owner_id", "predicate", "collection_key", "value_key", "asked_owner", "asked_predicate", "asked_collection", "asked_value")))
+    hits = {"new": F.lit(True), "owner": F.col("owner_id") == F.col("asked_owner"), "predicate": F.col("predicate") == F.col("asked_predicate"), "collection": F.col("collection_key") == F.col("asked_collection"), "value": F.col("value_key") == F.col("asked_value")}
+    rows = f.select("memory_id", "binding_id", "ts", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(c)) for c, h in hits.items()]))).alias("channel"))
+    r = ranked(rows, ["memory_id", "channel"], [F.col("ts").desc_nulls_last(), F.col("binding_id")], "k")
+    s = r.groupBy("memory_id", "binding_id").agg(F.round(F.sum(1.0 / (60 + F.col("k"))), 9).alias("rrf"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("memory_id").orderBy(F.col("rrf").desc(), "binding_id"))).where("rank <= 30")
 
 
 def rt_active_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,11 +325,12 @@ def rt_seed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rt_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Operand turns of the query set: twice the idf coverage, a bonus for numbers, 0.3 by rank; twelve each."""
+    """Operand turns of the query set: twice the idf coverage, 0.5 for a number, 0.3 over the place by coverage; twelve each."""
     cov = SQ.num_coverage(spark, folder).join(table(spark, folder, "turns", "turn_no", "raw_text").withColumnRenamed("turn_no", "id"), "id")
-    score = F.round(2 * F.col("coverage") + F.when(F.col("raw_text").rlike("[0-9]"), 0.5).otherwise(0.0), 6)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return cov.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where("rank <= 12")
+    w = Window.partitionBy("query_id")
+    place = F.row_number().over(w.orderBy(F.col("coverage").desc(), "id"))
+    score = F.round(2 * F.col("coverage") + F.when(F.col("raw_text").rlike("[0-9]"), 0.5).otherwise(0.0) + 0.3 / place, 6)
+    return cov.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), "id"))).where("rank <= 12")
 
 
 # Packing
@@ -306,16 +338,20 @@ def rt_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     f = SQ._fused(spark, folder).join(table(spark, folder, "turns", "turn_no", "raw_text").withColumnRenamed("turn_no", "id"), "id")
-    slots = F.array_compact(F.array(F.when(F.col("raw_text").rlike("[0-9]"), "number"), F.when(F.col("raw_text").contains("?"), "question")))
-    return f.select("query_id", "id", "session_id", "fused", estimate_tokens(F.col("raw_text")).cast("bigint").alias("token_cost"), slots.alias("slots"), (F.col("exact") >= 0.5).alias("mandatory"))
+    held = F.array_compact(F.array(F.when(F.col("raw_text").rlike("[0-9]"), "number"), F.when(F.col("raw_text").contains("?"), "question")))
+    return f.select("query_id", "id", "session_id", "fused", estimate_tokens(F.col("raw_text")).cast("bigint").alias("token_cost"), held.alias("slots"), (F.col("exact") >= 0.5).alias("mandatory"))
 
 
 def pack_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return P.pack_rank(_candidates(spark, folder), 6, 150)
+    """With two turns reserved for mandatory ones."""
+    return P.pack_rank(_candidates(spark, folder), 6, 150, 2)
 
 
 def pack_set_cover(spark: SparkSession, folder: str) -> DataFrame:
-    return P.pack_set_cover(_candidates(spark, folder), 6, 150)
+    """A new session weighs 0.9 where the question asks for a count or a list."""
+    s = slots(F.col("query"))
+    kinds = SQ.asked(spark, folder).select("query_id", (s["is_count"] | s["is_list"]).alias("many"))
+    return P.pack_set_cover(_candidates(spark, folder).join(kinds, "query_id"), 6, 150, F.when(F.col("many"), 0.9).otherwise(0.2))
 
 
 def pack_obligation(spark: SparkSession, folder: str) -> DataFrame:
@@ -339,9 +375,26 @@ def rt_topology_layout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rt_navigate(spark: SparkSession, folder: str) -> DataFrame:
-    """Question to packed evidence: search, fuse, pack, with the share of the budget used."""
-    p = pack_obligation(spark, folder)
-    return p.groupBy("query_id").agg(F.count(F.lit(1)).alias("turns"), F.max("used_tokens").alias("tokens"))
+    """Question to packed evidence: compiled, seeded, fused, packed by obligation, and certified.
+
+    Per query: the kind of answer its slots ask for, the owners it names, seeds, turns and tokens of the
+    pack, how many of its content terms the pack's texts hold, and whether all are (its certificate).
+    """
+    q = SQ.asked(spark, folder)
+    kind = answer_kind(slots(F.col("query"))).alias("kind")
+    people = C.principals(table(spark, folder, "turns", "memory_id", "speaker"))
+    named = C.owners(q, people).groupBy("query_id").agg(F.count_distinct("owner").alias("owners"))
+    cand = cut(_candidates(spark, folder))
+    seeds = cand.groupBy("query_id").agg(F.count(F.lit(1)).alias("seeds"))
+    pack = P.pack_obligation(cand, 6, 150)
+    texts = table(spark, folder, "turns", "turn_no", "raw_text").select(F.col("turn_no").alias("id"), F.explode(content_terms(F.col("raw_text"))).alias("term"))
+    wanted = q.select("query_id", F.explode(content_terms(F.col("query"))).alias("term"))
+    covered = pack.select("query_id", "id").join(texts, "id").select("query_id", "term").distinct().join(wanted, ["query_id", "term"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("covered"))
+    terms = F.size(content_terms(F.col("query")))
+    sizes = pack.groupBy("query_id").agg(F.count(F.lit(1)).alias("turns"), F.max("used_tokens").alias("tokens"))
+    got = q.select("query_id", kind, terms.alias("terms")).join(named, "query_id", "left").join(seeds, "query_id", "left").join(sizes, "query_id", "left").join(covered, "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return got.select("query_id", "kind", *map(zero, ("owners", "seeds", "turns", "tokens", "covered")), (F.coalesce("covered", F.lit(0)) >= F.col("terms")).alias("complete"))
 
 
 # Building
@@ -415,16 +468,13 @@ def gb_rel_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gb_knn_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Each queried vector's five nearest others of another label, as undirected pairs with the higher score."""
+    """Each queried vector's five nearest others of another label, as undirected pairs with the higher score: each label is searched by the queries of all others."""
     from turnloom.operators.search import dense
 
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    near = dense(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), e, 25)
-    lab = e.select("id", "label")
-    far = near.join(lab, "id").join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("q_label")), "query_id").where("label <> q_label")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    kept = far.withColumn("k", F.row_number().over(w)).where("k <= 5")
-    return kept.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("score"))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", F.col("label").alias("not_label"))
+    near = dense(q, e, 5, apart=("not_label", "label"))
+    return near.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("score"))
 
 
 def gb_sparse_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -441,9 +491,12 @@ def gb_canonicalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gb_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Recursive cards over each memory's sessions, eight to a card."""
-    s = table(spark, folder, "turns", "memory_id", "session_id").distinct().select("memory_id", F.col("session_id").alias("leaf_id"))
-    return B.grouped_hierarchy(s, 8)
+    """Recursive cards over each memory's sessions, eight to a card; sessions stand by the content term most of their turns hold, so that cards hold like ones."""
+    t = table(spark, folder, "turns", "memory_id", "session_id", "raw_text")
+    n = t.select("memory_id", "session_id", F.explode(content_terms(F.col("raw_text"))).alias("term")).groupBy("memory_id", "session_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    sign = n.groupBy("memory_id", "session_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "term"))["term"].alias("sign"))
+    s = t.select("memory_id", "session_id").distinct().join(sign, ["memory_id", "session_id"], "left")
+    return B.grouped_hierarchy(s.withColumnRenamed("session_id", "leaf_id"), 8, "sign")
 
 
 def _extracted(spark: SparkSession, folder: str) -> DataFrame:
@@ -518,9 +571,32 @@ _RARE = f"{_WORDS}, n AS (SELECT memory_id, count(DISTINCT session_id) AS s FROM
 _PAIRS = f"""{FACTS}, f AS (SELECT owner_id, list(DISTINCT value_key) AS v, min(ts) AS t, count(*) FILTER (operand_id = 'o1') AS n FROM facts GROUP BY ALL), a AS (SELECT CAST(substr(owner_id, 2) AS INT) AS u, v, t, n FROM f),
  sc AS (SELECT a.u, round(len(list_intersect(a.v, b.v)) / len(list_distinct(a.v || b.v)), 6) AS entity, round(exp(-abs(datediff('day', CAST(a.t AS DATE), CAST(b.t AS DATE))) / 90.0::DOUBLE), 6) AS near, round(least(a.n, b.n) / greatest(1, a.n, b.n), 6) AS state FROM a JOIN a b ON b.u = a.u + 1)"""
 _SPARSE = f"{FACTS}, d AS (SELECT DISTINCT memory_id, owner_id, value_key FROM facts), sp AS (SELECT memory_id, a.owner_id, b.owner_id AS other_id, count(*) AS shared FROM d a JOIN d b USING (memory_id, value_key) WHERE a.owner_id < b.owner_id GROUP BY ALL HAVING shared >= 5)"
-_RES = f"""{FACTS}, r AS (SELECT memory_id, operand_id, binding_id, row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC NULLS LAST, binding_id) AS a, row_number() OVER (PARTITION BY memory_id ORDER BY value_key, binding_id) AS b FROM facts WHERE polarity = 'positive'),
- rs AS (SELECT memory_id, operand_id, binding_id, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS rrf FROM r), rr AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY rrf DESC, binding_id) AS rank FROM rs QUALIFY rank <= 30)"""
-_CAND = f"{SQ._FUSED}, cand AS (SELECT query_id, id, fused, e >= 0.5 AS mandatory, CAST(greatest(1, ceil(len({sql_terms('raw_text')}) * 1.3::DOUBLE)) AS BIGINT) AS token_cost FROM f JOIN w USING (query_id, id) JOIN turns ON turn_no = id)"
+_RES = f"""{FACTS}, {ASKS}, pf AS (SELECT * FROM facts JOIN asks USING (memory_id) WHERE polarity = 'positive'), ch AS (SELECT memory_id, binding_id, ts, unnest(list_filter(['new', CASE WHEN owner_id = asked_owner THEN 'owner' END, CASE WHEN predicate = asked_predicate THEN 'predicate' END, CASE WHEN collection_key = asked_collection THEN 'collection' END, CASE WHEN value_key = asked_value THEN 'value' END], lambda c: c IS NOT NULL)) AS channel FROM pf),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY memory_id, channel ORDER BY ts DESC NULLS LAST, binding_id) AS k FROM ch), rs AS (SELECT memory_id, binding_id, any_value(operand_id) AS operand_id, round(sum(1.0::DOUBLE / (60 + k)), 9) AS rrf FROM rk JOIN (SELECT binding_id, operand_id FROM facts) USING (binding_id) GROUP BY memory_id, binding_id),
+ rr AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY rrf DESC, binding_id) AS rank FROM rs QUALIFY rank <= 30)"""
+_CAND = f"{SQ._FUSED}, cand AS (SELECT query_id, id, f.session_id, fused, e >= 0.5 AS mandatory, CAST(greatest(1, ceil(len({sql_terms('raw_text')}) * 1.3::DOUBLE)) AS BIGINT) AS token_cost, list_filter([CASE WHEN regexp_matches(raw_text, '[0-9]') THEN 'number' END, CASE WHEN contains(raw_text, '?') THEN 'question' END], lambda x: x IS NOT NULL) AS slots, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rk FROM f JOIN w USING (query_id, id) JOIN turns ON turn_no = id)"
+SQL_OWNERS = f"""WITH pr AS (SELECT DISTINCT memory_id, speaker, lower(trim(speaker)) AS l FROM turns WHERE speaker <> ''), q AS (SELECT question_id AS query_id, memory_id, ' ' || array_to_string({sql_terms('question')}, ' ') || ' ' AS t FROM questions),
+ nm AS (SELECT memory_id, speaker, array_to_string({sql_terms('speaker')}, ' ') AS alias FROM pr WHERE l NOT IN ('user', 'assistant', 'human', 'ai', 'system', 'tool')), h AS (SELECT query_id, speaker, alias FROM q JOIN nm USING (memory_id) WHERE length(alias) > 2 AND contains(t, ' ' || alias || ' ')),
+ k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.query_id = h.query_id AND length(o.alias) > length(h.alias) AND contains(' ' || o.alias || ' ', ' ' || h.alias || ' ')))
+ SELECT DISTINCT query_id, speaker AS owner, 'name' AS how, 0.95::DOUBLE AS confidence FROM k UNION SELECT DISTINCT query_id, speaker, 'deictic', 1.0::DOUBLE FROM q JOIN pr USING (memory_id) WHERE l IN ('user', 'human', 'ai', 'system', 'tool') AND regexp_matches(t, ' (i|my|me|mine) ')"""
+#: The fold of a pack over offers o (query_id, k, id, cost, slot, slots, most).
+_FOLD = """fold AS (SELECT query_id, 0::BIGINT AS k, []::BIGINT[] AS got, []::VARCHAR[] AS covered, 0::BIGINT AS tokens, NULL::BIGINT AS id, false AS took FROM (SELECT DISTINCT query_id FROM o)
+ UNION ALL SELECT query_id, k + 1, CASE WHEN t THEN list_append(got, nid) ELSE got END, CASE WHEN t THEN list_distinct(list_concat(covered, nslots)) ELSE covered END, CASE WHEN t THEN tokens + cost ELSE tokens END, nid, t
+ FROM (SELECT fold.query_id, fold.k, got, covered, tokens, o.id AS nid, o.cost AS cost, o.slots AS nslots, len(got) < least(most, 6) AND tokens + o.cost <= 150 AND NOT list_contains(got, o.id) AND (slot = '' OR NOT list_contains(covered, slot)) AS t FROM fold JOIN o ON o.query_id = fold.query_id AND o.k = fold.k + 1)),
+ pack AS (SELECT query_id, id, CAST(len(got) AS INT) AS place, tokens AS used_tokens FROM fold WHERE took)"""
+_O = "o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY lane, slot, rk) AS k, id, token_cost AS cost, slot, slots, most FROM ({0}))"
+_EVERY = "SELECT query_id, {0} AS lane, '' AS slot, rk, id, token_cost, slots, 6 AS most FROM cand"
+_RANK_PACK = f"RECURSIVE {_CAND}, {_O.format(_EVERY.format(1) + ' UNION ALL ' + _EVERY.format(0).replace('6 AS most', '2') + ' WHERE mandatory')}, {_FOLD}"
+_DUTY_PACK = f"RECURSIVE {_CAND}, {_O.format(_EVERY.format(2) + ' UNION ALL ' + _EVERY.format(0) + ' WHERE rk <= 4 UNION ALL SELECT query_id, 1, unnest(slots), rk, id, token_cost, slots, 6 FROM cand')}, {_FOLD}"
+_PARTS = "lpad(CAST({0} AS VARCHAR), 6, '0')"
+_EXPAND = f"""qty AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS c FROM lineitem GROUP BY ALL), e0 AS (SELECT 'p' || {_PARTS.format('l_partkey')} AS a, 's' || {_PARTS.format('l_suppkey')} AS b FROM qty QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, l_suppkey) <= 4), u AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+ pt AS (SELECT p_partkey, 'p' || {_PARTS.format('p_partkey')} AS node, list_distinct({sql_content("concat_ws(' ', p_name, p_brand, p_type)")}) AS terms FROM part),
+ x0 AS (SELECT 'q' || node AS query_id, terms AS qt, node AS node_id, 0 AS hops, 1.0::DOUBLE AS priority, 1 AS place FROM pt WHERE p_partkey % 20 = 0 AND node IN (SELECT a FROM u)),
+ y1 AS (SELECT DISTINCT query_id, qt, b AS node_id FROM x0 JOIN u ON a = node_id), x1 AS (SELECT query_id, qt, node_id, 1 AS hops, round(coalesce(len(list_intersect(qt, terms)), 0) / greatest(len(qt), 1) + 0.25::DOUBLE - 0.08::DOUBLE, 6) AS priority FROM y1 LEFT JOIN pt ON node = node_id WHERE 'q' || node_id <> query_id),
+ z1 AS (SELECT *, 1 + row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, node_id) AS place FROM x1 QUALIFY place <= 25), s1 AS (SELECT query_id, node_id FROM x0 UNION SELECT query_id, node_id FROM z1), n1 AS (SELECT query_id, count(*) AS used FROM s1 GROUP BY ALL),
+ y2 AS (SELECT DISTINCT query_id, qt, b AS node_id FROM z1 JOIN u ON a = node_id WHERE (query_id, b) NOT IN (SELECT (query_id, node_id) FROM s1)), x2 AS (SELECT query_id, qt, node_id, 2 AS hops, round(coalesce(len(list_intersect(qt, terms)), 0) / greatest(len(qt), 1) + 0.25::DOUBLE - 0.16::DOUBLE, 6) AS priority FROM y2 LEFT JOIN pt ON node = node_id),
+ z2 AS (SELECT x2.*, used + row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, node_id) AS place FROM x2 JOIN n1 USING (query_id) QUALIFY place <= 25),
+ ex AS (SELECT query_id, node_id, hops, priority, CAST(place AS INT) AS place FROM x0 UNION ALL SELECT query_id, node_id, hops, priority, CAST(place AS INT) FROM z1 UNION ALL SELECT query_id, node_id, hops, priority, CAST(place AS INT) FROM z2)"""
 _CHAINS = "n AS (SELECT *, lead(binding_id) OVER w AS next_id, lead(value_key) OVER w AS next_value FROM facts WINDOW w AS (PARTITION BY memory_id, owner_id, predicate ORDER BY ts ASC NULLS LAST, session_id, turn_index, binding_id))"
 
 SQL = {
@@ -544,7 +620,7 @@ SQL = {
     "sink_reports": f"WITH {FACTS} SELECT predicate, count(*) AS n FROM facts GROUP BY ALL",
     "rt_route_closure": f"""WITH {_TREE}, a AS (SELECT DISTINCT p AS root_id, p AS node_id, 0 AS hops FROM t WHERE p LIKE 'r%'), b AS (SELECT root_id, c AS node_id, 1 AS hops FROM a JOIN t ON p = node_id), d AS (SELECT root_id, c AS node_id, 2 AS hops FROM b JOIN t ON p = node_id)
  SELECT root_id, hops, count(*) AS n, min(node_id) AS first_node FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d) GROUP BY ALL""",
-    "rt_route_hierarchy": f"""WITH q AS (SELECT 'q' || n_nationkey AS query_id, list_distinct({sql_content("n_name || ' building'")}) AS qt FROM nation),
+    "rt_route_hierarchy": f"""WITH q AS (SELECT 'q' || c_custkey AS query_id, list_distinct({sql_content("n_name || ' ' || c_mktsegment")}) AS qt FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0),
  nd AS (SELECT 'r' || lpad(CAST(r_regionkey AS VARCHAR), 8, '0') AS node_id, NULL AS parent_id, {sql_content('r_name')} AS tm, 0.005::DOUBLE AS cf FROM region UNION ALL SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0'), 'r' || lpad(CAST(n_regionkey AS VARCHAR), 8, '0'), {sql_content('n_name')}, 0.007::DOUBLE FROM nation
   UNION ALL SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 8, '0'), 'n' || lpad(CAST(c_nationkey AS VARCHAR), 8, '0'), {sql_content('c_mktsegment')}, 0.009::DOUBLE FROM customer),
  s AS (SELECT query_id, node_id, parent_id, round(4.0::DOUBLE * len(list_intersect(tm, qt)) / greatest(1, len(qt)) + cf, 6) AS score FROM q, nd),
@@ -555,18 +631,18 @@ SQL = {
     "st_affected": f"WITH {_TREE}, b AS (SELECT c AS leaf, p FROM t WHERE c LIKE 'c%' AND CAST(substr(c, 2) AS INT) % 20 = 0), a AS (SELECT leaf, p AS node_id FROM b UNION ALL SELECT leaf, t.p FROM b JOIN t ON t.c = b.p) SELECT node_id, count(*) AS changed_leaves FROM a GROUP BY ALL",
     "rt_owner_terminals": f"WITH {FACTS} SELECT owner_id, binding_id, row_number() OVER (PARTITION BY owner_id ORDER BY value_key DESC, binding_id) AS rank FROM facts QUALIFY rank <= 20",
     "rt_node_paths": """WITH RECURSIVE q AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS c FROM lineitem GROUP BY ALL), e AS (SELECT 'p' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS a, 's' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS b FROM q QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, l_suppkey) <= 4), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
- w AS (SELECT DISTINCT a AS source_id, a AS node_id, 0 AS hops, a AS path FROM u WHERE a IN ('p000001', 'p000002') UNION ALL SELECT source_id, u.b, hops + 1, path || '>' || u.b FROM w JOIN u ON u.a = w.node_id WHERE hops < 3)
+ w AS (SELECT DISTINCT a AS source_id, a AS node_id, 0 AS hops, a AS path FROM u WHERE a LIKE 'p%' AND CAST(substr(a, 2) AS INT) % 20 = 0 UNION ALL SELECT source_id, u.b, hops + 1, path || '>' || u.b FROM w JOIN u ON u.a = w.node_id WHERE hops < 2)
  SELECT source_id, node_id, min((hops, path))[1] AS hops, min((hops, path))[2] AS path FROM w GROUP BY source_id, node_id""",
     "rt_provenance": f"WITH {LATE}, a AS (SELECT DISTINCT question_id, unnest(evidence_turn_ids) AS turn_id FROM answers) SELECT question_id, count(*) AS turns, min(turn_no) AS first_no FROM a JOIN late USING (turn_id) GROUP BY ALL",
     "rt_speaker_bonus": f"WITH {SQ._BASE} SELECT query_id, count(*) AS bonus_turns FROM qt JOIN turns ON memory_id = scope AND lower(speaker) = term WHERE lower(speaker) NOT IN ('user', 'assistant', 'system', 'tool') GROUP BY ALL",
-    "rt_manifest_match": f"WITH {FACTS} SELECT memory_id, owner_id, predicate, count(*) AS member_count FROM facts WHERE operand_id IN ('o1', 'o2') GROUP BY ALL HAVING predicate = 'purchase' OR bool_or(value_key = '42')",
+    "rt_manifest_match": f"WITH {FACTS}, {ASKS} SELECT memory_id, owner_id, predicate, collection_key, count(*) AS member_count FROM facts JOIN asks USING (memory_id) GROUP BY memory_id, owner_id, predicate, collection_key HAVING coalesce(bool_or(predicate = asked_predicate), false) OR coalesce(bool_or(collection_key = asked_collection), false) OR coalesce(bool_or(value_key = asked_value), false)",
     "rt_fact_reservoir": f"WITH {_RES} SELECT memory_id, binding_id, rrf, rank FROM rr",
     "rt_active_facts": f"WITH {_RES} SELECT memory_id, operand_id, binding_id, row_number() OVER (PARTITION BY memory_id, operand_id ORDER BY rank) AS k FROM rr QUALIFY k <= 8",
     "rt_seed": f"WITH {SQ._CHANNELS}, g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM c GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM g QUALIFY rank <= 20",
     "rt_session_router": "WITH b AS (" + SQ.SQL["topk_bm25"] + "), sb AS (" + SQ.SQL["topk_session_bm25"] + ") SELECT b.query_id, b.id FROM b JOIN turns ON turn_no = b.id JOIN sb ON sb.query_id = b.query_id AND sb.id = session_id AND sb.rank <= 2",
     "rt_session_flood": "WITH sb AS (" + SQ.SQL["topk_session_bm25"] + ") SELECT query_id, turn_no FROM sb JOIN questions q ON question_id = query_id JOIN turns t ON t.memory_id = q.memory_id AND t.session_id = sb.id WHERE rank = 1",
-    "rt_ledger": "WITH c AS (" + SQ.SQL["num_coverage"] + "), s AS (SELECT query_id, id, round(2 * coverage + CASE WHEN regexp_matches(raw_text, '[0-9]') THEN 0.5::DOUBLE ELSE 0 END, 6) AS score FROM c JOIN turns ON turn_no = id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 12",
-    "gb_knn_pairs": "WITH n AS (" + SQ._DENSE.format("").replace("rank <= 10", "rank <= 25") + "), k AS (SELECT query_id, id, score FROM n JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE a.label <> b.label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM k GROUP BY ALL",
+    "rt_ledger": "WITH c AS (" + SQ.SQL["num_coverage"] + "), s AS (SELECT query_id, id, round(2 * coverage + CASE WHEN regexp_matches(raw_text, '[0-9]') THEN 0.5::DOUBLE ELSE 0 END + 0.3::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, id), 6) AS score FROM c JOIN turns ON turn_no = id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 12",
+    "gb_knn_pairs": "WITH n AS (" + SQ._DENSE.format("").replace("rank <= 10", "rank <= 1000000000") + "), k AS (SELECT query_id, id, score FROM n JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE a.label <> b.label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5) SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM k GROUP BY ALL",
     "pack_render": f"WITH {_CAND}, r AS (SELECT query_id, id, row_number() OVER w AS place, CAST(sum(token_cost) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_tokens FROM cand WINDOW w AS (PARTITION BY query_id ORDER BY mandatory DESC, fused DESC, id)) SELECT * FROM r WHERE used_tokens <= 150",
     "gb_rare_terms": f"WITH {_RARE} SELECT memory_id, term, df FROM rare",
     "gb_entities": f"""WITH t AS (SELECT DISTINCT memory_id, session_id, turn_no, unnest(list_transform(list_filter(regexp_extract_all(raw_text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{2,}}$')), lambda w: lower(w))) AS name FROM turns)
@@ -588,4 +664,34 @@ SQL = {
     "map_child_postings": f"WITH {_WORDS} SELECT memory_id, term, string_agg(session_id, ',' ORDER BY session_id) AS children FROM w GROUP BY ALL HAVING count(*) BETWEEN 2 AND 6",
     "st_hwm": "SELECT user_id % 20 AS memory_id, max(event_id) AS \"offset\" FROM events WHERE event_type <> 'error' GROUP BY ALL",
     "id_stable": "SELECT question_id, 'query:' || substr(sha256('query|' || memory_id || '|' || question_id), 1, 32) AS stable_id FROM questions",
+    "rt_priority_expand": f"WITH {_EXPAND} SELECT * FROM ex",
+    "rt_schedule": f"""WITH {_EXPAND}, hold AS (SELECT query_id, node_id, place, unnest(terms) AS term FROM ex JOIN pt ON node = node_id WHERE hops > 0), wt AS (SELECT 'q' || node AS query_id, unnest(terms) AS term FROM pt), fi AS (SELECT query_id, term, min(place) AS place FROM hold JOIN wt USING (query_id, term) GROUP BY ALL), pv AS (SELECT query_id, place, count(*) AS proves FROM fi GROUP BY ALL)
+ SELECT query_id, node_id, hops, coalesce(proves, 0) AS proves, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(proves, 0) DESC, place) AS turn FROM ex LEFT JOIN pv USING (query_id, place) QUALIFY turn <= 10""",
+    "pack_rank": f"WITH {_RANK_PACK} SELECT * FROM pack",
+    "pack_units": f"WITH RECURSIVE {_CAND}, {_O.format(_EVERY.format('CASE WHEN mandatory THEN 0 ELSE 1 END'))}, {_FOLD} SELECT * FROM pack",
+    "pack_obligation": f"WITH {_DUTY_PACK} SELECT * FROM pack",
+    "pack_set_cover": f"""WITH RECURSIVE {_CAND}, kd AS (SELECT question_id AS query_id, CASE WHEN is_count OR is_list THEN 0.9::DOUBLE ELSE 0.2::DOUBLE END AS new FROM ({_SLOTS})),
+ st AS (SELECT query_id, list(struct_pack(id := id, fused := fused, cost := token_cost, slots := slots, session := coalesce(session_id, ''), new := new)) AS items FROM cand JOIN kd USING (query_id) GROUP BY query_id),
+ fold AS (SELECT query_id, items AS lft, []::BIGINT[] AS got, []::VARCHAR[] AS covered, []::VARCHAR[] AS sessions, 0::BIGINT AS tokens, NULL::BIGINT AS id, false AS took FROM st
+ UNION ALL SELECT query_id, list_filter(lft, lambda x: x.id <> b.x.id), CASE WHEN t THEN list_append(got, b.x.id) ELSE got END, CASE WHEN t THEN list_distinct(list_concat(covered, b.x.slots)) ELSE covered END, CASE WHEN t THEN list_append(sessions, b.x.session) ELSE sessions END, CASE WHEN t THEN tokens + b.x.cost ELSE tokens END, b.x.id, t
+ FROM (SELECT *, tokens + b.x.cost <= 150 AS t FROM (SELECT *, list_sort(list_transform(lft, lambda x: struct_pack(u := round(x.fused + 1.25::DOUBLE * len(list_filter(x.slots, lambda v: NOT list_contains(covered, v))) + CASE WHEN list_contains(sessions, x.session) THEN 0::DOUBLE ELSE x.new END - 0.0005::DOUBLE * x.cost, 9), f := x.fused, i := x.id, x := x)))[-1] AS b FROM fold WHERE len(lft) > 0 AND len(got) < 6)))
+ SELECT query_id, id, CAST(len(got) AS INT) AS place, tokens AS used_tokens FROM fold WHERE took""",
+    "rt_topology_layout": f"WITH {_RANK_PACK}, b AS (SELECT query_id, id, turn_index, session_id, min(place) OVER (PARTITION BY query_id, session_id) AS best FROM pack JOIN turns ON turn_no = id) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY best, session_id, turn_index NULLS FIRST, id) AS line FROM b",
+    "rt_navigate": f"""WITH {_DUTY_PACK}, kd AS (SELECT question_id AS query_id, {SQL_KIND} AS kind FROM ({_SLOTS})), ow AS (SELECT query_id, count(DISTINCT owner) AS owners FROM ({{0}}) GROUP BY ALL), sd AS (SELECT query_id, count(*) AS seeds FROM cand GROUP BY ALL), pz AS (SELECT query_id, count(*) AS turns, max(used_tokens) AS tokens FROM pack GROUP BY ALL),
+ ht AS (SELECT DISTINCT query_id, unnest({sql_content('raw_text')}) AS term FROM pack JOIN turns ON turn_no = id), cv AS (SELECT query_id, count(*) AS covered FROM ht JOIN qt USING (query_id, term) GROUP BY ALL)
+ SELECT query_id, kind, coalesce(owners, 0) AS owners, coalesce(seeds, 0) AS seeds, coalesce(turns, 0) AS turns, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, coalesce(covered, 0) AS covered, coalesce(covered, 0) >= len(words) AS complete FROM q JOIN kd USING (query_id) LEFT JOIN ow USING (query_id) LEFT JOIN sd USING (query_id) LEFT JOIN pz USING (query_id) LEFT JOIN cv USING (query_id)""".replace("{0}", SQL_OWNERS),
+    "gb_hierarchy": f"""WITH t AS (SELECT memory_id, session_id, unnest(list_distinct({sql_content('raw_text')})) AS term FROM turns), n AS (SELECT memory_id, session_id, term, count(*) AS n FROM t GROUP BY ALL), g AS (SELECT memory_id, session_id, arg_min(term, (-n, term)) AS sg FROM n GROUP BY ALL),
+ l AS (SELECT DISTINCT memory_id, session_id FROM turns), r AS (SELECT memory_id, session_id, row_number() OVER (PARTITION BY memory_id ORDER BY sg NULLS LAST, session_id) - 1 AS p, count(*) OVER (PARTITION BY memory_id) AS n FROM l LEFT JOIN g USING (memory_id, session_id)),
+ k AS (SELECT *, unnest(range(1, 20)) AS level FROM r), v AS (SELECT * FROM k WHERE level = 1 OR pow(8, level - 1) < n), f AS (SELECT memory_id, session_id, p, CAST(level AS INT) AS level, CAST(pow(8, level) AS BIGINT) AS wide, CAST(pow(8, level - 1) AS BIGINT) AS low FROM v)
+ SELECT memory_id, 'card' || lpad(CAST(level AS VARCHAR), 2, '0') || ':' || lpad(CAST(p // wide AS VARCHAR), 9, '0') AS parent_id, CASE WHEN level = 1 THEN session_id ELSE 'card' || lpad(CAST(level - 1 AS VARCHAR), 2, '0') || ':' || lpad(CAST(p // low AS VARCHAR), 9, '0') END AS child_id, level FROM f WHERE p % low = 0""",
+    "gb_segment": f"""WITH RECURSIVE {LATE}, t AS (SELECT memory_id, session_id, turn_no, lower(trim(role)) AS role, speaker, listener, list_distinct({sql_content("coalesce(raw_text, '')")}) AS tm, list_transform(list_filter(regexp_extract_all(coalesce(raw_text, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{2,}}$') AND NOT list_contains([{", ".join(f"'{x}'" for x in STOP_NAMES)}], lower(w))), lambda w: lower(w)) AS nm, row_number() OVER (PARTITION BY memory_id, session_id ORDER BY turn_index NULLS LAST, turn_no) AS rk FROM late),
+ g AS (SELECT memory_id, session_id, turn_no, rk, list_distinct(list_concat(coalesce(lag(tm, 1) OVER w, []), coalesce(lag(tm, 2) OVER w, []))) AS rc, tm, coalesce(lag(role) OVER w <> role AND lag(listener) OVER w = speaker, false) AS ans, coalesce({", ".join(f"CASE WHEN list_has_any(nm, lag(nm, {k}) OVER w) THEN {k} END" for k in range(1, 13))}) AS back FROM t WINDOW w AS (PARTITION BY memory_id, session_id ORDER BY rk)),
+ h AS (SELECT memory_id, session_id, turn_no, rk, back, len(list_intersect(tm, rc)) / greatest(1, len(list_distinct(list_concat(tm, rc)))) < 0.55 AND NOT ans AS quiet FROM g),
+ r AS (SELECT memory_id, session_id, turn_no, rk, 1 AS n, 0 AS scene FROM h WHERE rk = 1 UNION ALL SELECT h.memory_id, h.session_id, h.turn_no, h.rk, CASE WHEN x THEN 1 ELSE n + 1 END, CASE WHEN x THEN scene + 1 ELSE scene END
+  FROM (SELECT h.*, r.n, r.scene, r.n >= 12 OR (r.n >= 4 AND h.quiet AND (h.back IS NULL OR h.back > r.n)) AS x FROM r JOIN h ON h.memory_id IS NOT DISTINCT FROM r.memory_id AND h.session_id IS NOT DISTINCT FROM r.session_id AND h.rk = r.rk + 1) h),
+ z0 AS (SELECT memory_id, session_id, scene, count(*) AS n FROM r GROUP BY ALL), z AS (SELECT *, max(scene) OVER (PARTITION BY memory_id, session_id) AS last FROM z0), y AS (SELECT memory_id, session_id, last AS scene FROM z WHERE scene >= last - 1 AND last > 0 GROUP BY memory_id, session_id, last HAVING max(CASE WHEN scene = last THEN n END) < 4 AND sum(n) <= 12)
+ SELECT r.memory_id, r.session_id, turn_no, CAST(r.scene - CASE WHEN y.scene IS NULL THEN 0 ELSE 1 END AS INT) AS scene FROM r LEFT JOIN y ON y.memory_id IS NOT DISTINCT FROM r.memory_id AND y.session_id IS NOT DISTINCT FROM r.session_id AND y.scene = r.scene""",
+    "gb_merge_aliases": f"""WITH n AS (SELECT memory_id, count(DISTINCT coalesce(session_id, '')) AS sessions FROM turns WHERE regexp_matches(raw_text, '[\\p{{L}}\\p{{N}}_''-]') GROUP BY ALL), s AS (SELECT DISTINCT memory_id, session_id, unnest(regexp_extract_all(raw_text, '[\\p{{L}}\\p{{N}}_''-]+')) AS surface FROM turns),
+ b AS (SELECT *, regexp_replace(regexp_replace(lower(surface), '''s$', ''), 's''$', '') AS w FROM s WHERE lower(surface) NOT IN ({", ".join(f"'{x}'" for x in ARTICLES)})), k AS (SELECT *, CASE WHEN length(w) > 4 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END AS key FROM b),
+ g AS (SELECT memory_id, key, count(DISTINCT session_id) AS spread, list_sort(list(DISTINCT lower(surface))) AS forms FROM k WHERE length(key) >= 3 GROUP BY ALL) SELECT memory_id, key, array_to_string(forms, '|') AS forms FROM g JOIN n USING (memory_id) WHERE spread BETWEEN 2 AND greatest(2, floor(sessions * 0.5::DOUBLE)) AND len(forms) >= 2""",
 }

@@ -18,8 +18,9 @@ from turnloom.plans import search_queries as SQ
 from turnloom.plans import time_queries as TQ
 from turnloom.plans.compile_queries import _SAID, _said
 from turnloom.plans.lineage import shared_dir
+from turnloom.plans.text_queries import SQL as _TEXT_SQL
 from turnloom.plans.text_queries import STOP_NAMES, sql_content
-from turnloom.sources.canonical import FACTS, facts
+from turnloom.sources.canonical import ASKS, FACTS, asks, facts
 from turnloom.sources.tables import table
 from turnloom.sources.versions import StaleVersion, VersionedTable
 
@@ -121,12 +122,13 @@ def gb_typed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gb_refine_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """What neighbours in an owner's time may be refined to."""
+    """What neighbours in an owner's time may be refined to; how far it is trusted grows with how near they are in time: 1 on one day, 0.02 less a day."""
     f = facts(spark, folder)
     w = Window.partitionBy("owner_id").orderBy("binding_id")
     nxt = {c: F.lead(c).over(w) for c in ("binding_id", "value_key", "polarity", "predicate", "ts")}
     p = f.select("binding_id", "value_key", "polarity", "predicate", "ts", *(c.alias(f"n_{k}") for k, c in nxt.items())).where("n_binding_id is not null")
-    rel = R.refined_relation(F.lit(True), F.col("value_key") == F.col("n_value_key"), F.col("polarity") != F.col("n_polarity"), F.coalesce(F.col("ts") < F.col("n_ts"), F.lit(False)) & (F.col("predicate") == F.col("n_predicate")), F.lit(0.9))
+    trust = F.coalesce(F.greatest(F.lit(0.0), 1.0 - 0.02 * F.abs(F.datediff("n_ts", "ts"))), F.lit(0.5))
+    rel = R.refined_relation(F.lit(True), F.col("value_key") == F.col("n_value_key"), F.col("polarity") != F.col("n_polarity"), F.coalesce(F.col("ts") < F.col("n_ts"), F.lit(False)) & (F.col("predicate") == F.col("n_predicate")), F.round(trust, 6))
     return p.select("binding_id", rel.alias("relation"))
 
 
@@ -151,11 +153,14 @@ def gb_ambiguous(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gb_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """Families of the turns' words: members and whether the family's name is itself one of them."""
+    """Families of the turns' words, checked: a family needs two members or more, 64 at most, and its name must not be a member of another family."""
     from turnloom.plans.text_queries import str_predicate_family
 
-    f = str_predicate_family(spark, folder).where("family <> ''")
-    return f.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("word") == F.col("family")).alias("named"))
+    f = str_predicate_family(spark, folder).where("family <> ''").select("family", "word").distinct()
+    other = f.where("word <> family").select(F.col("word").alias("family"), F.lit(True).alias("elsewhere")).distinct()
+    g = f.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("word") == F.col("family")).alias("named"))
+    problem = F.when(F.col("members") < 2, "size_small").when(F.col("members") > 64, "size_large").when(F.coalesce("elsewhere", F.lit(False)), "collision")
+    return g.join(other, "family", "left").select("family", "members", "named", problem.alias("problem"))
 
 
 def rt_query_witness(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,9 +173,9 @@ def rt_query_witness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rt_diag_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """What relations add to seeds: nodes visited within no hop and within one."""
-    seed, one = GQ._expansion(spark, folder, 0), GQ._expansion(spark, folder, 1)
-    return one.groupBy("query_id").agg(F.count(F.lit(1)).alias("reached")).join(seed.groupBy("query_id").agg(F.count(F.lit(1)).alias("seeds")), "query_id")
+    """What relations add to seeds: nodes visited within no hop and within one, and how far the gain over a hop of the same width falls when destinations are shuffled by hash."""
+    one = GQ._expansion(spark, folder, 1)
+    return one.groupBy("query_id").agg(F.count(F.lit(1)).alias("reached"), F.count_if(F.col("hops") == 0).alias("seeds"), F.round(F.sum(F.when(F.col("hops") > 0, F.col("priority")).otherwise(0.0)), 6).alias("gain"))
 
 
 def st_recompile(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,17 +214,18 @@ def flt_eligible_refine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flt_edge_admissible(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges kept for a query that names value 42 or 7: keyed ones need it among their witnesses."""
+    """Edges kept for what is asked of their memory: weak ones need the asked value among their witnesses."""
     p = R.value_pairs(_owner_values(spark, folder), 6)
-    return p.where((F.col("shared") >= 3) | F.exists("witnesses", lambda v: v.isin("42", "7"))).select("scope", "a", "b")
+    a = asks(spark, folder).select(F.col("memory_id").alias("scope"), "asked_value")
+    return p.join(a, "scope").where((F.col("shared") >= 3) | F.coalesce(F.array_contains("witnesses", F.col("asked_value")), F.lit(False))).select("scope", "a", "b")
 
 
 def topk_fact_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts of each memory by how many of three asked values and types they hold, ten best."""
-    f = facts(spark, folder)
-    n = (F.col("value_key") == "42").cast("int") + (F.col("predicate") == "purchase").cast("int") + (F.col("collection_key") == "c2").cast("int")
-    w = Window.partitionBy("memory_id").orderBy(n.desc(), "binding_id")
-    return f.select("memory_id", "binding_id", n.alias("hits"), F.row_number().over(w).alias("rank")).where("hits > 0 and rank <= 10")
+    """Facts of each memory by how many of the asked value, predicate and collection they hold, ten best."""
+    f = facts(spark, folder).join(asks(spark, folder), "memory_id")
+    n = F.coalesce((F.col("value_key") == F.col("asked_value")).cast("int"), F.lit(0)) + (F.col("predicate") == F.col("asked_predicate")).cast("int") + F.coalesce((F.col("collection_key") == F.col("asked_collection")).cast("int"), F.lit(0))
+    w = Window.partitionBy("memory_id").orderBy(F.col("hits").desc(), "binding_id")
+    return f.select("memory_id", "binding_id", n.alias("hits")).where("hits > 0").withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
 
 def sv_source_notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,8 +277,8 @@ SQL = {
  pr AS (SELECT x.owner_id AS a, y.owner_id AS b, count(*) AS shared FROM o x JOIN o y USING (value_key) WHERE x.owner_id < y.owner_id GROUP BY ALL HAVING shared >= 20), m AS (SELECT DISTINCT owner_id, memory_id FROM f)
  SELECT a, b, shared FROM pr JOIN m ma ON ma.owner_id = a JOIN m mb ON mb.owner_id = b JOIN gt ON pa = least(ma.memory_id, mb.memory_id) AND pb = greatest(ma.memory_id, mb.memory_id)""",
     "gb_typed": f"WITH {FACTS}, p AS (SELECT binding_id, session_id, lead(binding_id) OVER w AS other_id, lead(session_id) OVER w AS os FROM facts WINDOW w AS (PARTITION BY owner_id, predicate, value_key ORDER BY session_id, binding_id)) SELECT binding_id, other_id, 'COREFERENCE' AS relation FROM p WHERE other_id IS NOT NULL AND session_id <> os",
-    "gb_refine_gate": f"""WITH {FACTS}, p AS (SELECT *, lead(binding_id) OVER w AS nb, lead(value_key) OVER w AS nv, lead(polarity) OVER w AS np, lead(predicate) OVER w AS npr, lead(ts) OVER w AS nt FROM facts WINDOW w AS (PARTITION BY owner_id ORDER BY binding_id))
- SELECT binding_id, CASE WHEN value_key = nv THEN 'COREFERENCE' WHEN polarity <> np THEN 'CONTRADICTS' WHEN coalesce(ts < nt, false) AND predicate = npr THEN 'UPDATES' END AS relation FROM p WHERE nb IS NOT NULL""",
+    "gb_refine_gate": f"""WITH {FACTS}, p AS (SELECT *, lead(binding_id) OVER w AS nb, lead(value_key) OVER w AS nv, lead(polarity) OVER w AS np, lead(predicate) OVER w AS npr, lead(ts) OVER w AS nt FROM facts WINDOW w AS (PARTITION BY owner_id ORDER BY binding_id)), c AS (SELECT *, round(coalesce(greatest(0, 1.0::DOUBLE - 0.02::DOUBLE * abs(datediff('day', CAST(ts AS DATE), CAST(nt AS DATE)))), 0.5::DOUBLE), 6) >= 0.82 AS sure FROM p WHERE nb IS NOT NULL)
+ SELECT binding_id, CASE WHEN value_key = nv AND sure THEN 'COREFERENCE' WHEN polarity <> np AND sure THEN 'CONTRADICTS' WHEN coalesce(ts < nt, false) AND predicate = npr AND NOT value_key = nv THEN 'UPDATES' END AS relation FROM c""",
     "gb_typed_edges": "SELECT relation, count(*) AS n, count(DISTINCT src) AS sources FROM (" + GQ.SQL["gb_facts_lean"] + ") GROUP BY relation",
     "gb_hierarchy_edges": f"WITH {GQ._TREE} SELECT p || '>' || c AS edge_id, 'REFINES_TO' AS relation FROM t",
     "gb_ambiguous": f"WITH n AS ({_NAMES}), p AS (SELECT *, lead(turn_no) OVER w AS other_no, lead(session_id) OVER w AS os FROM n WINDOW w AS (PARTITION BY memory_id, name ORDER BY turn_no)) SELECT memory_id, name, turn_no, other_no FROM p WHERE other_no IS NOT NULL AND session_id <> os QUALIFY row_number() OVER (PARTITION BY memory_id, name, session_id ORDER BY turn_no) <= 24",
@@ -284,8 +290,16 @@ SQL = {
  SELECT j.memory_id, j.session_id, nearest, round(s / (x.n + y.n - s), 6) AS score FROM j JOIN n x ON x.memory_id = j.memory_id AND x.session_id = j.session_id JOIN n y ON y.memory_id = j.memory_id AND y.session_id = nearest QUALIFY row_number() OVER (PARTITION BY j.memory_id, j.session_id ORDER BY score DESC, nearest) = 1""",
     "st_publish": f"WITH {FACTS} SELECT memory_id, count(*) AS n, true AS refused FROM facts GROUP BY memory_id",
     "flt_eligible_refine": "SELECT * FROM (" + GQ.SQL["gb_rel_gate"] + ") WHERE gate BETWEEN 0.70 AND 0.92",
-    "flt_edge_admissible": f"WITH {_VP} SELECT scope, a, b FROM vp WHERE shared >= 3 OR list_has_any(wit, ['42', '7'])",
-    "topk_fact_terms": f"WITH {FACTS}, h AS (SELECT memory_id, binding_id, CAST((value_key = '42')::INT + (predicate = 'purchase')::INT + (collection_key = 'c2')::INT AS INT) AS hits FROM facts) SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY hits DESC, binding_id) AS rank FROM h QUALIFY rank <= 10 AND hits > 0",
+    "flt_edge_admissible": f"WITH {_VP}, {ASKS} SELECT scope, a, b FROM vp JOIN asks ON memory_id = scope WHERE shared >= 3 OR coalesce(list_contains(wit, asked_value), false)",
+    "topk_fact_terms": f"WITH {FACTS}, {ASKS}, h AS (SELECT memory_id, binding_id, coalesce((value_key = asked_value)::INT, 0) + (predicate = asked_predicate)::INT + coalesce((collection_key = asked_collection)::INT, 0) AS hits FROM facts JOIN asks USING (memory_id)) SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY hits DESC, binding_id) AS rank FROM h WHERE hits > 0 QUALIFY rank <= 10",
     "sv_source_notes": "SELECT turn_no, '[source-time] ' || phrase || ' = ' || strftime(start, '%Y-%m-%d') AS note FROM (" + TQ.SQL["dt_normalize"] + ") WHERE start IS NOT NULL",
     "sv_qcache": "SELECT model_id, cache_key FROM query_embeddings QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY last_accessed DESC NULLS LAST, cache_key) <= 500",
+    "gb_vocabulary": "WITH f AS (SELECT DISTINCT family, word FROM (" + _TEXT_SQL["str_predicate_family"] + ") WHERE family <> ''), g AS (SELECT family, count(*) AS members, bool_or(word = family) AS named FROM f GROUP BY ALL) SELECT family, members, named, CASE WHEN members < 2 THEN 'size_small' WHEN members > 64 THEN 'size_large' WHEN family IN (SELECT word FROM f WHERE word <> family) THEN 'collision' END AS problem FROM g",
+    "rt_diag_probe": f"WITH {GQ._EXPAND} SELECT query_id, count(*) AS reached, count(*) FILTER (hops = 0) AS seeds, round(sum(CASE WHEN hops > 0 THEN priority ELSE 0 END), 6) AS gain FROM ex WHERE hops <= 1 GROUP BY ALL",
+    "str_sentence_chunks": """WITH RECURSIVE c AS (SELECT doc_id, -1 AS k, '' AS chunk, text AS rest FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT doc_id, k + 1, left(rest, n), substr(rest, n + 1) FROM (SELECT doc_id, k, rest, CASE WHEN length(rest) <= 400 THEN length(rest) WHEN m > 0 THEN m WHEN b > 0 THEN b ELSE 400 END AS n FROM (SELECT doc_id, k, rest,
+  greatest(CASE WHEN regexp_matches(h, '(?s)^.*[.!?] ') THEN length(regexp_extract(h, '(?s)^(.*)[.!?] ', 1)) + 1 ELSE 0 END, CASE WHEN contains(h, chr(10)) THEN length(regexp_extract(h, '(?s)^(.*)\\n', 1)) + 1 ELSE 0 END) AS m, CASE WHEN contains(h, ' ') THEN length(regexp_extract(h, '(?s)^(.*) ', 1)) + 1 ELSE 0 END AS b
+  FROM (SELECT doc_id, k, rest, left(rest, 400) AS h FROM c WHERE rest <> ''))))
+ SELECT doc_id, CAST(k AS INT) AS k, chunk FROM c WHERE k >= 0""",
+    "str_compact": f"WITH hit AS (" + SQ.SQL["topk_bm25"] + f"), {_SAID}, an AS (SELECT query_id, id, list_distinct({sql_content('question')}) AS w FROM hit JOIN questions ON question_id = query_id WHERE rank = 1), b AS (SELECT query_id, id, sentence, row_number() OVER (PARTITION BY query_id, id ORDER BY len(list_intersect(list_distinct({sql_content('sentence')}), w)) DESC, pos) AS k FROM an JOIN said ON turn_no = id) SELECT an.query_id, an.id, left(sentence, 80) AS excerpt FROM an LEFT JOIN b ON b.query_id = an.query_id AND b.id = an.id AND k = 1",
 }

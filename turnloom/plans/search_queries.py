@@ -251,4 +251,6 @@ SQL = {
  h AS (SELECT *, pr < least(n, 12, 4, 6) AS head, round(1.0::DOUBLE / (60 + pr) + 1.0::DOUBLE / (60 + cr), 9) AS rr FROM r)
  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY NOT head, CASE WHEN head THEN pr ELSE 0 END, rr DESC, cr, pr, id) AS place, head FROM h""",
     "win_round_robin": f"WITH {_CHANNELS}, m AS (SELECT query_id, id, min((rank, channel)) AS pos FROM c GROUP BY ALL) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos, id) AS place FROM m QUALIFY place <= 12",
+    "vec_hash": f"""WITH {_BASE}, h AS (SELECT query_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS place, CASE WHEN CAST('0x' || substr(md5(term), 9, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sg FROM qt), p1 AS (SELECT query_id, place, abs(sum(sg)) AS m FROM h GROUP BY ALL), n1 AS (SELECT query_id, sum(m) AS mass FROM p1 GROUP BY ALL)
+ SELECT q.query_id, 256 AS dims, CAST(len(words) AS INT) AS n_terms, CAST(coalesce(mass, 0) AS DOUBLE) AS mass FROM q LEFT JOIN n1 USING (query_id)""",
 }

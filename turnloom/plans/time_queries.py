@@ -87,7 +87,7 @@ def num_scalar(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def num_list(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers of each answer; lookbehind has no SQL twin, the tests compare with a plain scan."""
+    """Numbers of each answer; the twin takes the sign before a number along in place of the lookbehind."""
     return table(spark, folder, "answers", "answer_no", "prediction").select("answer_no", F.array_join(N.number_list(F.col("prediction")), "|").alias("numbers"))
 
 
@@ -185,11 +185,8 @@ def ev_holdout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ev_paired(spark: SparkSession, folder: str) -> DataFrame:
-    """Gains and losses of the last answers against the first; a verdict is the parity of ``evidence_tokens``, as in the SQL twin. ``judged`` reads the answers."""
-    q = table(spark, folder, "questions", "question_id", "question_type", "gold_answer").where("gold_answer is not null")
-    a = table(spark, folder, "answers", "question_id", "answer_no", "evidence_tokens").where("evidence_tokens is not null")
-    p = a.groupBy("question_id").agg((F.min_by("evidence_tokens", "answer_no") % 2 == 0).alias("base"), (F.max_by("evidence_tokens", "answer_no") % 2 == 0).alias("candidate"))
-    return q.join(p, "question_id").groupBy("question_type").agg(F.count_if(~F.col("base") & F.col("candidate")).alias("gains"), F.count_if(F.col("base") & ~F.col("candidate")).alias("losses"))
+    """Gains and losses of the last predictions against the first, judged by the gold answer."""
+    return judged(table(spark, folder, "questions", "question_id", "question_type", "gold_answer"), table(spark, folder, "answers", "question_id", "answer_no", "prediction"))
 
 
 def _words(text: Column) -> Column:
@@ -219,7 +216,7 @@ def agg_mcnemar(spark: SparkSession, folder: str) -> DataFrame:
 
     def test(batches):
         for b in batches:
-            yield b.assign(p_value=[M.mcnemar(int(g), int(x)) for g, x in zip(b["gains"], b["losses"])])
+            yield b.assign(p_value=[round(M.mcnemar(int(g), int(x)), 6) for g, x in zip(b["gains"], b["losses"])])
 
     pairs = judged(table(spark, folder, "questions", "question_id", "question_type", "gold_answer"), table(spark, folder, "answers", "question_id", "answer_no", "prediction"))
     return pairs.mapInPandas(test, "question_type string, gains bigint, losses bigint, p_value double")
@@ -251,6 +248,11 @@ _STRATA = f"{_GF}, st AS (SELECT s.*, question_type AS stratum FROM s JOIN quest
 _MACRO = "m AS (SELECT stratum, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, count(*) AS n FROM st GROUP BY ALL), mm AS (SELECT * FROM m UNION ALL SELECT 'overall', avg(precision), avg(recall), avg(f1), count(*) FROM st UNION ALL SELECT 'equal_stratum', avg(precision), avg(recall), avg(f1), count(*) FROM m)"
 _MICRO = "mi AS (SELECT stratum, sum(hits) AS h, sum(turns) AS t, sum(gold) AS g FROM st GROUP BY ALL), mk AS (SELECT stratum, round(coalesce(h / nullif(t, 0), 0), 6) AS precision, round(coalesce(h / nullif(g, 0), 0), 6) AS recall, round(CASE WHEN h = 0 THEN 0 ELSE 2 * (h / t) * (h / g) / (h / t + h / g) END, 6) AS f1 FROM mi)"
 
+_BARE = "' ' || trim(regexp_replace(lower({0}), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' ') || ' '"
+_RIGHT = f"coalesce(CASE WHEN trim(g, ' ') = '' THEN contains(@, gold_answer) ELSE contains({_BARE.replace('{0}', '@')}, g) END, false)"
+_JUDGED = f"""an AS (SELECT question_id, arg_min({{'p': prediction}}, answer_no).p AS a, arg_max({{'p': prediction}}, answer_no).p AS z FROM answers GROUP BY ALL), gd AS (SELECT question_id, question_type, gold_answer, {_BARE.replace('{0}', 'gold_answer')} AS g FROM questions WHERE gold_answer IS NOT NULL),
+ vd AS (SELECT question_type, {_RIGHT.replace('@', 'a')} AS base, CASE WHEN a IS NOT DISTINCT FROM z THEN {_RIGHT.replace('@', 'a')} ELSE {_RIGHT.replace('@', 'z')} END AS cand FROM gd JOIN an USING (question_id)), jd AS (SELECT question_type, count(*) FILTER (NOT base AND cand) AS gains, count(*) FILTER (base AND NOT cand) AS losses FROM vd GROUP BY ALL)"""
+
 SQL = {
     "dt_extract": f"SELECT turn_no, {_PH} AS phrase FROM turns",
     "dt_extract_all": f"SELECT turn_no, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw_text, {_r(D.PHRASE)}), lambda p: regexp_replace(p, '\\s+', ' ', 'g')))), '|') AS phrases FROM turns",
@@ -285,5 +287,7 @@ SQL = {
     "ev_navigation": f"WITH {_GF}, n AS (SELECT memory_id, count(*) AS a FROM turns GROUP BY ALL) SELECT query_id, round(turns / a, 6) AS selectivity, round(coalesce(a / nullif(turns, 0), 0), 6) AS compression FROM s JOIN questions ON question_id = query_id JOIN n USING (memory_id)",
     "ev_calibration": "SELECT question_id, question_type FROM questions QUALIFY row_number() OVER (PARTITION BY question_type ORDER BY sha256('17:' || question_id)) <= 10",
     "ev_holdout": "WITH m AS (SELECT DISTINCT memory_id, CAST(('0x' || substr(sha256('23:' || memory_id), 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE AS x FROM questions) SELECT memory_id, CASE WHEN x < 0.6 THEN 'train' WHEN x < 0.8 THEN 'validation' ELSE 'test' END AS split FROM m",
-    "ev_paired": "WITH p AS (SELECT question_id, arg_min(evidence_tokens, answer_no) % 2 = 0 AS b, arg_max(evidence_tokens, answer_no) % 2 = 0 AS c FROM answers WHERE evidence_tokens IS NOT NULL GROUP BY ALL) SELECT question_type, count(*) FILTER (NOT b AND c) AS gains, count(*) FILTER (b AND NOT c) AS losses FROM questions JOIN p USING (question_id) WHERE gold_answer IS NOT NULL GROUP BY ALL",
+    "ev_paired": f"WITH {_JUDGED} SELECT * FROM jd",
+    "agg_mcnemar": f"WITH {_JUDGED}, x AS (SELECT *, gains + losses AS n, unnest(range(least(gains, losses) + 1)) AS i FROM jd) SELECT question_type, gains, losses, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE)))), 6) END AS p_value FROM x GROUP BY question_type, gains, losses, n",
+    "num_list": f"WITH a AS (SELECT answer_no, list_filter(list_transform(regexp_extract_all(prediction, {_r('(?i)(?:^|[^' + chr(92) + 'w])(' + N.NUMBER.split('])', 1)[1] + ')')}, 1), lambda n: trim(regexp_replace(n, '\\s+', ' ', 'g'), ' ')), lambda n: NOT regexp_matches(n, '^(19|20)[0-9][0-9]$')) AS l FROM answers) SELECT answer_no, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '|') AS numbers FROM a",
 }

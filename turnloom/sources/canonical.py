@@ -63,3 +63,14 @@ def closed_operands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CLOSED = "closed AS (SELECT memory_id, operand_id FROM facts GROUP BY memory_id, operand_id HAVING count(*) % 2 = 0)"
+
+
+def asks(spark: SparkSession, folder: str) -> DataFrame:
+    """What is asked of each memory: owner, predicate, value, collection and time of its last fact (undated ones first, then by id)."""
+    f = facts(spark, folder)
+    last = F.struct(F.col("ts").isNotNull(), "ts", "binding_id")
+    got = f.groupBy("memory_id").agg(F.max_by(F.struct("owner_id", "predicate", "value_key", "collection_key", "ts"), last).alias("a"))
+    return got.select("memory_id", *(F.col(f"a.{c}").alias(f"asked_{n}") for c, n in (("owner_id", "owner"), ("predicate", "predicate"), ("value_key", "value"), ("collection_key", "collection"), ("ts", "ts"))))
+
+
+ASKS = "asks AS (SELECT memory_id, owner_id AS asked_owner, predicate AS asked_predicate, value_key AS asked_value, collection_key AS asked_collection, ts AS asked_ts FROM facts QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY ts IS NOT NULL DESC, ts DESC, binding_id DESC) = 1)"

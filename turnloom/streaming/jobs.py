@@ -71,6 +71,15 @@ def job_states(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("job_id").applyInPandasWithState(step, "job_id bigint, state string, attempts int, refused int", "state string, attempts int, refused int", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_states(transitions: DataFrame, path: str, checkpoint: str):
+    """A query that appends what ``job_states`` gives for a stream to a folder of batches, each batch once; the states live in ``checkpoint``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return job_states(transitions).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def replayed(jobs: DataFrame) -> DataFrame:
     """The state each job (job_id, seq, wanted) ends in, in one batch."""
 
