@@ -65,3 +65,21 @@ def test_operator_joins_the_turns_session(spark):
     got = {(r.record_kind, r.record_no): r.utc_us for r in normalise_instants(s, t).collect()}
     assert got == {("session", 1): us(datetime(2024, 1, 1, 9, tzinfo=UTC)), ("session", 2): us(datetime(2024, 1, 1, 9, tzinfo=UTC)), ("turn", 5): us(datetime(2024, 7, 1, 8, tzinfo=UTC)), ("turn", 7): us(datetime(2024, 7, 1, 10, tzinfo=UTC))}
     assert normalise_instants(s.limit(0), t.limit(0)).count() == 0
+
+
+def test_no_length_rules_a_text_out():
+    long = "2024-01-01T00:00:00." + "0" * 300 + "Z"
+    texts = [long, "  2024-01-01 \t 00:00:00" + " " * 200 + "+01:00  ", "x 1 " * 5000, "2024-01-01T00:00:00.000001Z" + "9" * 500]
+    got = I.to_utc(texts, [None] * 4, [None] * 4)
+    second = 1_704_067_200 * 1_000_000
+    assert got[0] == second and got[1] == second - 3_600_000_000 and got[2] is None and got[3] is None
+
+
+def test_wall_times_outside_the_tables():
+    texts = ["2150-07-01 12:00:00", "1850-07-01 12:00:00", "2150-07-01T12:00:00+02:00[Europe/Berlin]", "2150-01-01T12:00:00+02:00[Europe/Berlin]"]
+    got = I.to_utc(texts, ["Europe/Berlin"] * 4, ["dmy"] * 4)
+    from datetime import UTC, datetime
+    from zoneinfo import ZoneInfo
+
+    micro = lambda y, m, h: int((datetime(y, m, 1, h, tzinfo=ZoneInfo("Europe/Berlin")).astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() * 1_000_000)
+    assert got[0] == micro(2150, 7, 12) == got[2] and got[1] == micro(1850, 7, 12) and got[3] is None

@@ -30,7 +30,10 @@ ABBREVIATIONS = {
 
 NONE, INSTANT, WALL = 0, 1, 2
 SECOND, HOUR = 1_000_000, 3_600_000_000
+#: Years whose transitions are tabulated; times outside them ask the zone itself.
 YEARS = (1900, 2100)
+#: Shapes longer than this are laid out without being remembered.
+REMEMBERED_SHAPE = 200
 
 
 class _Classes(dict):
@@ -135,6 +138,34 @@ def zone_version(names: list[str]) -> str:
     return h.hexdigest()[:16]
 
 
+_EDGES = [int((datetime(y, 1, 3, tzinfo=UTC) - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds()) * SECOND for y in YEARS]
+
+
+def _outside(us: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((us < _EDGES[0]) | (us > _EDGES[1]))
+
+
+def _asked(us: int, zone: ZoneInfo, wall: bool) -> list[int]:
+    """Offsets (µs) that a zone itself gives a wall time (none, one or two), or an instant (one); none outside the calendar."""
+    try:
+        day = datetime(1970, 1, 1) + timedelta(microseconds=int(us))
+        if not wall:
+            return [int(day.replace(tzinfo=UTC).astimezone(zone).utcoffset() / timedelta(microseconds=1))]
+        ways = {day.replace(tzinfo=zone, fold=f).utcoffset() for f in (0, 1)}
+        return [int(w / timedelta(microseconds=1)) for w in ways if (day - w).replace(tzinfo=UTC).astimezone(zone).replace(tzinfo=None) == day]
+    except OverflowError:
+        return []
+
+
+def offsets_at(us: np.ndarray, name: str) -> np.ndarray:
+    """Offset (µs) of a zone at instants, by table, outside it by the zone itself."""
+    at, offsets = zone_table(name)
+    out = offsets[np.searchsorted(at, us, side="right") - 1].copy()
+    for i in _outside(us):
+        out[i] = (_asked(us[i], ZoneInfo(name), False) or [0])[0]
+    return out
+
+
 def wall_to_utc(wall: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
     """UTC of wall times in a zone and whether each happened exactly once."""
     table = zone_table(name)
@@ -148,6 +179,9 @@ def wall_to_utc(wall: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
         fits = offsets[np.searchsorted(at, utc, side="right") - 1] == off
         out = np.where(fits, utc, out)
         found += fits
+    for i in _outside(wall):
+        ways = _asked(wall[i], ZoneInfo(name), True)
+        found[i], out[i] = len(ways), wall[i] - (ways or [0])[0]
     return out, found == 1
 
 
@@ -162,14 +196,15 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
 def parse(texts: list) -> dict[str, np.ndarray]:
     """kind (NONE, INSTANT, WALL), us and us_dmy (month or day first where both are numbers), ok of both, zone.
 
-    Null, empty and unusable texts have kind NONE.  ``zone`` holds a zone named in the text, or None.
+    Runs of white space count as one blank; no length rules a text out, only its shape does.  Null, empty and
+    unusable texts have kind NONE.  ``zone`` holds a zone named in the text, or None.
     """
     n = len(texts)
     out = {"kind": np.zeros(n, "i1"), "us": np.zeros(n, "i8"), "us_dmy": np.zeros(n, "i8"), "ok": np.zeros(n, bool), "ok_dmy": np.zeros(n, bool), "zone": np.full(n, None, object)}
     groups: dict[str, list[int]] = {}
-    clean = [None if t is None else t.strip() for t in texts]
+    clean = [None if t is None else " ".join(t.split()) for t in texts]
     for i, t in enumerate(clean):
-        if t and len(t) <= 80 and t.isprintable():
+        if t:
             groups.setdefault(mask(t), []).append(i)
     for of, rows in groups.items():
         if "9" in of:
@@ -179,29 +214,25 @@ def parse(texts: list) -> dict[str, np.ndarray]:
 
 def _convert(of: str, rows: np.ndarray, texts: list[str], out: dict[str, np.ndarray]) -> None:
     codes = np.array(texts, f"U{len(of)}").view("u4").reshape(len(texts), len(of))
-    words, keys = [], np.zeros(len(texts), "i8")
-    for start, end, named in _tokens(of):
+    words, keys = [], np.full(len(texts), "", object)
+    for start, end, named in (_tokens if len(of) <= REMEMBERED_SHAPE else _tokens.__wrapped__)(of):
         column = np.ascontiguousarray(codes[:, start:end]).view(f"U{end - start}").ravel()
         values, at = np.unique(column, return_inverse=True)
         classes = [("R", 0.0) if named else _word_class(str(v)) for v in values]
         words.append((start, end, values, at, np.array([c[1] for c in classes])))
         kinds = np.array([ord(c[0]) for c in classes])[at]
-        keys = keys * 128 + kinds
-    for key in np.unique(keys):
+        keys = np.array([k + chr(c) for k, c in zip(keys, kinds)], object)
+    for key in set(keys):
         pick = np.flatnonzero(keys == key)
-        letters, k = [], int(key)
-        for _ in words:
-            letters.append(chr(k % 128))
-            k //= 128
         shape, position, last = "", [], 0
-        for (start, end, *_), letter in zip(words, reversed(letters)):
+        for (start, end, *_), letter in zip(words, key):
             position += range(last, start)
             shape += of[last:start] + letter
             position.append(start)
             last = end
         shape += of[last:]
         position += [*range(last, len(of)), len(of)]
-        if (plan := _layout(shape)) is None:
+        if (plan := (_layout if len(shape) <= REMEMBERED_SHAPE else _layout.__wrapped__)(shape)) is None:
             continue
         fields = {f: (position[a], position[b - 1] + 1) for f, (a, b) in plan[1].items()}
         _fill(plan[0], fields, rows[pick], codes[pick], {w[0]: (w[2], w[3][pick], w[4]) for w in words}, out)
@@ -297,10 +328,10 @@ def to_utc(texts: list, home_zones: list, date_styles: list) -> np.ndarray:
             at = rows[names == name]
             if group == "wall":
                 us[at], good[at] = wall_to_utc(us[at], str(name)) if name else (0, False)
-            elif (table := zone_table(str(name))) is None:
+            elif zone_table(str(name)) is None:
                 good[at] = False
             else:
-                shift = table[1][np.searchsorted(table[0], us[at], side="right") - 1]
+                shift = offsets_at(us[at], str(name))
                 raw = np.array([_offset_of(texts[i]) for i in at], "i8")
                 good[at] = shift == raw
     out = np.full(len(texts), None, object)
