@@ -68,3 +68,42 @@ def test_passages_in_blocks_find_the_same(spark, monkeypatch):
 
 def test_empty_tables(spark):
     assert found(spark, []) == set() and found(spark, [OWN[0]], items=[(1, None)]) == set()
+
+
+SHORT = [(1, "Quilted walrus teapots"), (2, "Fenwick sold ochre barometers near Tolvaborg"), (3, "It is")]
+
+
+def test_short_passages_are_found_too(spark):
+    texts = [FILL + "quilted walrus teapots" + FILL, FILL + "Fenwick sold ochre barometers, near Tolvaborg." + FILL, FILL + "fenwick sold ochre barometer at home", FILL + "quilted", FILL]
+    got = found(spark, texts, SHORT)
+    assert {(0, 1), (1, 2), (2, 2)} <= got and (4, 1) not in got and (4, 2) not in got and (3, 1) not in got
+
+
+def test_budget_of_edits_sets_what_is_enough():
+    assert L.gram_length(400) == 10 and L.gram_length(60) == 4 and L.gram_length(12) == 0
+    assert all(L.bound(n, L.gram_length(n)) >= 1 for n in range(32, 500))
+
+
+def test_alignments_together_equal_single_ones():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    jobs = []
+    for _ in range(90):
+        doc = np.array([rnd.randrange(97, 103) for _ in range(rnd.randrange(20, 200))], "u4")
+        a = rnd.randrange(0, len(doc) - 10)
+        item = doc[a : a + rnd.randrange(5, 60)].copy()
+        item[rnd.randrange(len(item))] = 120
+        jobs.append((item, doc, a - rnd.randrange(5, 40), a + rnd.randrange(5, 40)))
+    for j, (got, box) in zip(jobs, L.aligned(jobs)):
+        alone, single = L.aligned([j])[0]
+        assert box == single and (got == alone).all() and got.sum() >= len(j[0]) - 2
+
+
+def test_crowded_grams_do_not_depend_on_blocks(spark, monkeypatch):
+    items = [(k, f"{t} and thereafter every single one of them went home number{k}") for k, t in enumerate(OWN * 3)]
+    once = found(spark, [FILL + t for t in OWN], items)
+    monkeypatch.setattr(L, "BLOCK", 4)
+    assert found(spark, [FILL + t for t in OWN], items) == once and once
