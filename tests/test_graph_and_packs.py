@@ -168,3 +168,17 @@ def test_packs_pass_over_what_has_no_cost_and_keep_a_reserve(spark):
     assert [r.id for r in P.pack_rank(df, 9, 100, 1).orderBy("place").collect()] == [3, 2]
     assert [r.id for r in P.pack_set_cover(df, 9, 100).orderBy("place").collect()] == [3, 2]
     assert P.pack_set_cover(df.limit(0), 9, 100).count() == P.pack_obligation(df.limit(0), 9, 100).count() == 0
+
+
+def test_caps_at_both_ends_equal_a_greedy_walk(spark):
+    from turnloom.operators.facts import capped_both_ways
+
+    rnd = random.Random(11)
+    edges = [(k, f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}", round(rnd.random(), 1)) for k in range(150)]
+    want, used = set(), {}
+    for k, a, b, _ in sorted((e for e in edges if e[1] != e[2]), key=lambda e: (-e[3], e[0])):
+        if used.get(a, 0) < 3 and used.get(b, 0) < 3:
+            want.add(k)
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    df = spark.createDataFrame([*edges, edges[0], (999, None, "n1", 1.0)], "edge_id int, a string, b string, confidence double")
+    assert {r.edge_id for r in capped_both_ways(df, 3).collect()} == want and capped_both_ways(df.limit(0), 3).count() == 0

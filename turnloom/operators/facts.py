@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import contained, content_terms
+from turnloom.plans.lineage import cut
 
 # Weights of the signals that bind a fact to an operand, and the score that accepts it.
 WEIGHTS = {"owner": 0.40, "predicate": 0.28, "scope": 0.10, "value_type": 0.08, "temporal": 0.08, "source_projection": 0.14, "graph_path": 0.06, "session": 0.04}
@@ -103,3 +104,25 @@ def multiset_digest(row: Column) -> dict[str, Column]:
     h = F.sha2(row, 256)
     word = lambda k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("bigint")
     return {f"xor{k}": F.bit_xor(word(k)) for k in range(8)} | {f"sum{k}": F.sum(word(k)) for k in range(8)}
+
+
+def capped_both_ways(edges: DataFrame, cap: int) -> DataFrame:
+    """(edge_id, a, b, confidence) of undirected edges that a greedy walk by confidence, then id, would take while both ends have under ``cap``.
+
+    An edge that is among the first still open ones of both its ends, as many as they may take, is taken by
+    the greedy walk whatever comes before it; so each round takes all such edges at once, until none is open.
+    Loops are left out, an edge listed twice counts once.
+    """
+    left = cut(edges.where("a is not null and b is not null and a <> b").groupBy("edge_id", "a", "b").agg(F.max("confidence").alias("confidence")))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        used = taken.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("used"))
+        ends = left.select("edge_id", F.col("confidence"), F.explode(F.array("a", "b")).alias("node"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("confidence").desc_nulls_last(), "edge_id"))
+        open_ = ends.withColumn("rank", rank).where(F.col("rank") <= cap).join(used, "node", "left").where(F.col("rank") <= cap - F.coalesce("used", F.lit(0)))
+        sure = open_.groupBy("edge_id").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").select("edge_id")
+        taken = cut(taken.unionByName(left.join(sure, "edge_id", "left_semi")))
+        full = taken.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("used")).where(F.col("used") >= cap).select("node")
+        rest = left.join(sure, "edge_id", "left_anti").join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+        left = cut(rest.select("edge_id", "a", "b", "confidence"))
+    return taken

@@ -58,9 +58,9 @@ def idf(total: Column, df: Column) -> Column:
     return F.log(1 + (total - df + 0.5) / (df + 0.5))
 
 
-def bm25(queries: DataFrame, post: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """BM25 over postings; ``sizes`` is (scope, total, average) with the number of texts and their mean length."""
-    stats = document_frequency(post).join(sizes, "scope").select("scope", "term", "average", idf(F.col("total"), F.col("df")).alias("idf"))
+def bm25(queries: DataFrame, post: DataFrame, sizes: DataFrame, k: int, df: DataFrame | None = None) -> DataFrame:
+    """BM25 over postings; ``sizes`` is (scope, total, average) with the number of texts and their mean length, ``df`` the stored frequencies if there are any."""
+    stats = (document_frequency(post) if df is None else df).join(sizes, "scope").select("scope", "term", "average", idf(F.col("total"), F.col("df")).alias("idf"))
     asked = query_terms(queries).join(stats, ["scope", "term"])
     tf = F.col("tf")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.greatest(F.lit(1.0), F.col("average"))))
@@ -81,9 +81,9 @@ def lexical_hits(queries: DataFrame, post: DataFrame, k: int) -> DataFrame:
     return top(hits.groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("n")).select("query_id", "id", F.round(F.col("n") / F.col("n_terms"), 6).alias("score")), ["query_id"], k)
 
 
-def coverage(queries: DataFrame, post: DataFrame, sizes: DataFrame) -> DataFrame:
+def coverage(queries: DataFrame, post: DataFrame, sizes: DataFrame, df: DataFrame | None = None) -> DataFrame:
     """(query_id, id, coverage): share of the query's idf weight, ln(1 + N / (1 + df)), that a text holds."""
-    df = document_frequency(post)
+    df = document_frequency(post) if df is None else df
     weight = F.log(1 + F.col("total") / (1 + F.coalesce("df", F.lit(0))))
     asked = query_terms(queries).join(sizes, "scope").join(df, ["scope", "term"], "left").select("query_id", "scope", "term", weight.alias("weight"))
     whole = asked.groupBy("query_id").agg(F.sum("weight").alias("whole"))
@@ -91,15 +91,15 @@ def coverage(queries: DataFrame, post: DataFrame, sizes: DataFrame) -> DataFrame
     return held.join(whole, "query_id").select("query_id", "id", F.round(F.col("held") / F.col("whole"), 6).alias("coverage"))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, ident: str = "id", vector: str = "vector", apart: tuple[str, str] | None = None) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int, ident: str = "id", vector: str = "vector", apart: tuple[str, str] | None = None, together: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` vectors of highest cosine for each query vector, all compared.
 
     Both sides are cut into blocks: a block of ``QUERY_BLOCK`` queries meets every block of vectors, both by
     shuffle, so neither side is held by the driver or a closure.  Each meeting leaves its own best k per
     query.  With ``apart``, a column of the queries and one of the vectors, pairs with equal values are left
-    out before the k are chosen.  Null or zero vectors are never met.
+    out before the k are chosen, with ``together`` all others.  Null or zero vectors are never met.
     """
-    mine, other = apart or (None, None)
+    mine, other = apart or together or (None, None)
     spark = queries.sparkSession
     wide = max(1, -(-queries.count() // QUERY_BLOCK))
     tall = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // wide, 1)
@@ -130,7 +130,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, ident: str = "id", vec
                             continue
                         cos = np.round(q_m @ m.T, 6)
                         if mine is not None:
-                            cos[q_lab[:, None] == lab[None, :]] = -2.0
+                            cos[(q_lab[:, None] == lab[None, :]) == (apart is not None)] = -2.0
                         order = np.argsort(no, kind="stable")
                         top_k = order[np.argsort(-cos[:, order], axis=1, kind="stable")[:, :k]]
                         score = np.take_along_axis(cos, top_k, 1)

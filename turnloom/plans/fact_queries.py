@@ -354,6 +354,19 @@ def win_degree_cap(spark: SparkSession, folder: str) -> DataFrame:
     return O.degree_capped(e, 4, ["l_partkey"]).select("edge_id", "rank")
 
 
+def win_degree_cap_both(spark: SparkSession, folder: str) -> DataFrame:
+    """Undirected: edges of parts and suppliers while both have under four, by quantity."""
+    li = table(spark, folder, "lineitem", "l_partkey", "l_suppkey", "l_quantity").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("confidence"))
+    e = li.select((F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("edge_id"), F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), "confidence")
+    return O.capped_both_ways(e, 4).select("edge_id", "confidence")
+
+
+def gb_shared_referent(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between sessions of a memory that share rare terms, each pair once with the better score of its two ends' six best."""
+    p = join_scene_referent(spark, folder)
+    return p.groupBy("memory_id", F.least("session_id", "other_session").alias("a"), F.greatest("session_id", "other_session").alias("b")).agg(F.max("score").alias("score"), F.max("shared").alias("shared"))
+
+
 def win_mutual_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors divisible by 20 and their nearest other, where each is the other's nearest, with a cosine of 0.2 or more."""
     from turnloom.operators.search import dense
@@ -388,7 +401,7 @@ QUERIES = {f.__name__: f for f in (
     flt_lookup_facts, flt_owner_pred, flt_lookup_collections, flt_keep_fact, flt_binding_veto, flt_accept, flt_admissible, flt_alias, flt_authoritative, flt_promotable_value, prj_binding, prj_reservoir_row,
     join_turn_group_fact, join_owner_alias, join_adjacency, join_neighbor_turn, join_dialogue, join_interval_overlap, join_before, join_shared_value, join_scene_referent, join_semi_manifest, join_anti_pack,
     join_paired, join_hierarchy_cross, join_embedding, agg_chain, agg_chain_norm, agg_closure, agg_value_lattice, agg_manifest_stats, agg_lattice_stats, agg_evidence_range, agg_usage, agg_unpublished_ledger,
-    agg_checksum, sink_checksum, agg_principals, agg_percentile, agg_mean_certified, agg_weekly_count, win_lead_turns, win_state_next, win_degree_cap, win_mutual_nearest, gb_dedup, rt_bind, rt_collection_gate,
+    agg_checksum, sink_checksum, agg_principals, agg_percentile, agg_mean_certified, agg_weekly_count, win_lead_turns, win_state_next, win_degree_cap, win_degree_cap_both, gb_shared_referent, win_mutual_nearest, gb_dedup, rt_bind, rt_collection_gate,
 )}
 
 _LATE = "late AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC, turn_no DESC) = 1)"
@@ -461,3 +474,4 @@ SQL = {
     "rt_bind": f"WITH {FACTS}, {_BIND} SELECT * FROM b",
     "rt_collection_gate": f"WITH {FACTS}, {_BIND} SELECT * FROM b WHERE score >= 0.70",
 }
+SQL["gb_shared_referent"] = "SELECT memory_id, least(session_id, other_session) AS a, greatest(session_id, other_session) AS b, max(score) AS score, max(shared) AS shared FROM (" + SQL["join_scene_referent"] + ") GROUP BY ALL"

@@ -14,6 +14,7 @@ from turnloom.operators import facts as O
 from turnloom.operators import graph as G
 from turnloom.operators import packing as P
 from turnloom.operators import storage as S
+from turnloom.operators import symbolic as Y
 from turnloom.plans import search_queries as SQ
 from turnloom.plans.lineage import cut, ranked, shared_dir
 from turnloom.plans.text_queries import _SLOTS, STOP_NAMES, sql_content, sql_terms
@@ -324,6 +325,33 @@ def rt_seed(spark: SparkSession, folder: str) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id"))).where("rank <= 20")
 
 
+def rt_seed_narrow(spark: SparkSession, folder: str) -> DataFrame:
+    """Narrow reservoir: 8 exact and 24 BM25 hits by reciprocal ranks, 96 at most."""
+    from turnloom.operators import search as L
+    from turnloom.operators.fusion import reciprocal_ranks
+
+    turns = SQ._turns(spark, folder)
+    q, (t, post, sizes) = SQ.asked(spark, folder), turns
+    hits = L.exact(q, post, t.select(F.col("turn_no").alias("id"), F.col("raw_text").alias("text")), 8).withColumn("channel", F.lit("exact"))
+    both = hits.unionByName(L.bm25(q, post, sizes, 24, SQ._frequencies(spark, folder)).withColumn("channel", F.lit("bm25")))
+    w = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")
+    return reciprocal_ranks(both).withColumn("rank", F.row_number().over(w)).where("rank <= 96")
+
+
+def sv_focus(spark: SparkSession, folder: str) -> DataFrame:
+    """The three sentences of a query's ten BM25 turns that hold most idf of its terms."""
+    from turnloom.operators import search as L
+
+    _, _, sizes = SQ._turns(spark, folder)
+    hits = SQ.topk_bm25(spark, folder).select("query_id", F.col("id").alias("turn_no"))
+    said = Y.spoken_sentences(table(spark, folder, "turns", "turn_no", "memory_id", "session_id", "turn_index", "speaker", "raw_text").join(hits.select("turn_no").distinct(), "turn_no", "left_semi"))
+    terms = L.query_terms(SQ.asked(spark, folder)).join(SQ._frequencies(spark, folder), ["scope", "term"]).join(sizes, "scope").select("query_id", "term", L.idf(F.col("total"), F.col("df")).alias("idf"))
+    words = said.join(hits, "turn_no").select("query_id", "turn_no", "pos", F.explode(content_terms(F.col("sentence"))).alias("term"))
+    scored = words.join(terms, ["query_id", "term"]).groupBy("query_id", "turn_no", "pos").agg(F.round(F.sum("idf"), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "turn_no", "pos")
+    return scored.withColumn("k", F.row_number().over(w)).where("k <= 3")
+
+
 def rt_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Operand turns of the query set: twice the idf coverage, 0.5 for a number, 0.3 over the place by coverage; twelve each."""
     cov = SQ.num_coverage(spark, folder).join(table(spark, folder, "turns", "turn_no", "raw_text").withColumnRenamed("turn_no", "id"), "id")
@@ -478,16 +506,29 @@ def gb_knn_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gb_sparse_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Owners of one memory who share five values or more, by the values' postings."""
-    f = facts(spark, folder).select("memory_id", "owner_id", "value_key").distinct()
-    other = f.select("memory_id", F.col("owner_id").alias("other_id"), "value_key")
-    return f.join(other, ["memory_id", "value_key"]).where("owner_id < other_id").groupBy("memory_id", "owner_id", "other_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 5")
+    """Owners of one memory who share five values or more.
+
+    Two such owners share one of either's rarest values, all but four of its own: so only these prefixes meet,
+    by equal value, and the pairs that did are counted on their whole sets.
+    """
+    f = facts(spark, folder).select("memory_id", "owner_id", "value_key").where("value_key is not null").distinct()
+    df = f.groupBy("memory_id", "value_key").agg(F.count(F.lit(1)).alias("df"))
+    sets = cut(f.join(df, ["memory_id", "value_key"]).groupBy("memory_id", "owner_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "value_key"))), lambda x: x["value_key"]).alias("v")).where(F.size("v") >= 5))
+    head = sets.select("memory_id", "owner_id", F.explode(F.slice("v", F.lit(1), F.size("v") - 4)).alias("value_key"))
+    met = head.join(head.withColumnRenamed("owner_id", "other_id"), ["memory_id", "value_key"]).where("owner_id < other_id").select("memory_id", "owner_id", "other_id").distinct()
+    both = met.join(sets, ["memory_id", "owner_id"]).join(sets.select("memory_id", F.col("owner_id").alias("other_id"), F.col("v").alias("w")), ["memory_id", "other_id"])
+    return both.select("memory_id", "owner_id", "other_id", F.size(F.array_intersect("v", "w")).cast("bigint").alias("shared")).where("shared >= 5")
 
 
 def gb_canonicalize(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters of owners linked by twenty shared values or more."""
-    p = gb_sparse_pairs(spark, folder).where("shared >= 20").select(F.col("owner_id").alias("a"), F.col("other_id").alias("b"))
-    return G.components(p)
+    """Clusters of predicates within their slot: vectors of one label, linked where one divisible by 20 has the other among its three nearest of the label with a cosine of 0.25 or more, and closed over the links."""
+    from turnloom.operators.search import dense
+
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", F.col("label").alias("slot"))
+    near = dense(q, e, 4, together=("slot", "label")).where("query_id <> id and score >= 0.25")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where("k <= 3")
+    return G.components(near.select(F.col("query_id").alias("a"), F.col("id").alias("b")))
 
 
 def gb_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
@@ -559,7 +600,7 @@ def id_stable(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     src_json_lme, src_ingest, src_locomo, src_evidence_ref, src_gold, src_by_ids, src_sqlite, sink_upsert, sink_delta, sink_delete, sink_shard, sink_replace, src_replica, sink_reports,
     rt_route_hierarchy, rt_route_closure, st_affected, rt_owner_terminals, rt_node_paths, rt_priority_expand, rt_schedule, rt_provenance, rt_session_router, rt_session_flood, rt_speaker_bonus, rt_manifest_match,
-    rt_fact_reservoir, rt_active_facts, rt_seed, rt_ledger, pack_rank, pack_set_cover, pack_obligation, pack_units, pack_render, rt_topology_layout, rt_navigate,
+    rt_fact_reservoir, rt_active_facts, rt_seed, rt_seed_narrow, sv_focus, rt_ledger, pack_rank, pack_set_cover, pack_obligation, pack_units, pack_render, rt_topology_layout, rt_navigate,
     gb_segment, gb_rare_terms, gb_merge_aliases, gb_entities, gb_facts_lean, gb_portals, gb_rel_scores, gb_rel_mask, gb_rel_gate, gb_knn_pairs, gb_sparse_pairs, gb_canonicalize, gb_hierarchy,
     gb_semantic_validate, gb_span_resolve, gb_fact_dedup, gb_unit_coverage, gb_routing_card, map_child_postings, st_hwm, id_stable,
 )}
@@ -653,7 +694,8 @@ SQL = {
     "gb_rel_mask": f"WITH {_PAIRS} SELECT u, concat_ws(',', CASE WHEN entity >= 0.25 THEN 'SHARED_ENTITY' END, CASE WHEN state >= 0.45 THEN 'STATE_COMPATIBLE' END, CASE WHEN near >= exp(-2.0::DOUBLE) THEN 'TEMPORAL_NEAR' END) AS signals FROM sc",
     "gb_rel_gate": f"WITH {_PAIRS} SELECT u, round(greatest(0.82::DOUBLE + 0.16::DOUBLE * entity, 0.54::DOUBLE + 0.20::DOUBLE * near, 0.80::DOUBLE + 0.18::DOUBLE * state, 0), 6) AS gate FROM sc",
     "gb_sparse_pairs": f"WITH {_SPARSE} SELECT * FROM sp",
-    "gb_canonicalize": f"""WITH RECURSIVE {_SPARSE}, e AS (SELECT owner_id AS a, other_id AS b FROM sp WHERE shared >= 20 UNION SELECT other_id, owner_id FROM sp WHERE shared >= 20), c AS (SELECT a AS node, a AS seen FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen) SELECT node, min(seen) AS component FROM c GROUP BY node""",
+    "gb_canonicalize": """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), s AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 20 = 0),
+ n AS (SELECT query_id, id FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3), e AS (SELECT query_id AS a, id AS b FROM n UNION SELECT id, query_id FROM n), c AS (SELECT a AS node, a AS seen FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen) SELECT node, min(seen) AS component FROM c GROUP BY node""",
     "gb_semantic_validate": """WITH a AS (SELECT answer_no, answer_model AS o, CASE WHEN answer_no % 9 <> 0 THEN 'says' END AS p, prediction AS v, evidence_turn_ids AS e, evidence_tokens % 12 / 10.0::DOUBLE AS c, row_number() OVER (PARTITION BY question_id ORDER BY evidence_tokens % 12 / 10.0::DOUBLE DESC NULLS LAST, answer_no) AS k FROM answers)
  SELECT answer_no AS fact_no, CASE WHEN coalesce(trim(o, ' ') = '', true) THEN 'owner' WHEN p IS NULL THEN 'predicate' WHEN coalesce(trim(v, ' ') = '', true) THEN 'value' WHEN coalesce(len(e), 0) < 1 THEN 'evidence' WHEN NOT coalesce(c BETWEEN 0 AND 1, false) THEN 'confidence' WHEN k > 5 THEN 'cap' END AS problem FROM a""",
     "gb_span_resolve": """WITH q AS (SELECT question_id, lower(gold_answer) AS g, regexp_extract_all(question, '[\\p{L}\\p{N}]+') AS w FROM questions WHERE gold_answer IS NOT NULL), p AS (SELECT *, instr(g, lower(w[-1])) AS a, instr(g, lower(w[1])) AS b FROM q)
@@ -694,4 +736,6 @@ SQL = {
     "gb_merge_aliases": f"""WITH n AS (SELECT memory_id, count(DISTINCT coalesce(session_id, '')) AS sessions FROM turns WHERE regexp_matches(raw_text, '[\\p{{L}}\\p{{N}}_''-]') GROUP BY ALL), s AS (SELECT DISTINCT memory_id, session_id, unnest(regexp_extract_all(raw_text, '[\\p{{L}}\\p{{N}}_''-]+')) AS surface FROM turns),
  b AS (SELECT *, regexp_replace(regexp_replace(lower(surface), '''s$', ''), 's''$', '') AS w FROM s WHERE lower(surface) NOT IN ({", ".join(f"'{x}'" for x in ARTICLES)})), k AS (SELECT *, CASE WHEN length(w) > 4 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END AS key FROM b),
  g AS (SELECT memory_id, key, count(DISTINCT session_id) AS spread, list_sort(list(DISTINCT lower(surface))) AS forms FROM k WHERE length(key) >= 3 GROUP BY ALL) SELECT memory_id, key, array_to_string(forms, '|') AS forms FROM g JOIN n USING (memory_id) WHERE spread BETWEEN 2 AND greatest(2, floor(sessions * 0.5::DOUBLE)) AND len(forms) >= 2""",
+    "rt_seed_narrow": f"WITH {SQ._CHANNELS}, nx AS (SELECT * FROM {SQ._TOP.format('ex').replace('<= 10', '<= 8')} UNION ALL SELECT * FROM {SQ._TOP.format('bm').replace('<= 10', '<= 24')}), g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM nx GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM g QUALIFY rank <= 96",
+    "sv_focus": f"WITH hit AS (" + SQ.SQL["topk_bm25"] + f"), {SQ._BASE}, s0 AS (SELECT turn_no, list_filter(list_transform(regexp_extract_all(raw_text, '[^.!?\\n]+[.!?]*'), lambda s: regexp_replace(s, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda s: s <> '') AS ss FROM turns WHERE raw_text IS NOT NULL), sd AS (SELECT turn_no, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM s0), wd AS (SELECT turn_no, pos, unnest(list_distinct({sql_content('sentence')})) AS term FROM sd), sc AS (SELECT hit.query_id, turn_no, pos, round(sum(ln(1 + (total - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS score FROM hit JOIN wd ON turn_no = hit.id JOIN qt ON qt.query_id = hit.query_id AND qt.term = wd.term JOIN df ON df.scope = qt.scope AND df.term = qt.term JOIN sz ON sz.scope = qt.scope GROUP BY ALL) SELECT query_id, turn_no, CAST(pos AS INT) AS pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, turn_no, pos) AS k FROM sc QUALIFY k <= 3",
 }

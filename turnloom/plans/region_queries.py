@@ -75,7 +75,7 @@ def gb_time_state(spark: SparkSession, folder: str) -> DataFrame:
 def gb_evidence_ref(spark: SparkSession, folder: str) -> DataFrame:
     """The 18 most telling terms of each turn, by idf."""
     _, post, sizes = SQ._turns(spark, folder)
-    idf = S.document_frequency(post).join(sizes, "scope").select("scope", "term", F.round(S.idf(F.col("total"), F.col("df")), 6).alias("idf"))
+    idf = SQ._frequencies(spark, folder).join(sizes, "scope").select("scope", "term", F.round(S.idf(F.col("total"), F.col("df")), 6).alias("idf"))
     w = Window.partitionBy("id").orderBy(F.col("idf").desc(), "term")
     r = post.join(idf, ["scope", "term"]).withColumn("k", F.row_number().over(w)).where("k <= 18")
     return r.groupBy(F.col("id").alias("turn_no")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("k") == 1, F.col("term"))).alias("first_term"))
@@ -166,7 +166,7 @@ def gb_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 def rt_query_witness(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of named speakers that hold a query's rare terms (in 20 turns of the memory at most)."""
     _, post, _ = SQ._turns(spark, folder)
-    rare = S.document_frequency(post).where("df <= 20")
+    rare = SQ._frequencies(spark, folder).where("df <= 20")
     hit = S.query_terms(SQ.asked(spark, folder)).join(rare, ["scope", "term"]).join(post.select("scope", "id", "term"), ["scope", "term"])
     named = _text(spark, folder).where("lower(speaker) not in ('user', 'assistant', 'system', 'tool')").select(F.col("turn_no").alias("id"))
     return hit.join(named, "id").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("witnesses"))

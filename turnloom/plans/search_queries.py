@@ -16,6 +16,7 @@ from turnloom.operators import fusion as U
 from turnloom.operators import search as S
 from turnloom.plans.lineage import cut
 from turnloom.plans.text_queries import _SLOTS, sql_content
+from turnloom.sources.index import LexicalIndex
 from turnloom.sources.tables import table
 
 K = 10
@@ -27,10 +28,13 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Turns, their postings (written once, as every search reads them several times) and the memories' sizes."""
-    t = table(spark, folder, "turns", "turn_no", "memory_id", "session_id", "raw_text")
-    post = cut(S.postings(t, "memory_id", "turn_no", "raw_text"))
-    return t, post, S.text_sizes(t, post, "memory_id")
+    """Turns, their stored postings and the memories' sizes."""
+    index = LexicalIndex(spark, folder, "turns")
+    return table(spark, folder, "turns", "turn_no", "memory_id", "session_id", "raw_text"), index.read("postings"), index.read("sizes")
+
+
+def _frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    return LexicalIndex(spark, folder, "turns").read("df")
 
 
 def agg_df(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,17 +60,13 @@ def _exact(spark: SparkSession, folder: str, turns: tuple[DataFrame, DataFrame,
 
 def topk_bm25(spark: SparkSession, folder: str) -> DataFrame:
     _, post, sizes = _turns(spark, folder)
-    return S.bm25(asked(spark, folder), post, sizes, K)
+    return S.bm25(asked(spark, folder), post, sizes, K, _frequencies(spark, folder))
 
 
 def topk_session_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 with a session as document; a term's tf is the number of the session's turns with it."""
-    t = table(spark, folder, "turns", "turn_no", "memory_id", "session_id", "raw_text")
-    per = cut(t.select("memory_id", "session_id", F.explode(content_terms(F.col("raw_text"))).alias("term")).groupBy("memory_id", "session_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    length = per.groupBy("memory_id", "session_id").agg(F.sum("tf").alias("length"))
-    post = per.join(length, ["memory_id", "session_id"]).select(F.col("memory_id").alias("scope"), F.col("session_id").alias("id"), "term", "tf", "length")
-    sizes = length.groupBy(F.col("memory_id").alias("scope")).agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("average"))
-    return S.bm25(asked(spark, folder), post, sizes, K)
+    index = LexicalIndex(spark, folder, "sessions")
+    return S.bm25(asked(spark, folder), index.read("postings"), index.read("sizes"), K, index.read("df"))
 
 
 def topk_lexical_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,12 +75,12 @@ def topk_lexical_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def num_coverage(spark: SparkSession, folder: str) -> DataFrame:
     _, post, sizes = _turns(spark, folder)
-    return S.coverage(asked(spark, folder), post, sizes)
+    return S.coverage(asked(spark, folder), post, sizes, _frequencies(spark, folder))
 
 
 def num_idf(spark: SparkSession, folder: str) -> DataFrame:
-    _, post, sizes = _turns(spark, folder)
-    return S.document_frequency(post).join(sizes, "scope").select(F.col("scope").alias("memory_id"), "term", F.round(S.idf(F.col("total"), F.col("df")), 6).alias("idf"))
+    sizes = _turns(spark, folder)[2]
+    return _frequencies(spark, folder).join(sizes, "scope").select(F.col("scope").alias("memory_id"), "term", F.round(S.idf(F.col("total"), F.col("df")), 6).alias("idf"))
 
 
 def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +127,7 @@ def channels(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, channel, id, score, rank) of exact, BM25 and lexical hits over one set of postings."""
     turns = _turns(spark, folder)
     q, (_, post, sizes) = asked(spark, folder), turns
-    parts = {"exact": _exact(spark, folder, turns), "bm25": S.bm25(q, post, sizes, K), "lexical": S.lexical_hits(q, post, K)}
+    parts = {"exact": _exact(spark, folder, turns), "bm25": S.bm25(q, post, sizes, K, _frequencies(spark, folder)), "lexical": S.lexical_hits(q, post, K)}
     return cut(reduce(DataFrame.unionByName, (p.withColumn("channel", F.lit(c)) for c, p in parts.items())))
 
 

@@ -47,6 +47,11 @@ def str_predicate_family(spark: SparkSession, folder: str) -> DataFrame:
     return w.select("word", T.predicate_family(F.col("word")).alias("family"), T.head_stem(F.col("word")).alias("head"))
 
 
+def str_head_stem(spark: SparkSession, folder: str) -> DataFrame:
+    """How many distinct words of the turns fold to each head stem."""
+    return str_predicate_family(spark, folder).groupBy("head").agg(F.count(F.lit(1)).alias("words"), F.min("word").alias("first_word"))
+
+
 _UN = "CASE WHEN length({0}) > 3 AND {0}[-1:] = {0}[-2:-2] AND NOT {0}[-1:] IN ('l', 's', 'z') THEN {0}[:-2] ELSE {0} END"
 _IRREGULAR = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.IRREGULAR.items()) + " END"
 _WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(raw_text), '[a-z]+')) AS w FROM turns)"
@@ -80,6 +85,7 @@ QUERIES = {
     "str_normalize_key": _per("questions", "question_id", "question", key=T.normalize_key),
     "str_estimate_tokens": _per("turns", "turn_no", "raw_text", tokens=T.estimate_tokens),
     "str_predicate_family": str_predicate_family,
+    "str_head_stem": str_head_stem,
     "str_merge_surface": _per("questions", "question_id", "gold_answer", surface=T.merge_surface),
     "str_normalize_agg": _per("questions", "question_id", "question", agg_terms=joined(T.normalize_aggregation)),
     "str_sentences": _per("turns", "turn_no", "raw_text", n_sentences=lambda x: F.size(T.sentences(x)).cast("bigint"), sentences=joined(T.sentences)),
@@ -147,6 +153,7 @@ SQL = {
     "str_normalize_key": f"SELECT question_id, array_to_string({sql_terms('question')}, ' ') AS key FROM questions",
     "str_estimate_tokens": f"SELECT turn_no, CAST(greatest(1, ceil(len({sql_terms('raw_text')}) * 1.3::DOUBLE)) AS INT) AS tokens FROM turns",
     "str_predicate_family": _FAMILY,
+    "str_head_stem": f"SELECT head, count(*) AS words, min(word) AS first_word FROM ({_FAMILY}) GROUP BY head",
     "str_merge_surface": f"""WITH a AS (SELECT question_id, regexp_extract_all(lower(gold_answer), '[\\p{{L}}\\p{{N}}_''-]+') AS w FROM questions), b AS (SELECT question_id, CASE WHEN list_contains({_list(T.ARTICLES)}, w[1]) THEN w[2:] ELSE w END AS w FROM a)
  SELECT question_id, array_to_string(list_filter(list_transform(list_transform(w, lambda w: {_FOLD}), lambda v: CASE WHEN length(v) > 4 AND v LIKE '%s' AND NOT regexp_matches(v, '(ss|us|is)$') THEN left(v, length(v) - 1) ELSE v END), lambda v: v <> ''), ' ') AS surface FROM b""",
     "str_normalize_agg": f"WITH a AS (SELECT question_id, {_AGG} AS f FROM questions) SELECT question_id, array_to_string(list_sort(list_distinct(f || {_FAMILIES})), '|') AS agg_terms FROM a",
