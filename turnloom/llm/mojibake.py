@@ -1,6 +1,7 @@
 """Operator: texts decoded with the wrong character encoding, and their original wording.
 
-A character trigram model is trained on all clean records.  Every token with a character beyond ASCII is
+A character trigram model is trained on all clean records, by way of one table of their distinct tokens with
+their counts.  Every token with a character beyond ASCII is
 put through the candidate chains (encode with the charset that was wrongly used, decode with the right
 one, up to three times); the likeliest reading is accepted where its log likelihood leads the token's own
 by more than the margin, which is validated on all clean tokens.  Tokens that hold replacement signs or
@@ -10,16 +11,17 @@ control codes, or scraps of broken sequences, count as garbled beyond recovery.
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.ngrams import flatten, grams
+from turnloom.plans.lineage import cut
 
 BITS = 18
 #: Tokens whose verdict a worker remembers.
@@ -27,7 +29,7 @@ REMEMBERED = 200_000
 MARGIN, WORST_MARGIN = 2.5, 16.0
 #: Bins of the histogram of leads, and bins to a unit of lead: it reaches to the worst margin.
 BINS, PER_NAT = 16 * 1024, 1024
-#: Lead from which a reading keeps its record out of the second training.
+#: Lead from which a reading keeps its token out of the second training.
 DOUBT = 0.0
 #: Log prior of one chain step, and of one that swaps two one-byte charsets.
 STEP, SWAP = -2.0, -5.0
@@ -44,11 +46,11 @@ _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 #: Characters beyond ASCII that are more than spacing: a token without one has no other reading.
 _TELLING = re.compile("[^\x00-\x7f\xa0\xad\u200b-\u200f\u202f\u2060\ufeff]")
-#: Marks of wrong decoding, to keep such records out of training.
-_MARKS = (
-    "[\\x{80}-\\x{9f}\\x{fffd}\\x{2500}-\\x{257f}\\x{2580}-\\x{259f}√∂⌠⌡≈∏∑∫Ω∆◊≠≤≥∞ﬁﬂˆ˜¯˘˙˚˝˛ˇΓΘΣΦτδφε∩≡⌐¬½¼ĂĹ]"
-    "|[\\x{c2}-\\x{f4}][\\x{80}-\\x{bf}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
-    "|[\\x{c0}-\\x{ff}]{4}|[А-Я]{4}|[РСГв][\\x{a0}-\\x{bf}Ђ-Џђ-џ‘-™]"
+#: Marks of wrong decoding, to keep such records out of training. None holds a blank, so a token tells.
+_MARKS = re.compile(
+    "[\x80-\x9f\ufffd\u2500-\u257f\u2580-\u259f√∂⌠⌡≈∏∑∫Ω∆◊≠≤≥∞ﬁﬂˆ˜¯˘˙˚˝˛ˇΓΘΣΦτδφε∩≡⌐¬½¼ĂĹ]"
+    "|[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+    "|[\xc0-\xff]{4}|[А-Я]{4}|[РСГв][\xa0-\xbfЂ-Џђ-џ‘-™]"
 )
 
 
@@ -124,45 +126,94 @@ class CharacterModel:
         return np.minimum.reduceat(seen, starts[:-1]) if len(tokens) else np.zeros(0, bool)
 
 
-def clean_records(text: Column) -> Column:
-    """Whether a text shows no mark of wrong decoding."""
-    return F.coalesce(~text.rlike(_MARKS), F.lit(False))
+def _tokens_of_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of texts without marks: a row for each text (h, its distinct tokens beyond ASCII), and rows without h of tokens and how often they occur."""
+    marked: dict[str, bool] = {}
+    counts: Counter = Counter()
+
+    def summed(few: int) -> Iterator[pd.DataFrame]:
+        if len(counts) > few:
+            rows = list(counts.items())
+            counts.clear()
+            parts = [rows[k : k + 5000] for k in range(0, len(rows), 5000)]
+            yield pd.DataFrame({"h": None, "tokens": [[t for t, _ in x] for x in parts], "n": [[c for _, c in x] for x in parts]})
+
+    for b in batches:
+        out = []
+        for h, text in zip(b["h"], b["text"]):
+            special = set(_TOKEN.findall(text))
+            for t in special:
+                if t not in marked:
+                    marked[t] = _MARKS.search(t) is not None
+            if not any(marked[t] for t in special):
+                counts.update(t for t in _SPACE.split(text) if t)
+                if special:
+                    out.append((h, sorted(special)))
+        if len(marked) > REMEMBERED:
+            marked.clear()
+        yield pd.DataFrame({"h": [x[0] for x in out], "tokens": [x[1] for x in out], "n": None})
+        yield from summed(REMEMBERED)
+    yield from summed(0)
+
+
+def token_table(documents: DataFrame) -> DataFrame:
+    """(token, n, n_texts, texts, chains, priors) of all clean records: how often a token occurs, in how many distinct texts, and its other readings.
+
+    Records are read once; only their distinct tokens move.  ``n_texts`` and the readings are of tokens beyond ASCII.
+    """
+    texts = documents.where(F.length("text") > 0).select(F.md5("text").alias("h"), "text")
+    got = cut(texts.mapInPandas(_tokens_of_clean, "h string, tokens array<string>, n array<bigint>"))
+    often = got.where("h is null").select(F.explode(F.arrays_zip("tokens", "n")).alias("x")).select("x.tokens", "x.n").toDF("token", "n")
+    spread = got.where("h is not null").select("h", "tokens").dropDuplicates(["h"]).select(F.explode("tokens").alias("token"))
+    both = often.withColumn("n_texts", F.lit(0)).unionByName(spread.select("token", F.lit(0).alias("n"), F.lit(1).alias("n_texts")))
+    table = both.groupBy("token").agg(F.sum("n").cast("bigint").alias("n"), F.sum("n_texts").cast("bigint").alias("n_texts"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [readings(t) if _TELLING.search(t) else [] for t in b["token"]]
+            yield b.assign(texts=[[x[0] for x in r] for r in found], chains=[[x[1] for x in r] for r in found], priors=[[x[2] for x in r] for r in found])
+
+    return cut(table.mapInPandas(read, "token string, n bigint, n_texts bigint, texts array<string>, chains array<string>, priors array<double>"))
 
 
-def _counted(texts: DataFrame, known: CharacterModel | None) -> CharacterModel:
-    """Counts over all clean texts: by partition, then added by bucket. ``known`` drops texts it reads better otherwise."""
+def _counted(table: DataFrame, known: CharacterModel | None) -> CharacterModel:
+    """Counts over the tokens of a table: by partition, then added by bucket. ``known`` drops tokens it reads better otherwise."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, leads = np.zeros((3, 1 << BITS), "i8"), _Leads(known)
+        sums = np.zeros((3, 1 << BITS), "i8")
         for b in batches:
-            clean = list(b["text"])
             if known is not None:
-                found = [_TOKEN.findall(t) for t in clean]
-                got = leads.of({x for xs in found for x in xs})
-                clean = [t for t, xs in zip(clean, found) if all(got[x][0] < DOUBT for x in xs)]
-            codes, _ = flatten(["\1\1" + "\1\1".join(_SPACE.split(t)) + "\1" for t in clean])
+                b = b[_leads(b, known) < DOUBT]
+            if not len(b):
+                continue
+            codes, starts = flatten(["\1\1" + t + "\1" for t in b["token"]])
+            weight = np.concatenate([[0], np.repeat(b["n"].to_numpy("f8"), np.diff(starts))])
+            ends = codes == 0
             for n in (1, 2, 3):
                 h = grams(codes, n, BITS)
-                sums[n - 1] += np.bincount(h[codes[: len(h)] != 0].astype("i8"), minlength=1 << BITS)
+                inside = ~np.logical_or.reduce([ends[k : len(codes) - n + 1 + k] for k in range(n)]) if len(h) else np.zeros(0, bool)
+                sums[n - 1] += np.bincount(h[inside].astype("i8"), weight[: len(h)][inside], 1 << BITS).astype("i8")
         n, bucket = np.nonzero(sums)
         yield pd.DataFrame({"n": n.astype("i4"), "bucket": bucket.astype("i4"), "c": sums[n, bucket]})
 
-    parts = texts.mapInPandas(count, "n int, bucket int, c bigint")
+    parts = table.mapInPandas(count, "n int, bucket int, c bigint")
     rows = parts.groupBy("n", "bucket").agg(F.sum("c").alias("c")).toPandas()  # 3 * 2**BITS rows at most
     counts = np.zeros((3, 1 << BITS), "f4")
     counts[rows["n"].to_numpy("i8"), rows["bucket"].to_numpy("i8")] = rows["c"].to_numpy("f4")
     return CharacterModel(counts)
 
 
+def trained(table: DataFrame) -> CharacterModel:
+    """The model of a token table: first of all its tokens, then of those the first finds nothing better for."""
+    return _counted(table, _counted(table, None))
+
+
 def train(documents: DataFrame) -> CharacterModel:
-    """The model of all clean texts: first of those without marks, then of those the first finds nothing better for."""
-    texts = documents.where(F.length("text") > 0).where(clean_records(F.col("text"))).select("text")
-    return _counted(texts, _counted(texts, None))
+    """The model of all clean texts."""
+    return trained(token_table(documents))
 
 
-def best_readings(tokens: list[str], model: CharacterModel) -> list[tuple[float, str, str]]:
-    """For each token the lead of its likeliest other reading, that reading and its chain."""
-    options = [readings(t) if _TELLING.search(t) else [] for t in tokens]
+def _scored(tokens: list[str], options: list[list[tuple[str, str, float]]], model: CharacterModel) -> list[tuple[float, str, str]]:
     own = model.scores(tokens)
     flat = [r[0] for o in options for r in o]
     flat = np.where(model.knows(flat), model.scores(flat), -np.inf)
@@ -176,33 +227,41 @@ def best_readings(tokens: list[str], model: CharacterModel) -> list[tuple[float,
     return out
 
 
-def lead_histogram(documents: DataFrame, model: CharacterModel) -> np.ndarray:
-    """Number of clean tokens by the bin of their lead, each token once per distinct clean text; the first and last bin are open."""
+def _leads(rows: pd.DataFrame, model: CharacterModel) -> np.ndarray:
+    """The lead of the likeliest other reading of each row of a token table."""
+    options = [list(zip(*r)) for r in zip(rows["texts"], rows["chains"], rows["priors"])]
+    return np.array([x[0] for x in _scored(list(rows["token"]), options, model)])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"h": b["h"], "tokens": [sorted(set(_TOKEN.findall(t))) for t in b["text"]]})
+
+def best_readings(tokens: list[str], model: CharacterModel) -> list[tuple[float, str, str]]:
+    """For each token the lead of its likeliest other reading, that reading and its chain."""
+    return _scored(tokens, [readings(t) if _TELLING.search(t) else [] for t in tokens], model)
+
+
+def lead_counts(table: DataFrame, model: CharacterModel) -> np.ndarray:
+    """Number of clean tokens by the bin of their lead, each token once per distinct clean text; the first and last bin are open."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(BINS + 1, "i8")
         for b in batches:
-            leads = np.array([x[0] for x in best_readings(list(b["token"]), model)])
-            np.add.at(sums, np.clip(np.floor(leads * PER_NAT), 0, BINS).astype("i8"), b["c"].to_numpy("i8"))
+            np.add.at(sums, np.clip(np.floor(_leads(b, model) * PER_NAT), 0, BINS).astype("i8"), b["n_texts"].to_numpy("i8"))
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"bin": at.astype("i4"), "c": sums[at]})
 
-    telling = documents.where(F.col("text").rlike(r"[^\x00-\x7f]")).where(clean_records(F.col("text")))
-    texts = telling.select(F.md5("text").alias("h"), "text").mapInPandas(split, "h string, tokens array<string>").dropDuplicates(["h"])
-    tokens = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    rows = tokens.mapInPandas(count, "bin int, c bigint").groupBy("bin").agg(F.sum("c").alias("c")).toPandas()  # BINS + 1 rows at most
+    rows = table.where("n_texts > 0").mapInPandas(count, "bin int, c bigint").groupBy("bin").agg(F.sum("c").alias("c")).toPandas()  # BINS + 1 rows at most
     out = np.zeros(BINS + 1, "i8")
     out[rows["bin"].to_numpy("i8")] = rows["c"].to_numpy("i8")
     return out
 
 
-def validated_margin(documents: DataFrame, model: CharacterModel) -> float:
+def lead_histogram(documents: DataFrame, model: CharacterModel) -> np.ndarray:
+    """``lead_counts`` of the clean records of documents."""
+    return lead_counts(token_table(documents), model)
+
+
+def validated_margin(table: DataFrame, model: CharacterModel) -> float:
     """The lead that one clean token in 500 reaches, over all distinct clean texts, held between ``MARGIN`` and ``WORST_MARGIN``."""
-    up_to = np.cumsum(lead_histogram(documents, model))
+    up_to = np.cumsum(lead_counts(table, model))
     lead = np.searchsorted(up_to, 0.998 * (up_to[-1] - 1), "right") / PER_NAT if up_to[-1] else 0.0
     return float(np.clip(lead + 1, MARGIN, WORST_MARGIN))
 
@@ -231,11 +290,13 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, repaired_text, n_garbled, n_repaired, chains) of each document with a garbled token.
 
     Null and empty texts are never garbled.  ``repaired_text`` has every recoverable token replaced; lost
-    ones stay.  One pass trains, one judges; nothing is shuffled but the model's counts.
+    ones stay.  Documents are read twice: for the table of clean tokens, on which the model is trained and the
+    margin validated, and to be judged.
     """
     texts = documents.select("doc_id", "text")
-    model = train(texts)
-    margin = validated_margin(texts, model)
+    table = token_table(texts)
+    model = trained(table)
+    margin = validated_margin(table, model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leads = _Leads(model)
