@@ -12,12 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.plans.lineage import cut
+
 #: Folder of the vocabulary files and the rank file used; both are parameters of every function that counts.
 FOLDER, RANKS = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Contents whose count a worker remembers.
 REMEMBERED = 200_000
+#: Unseen contents (of 32 bytes) up to which they go to the texts; beyond, texts and contents meet by shuffle.
+FEW = 250_000
 # Language codes by their other spellings.
 LANGUAGES = {
     "en": ["en", "eng", "english"], "de": ["de", "deu", "ger", "german", "deutsch"], "es": ["es", "spa", "spanish"],
@@ -74,8 +78,8 @@ def count_tokens(texts: DataFrame, known: DataFrame | None = None, folder: str =
     """
     rows, tokenizer = texts.where("text is not null"), tokenizer_hash(folder, ranks)
     if known is not None:
-        unseen = rows.select("content_hash").distinct().join(known.select("content_hash"), "content_hash", "left_anti")
-        rows = rows.join(unseen, "content_hash", "left_semi")
+        unseen = cut(rows.select("content_hash").distinct().join(known.select("content_hash"), "content_hash", "left_anti"))
+        rows = rows.join(F.broadcast(unseen) if unseen.count() <= FEW else unseen, "content_hash", "left_semi")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, seen = encoder(folder, ranks, tokenizer), {}
