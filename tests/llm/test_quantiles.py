@@ -4,6 +4,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from turnloom.llm import quantiles as Q
 
@@ -49,3 +50,17 @@ def test_days_merge_to_the_whole_and_stay_small(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "model string, ms double")
     assert Q.percentiles(Q.digest(df, ["model"], "ms"), ["model"], [0.5]).count() == 0
+
+
+def test_stored_days_merge_like_the_whole_and_are_replaced_one_by_one(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [("m", f"2024-01-0{1 + i % 4}" if i % 50 else None, rnd.lognormvariate(5, 1)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "model string, day string, ms double").withColumn("day", F.col("day").cast("date"))
+    store = Q.DigestStore(spark, str(tmp_path / "d"), ["model"], 0.02)
+    store.publish(df, "ms")
+    period = [r[2] for r in rows if r[1] in ("2024-01-02", "2024-01-03")]
+    for r in store.of_period([0.5, 0.95], "2024-01-02", "2024-01-03").collect():
+        assert r.n == len(period) and abs(np.searchsorted(sorted(period), r.value) - r.level * r.n) <= r.rank_error + 0.005 * r.n
+    assert {r.n for r in store.of_period([0.5]).collect()} == {4000} and {(r.day is None, r.n) for r in store.by_day([0.5]).collect() if r.day is None} == {(True, 80)}
+    store.publish(df.where("day = '2024-01-02'").limit(10), "ms")
+    assert {str(r.day): r.n for r in store.by_day([0.5]).collect()}["2024-01-02"] == 10 and store.of_period([0.5], "2024-01-03", "2024-01-03").first().n == sum(r[1] == "2024-01-03" for r in rows)

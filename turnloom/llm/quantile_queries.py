@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import quantiles as Q
-from turnloom.plans.lineage import cut
+from turnloom.plans.lineage import shared_dir
 from turnloom.sources.tables import table
 
 LEVELS = [0.5, 0.9, 0.95, 0.99]
@@ -23,13 +25,22 @@ def latencies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _published(spark: SparkSession, folder: str) -> Q.DigestStore:
+    store = Q.DigestStore(spark, f"{shared_dir(spark)}/latency-digests-{uuid.uuid4().hex}", ["kind", "answer_model"])
+    store.publish(latencies(spark, folder), "ms")
+    return store
+
+
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Median and upper percentiles per model and day, and of all days together (day null) by merging the days' digests."""
-    by_day = cut(Q.digest(latencies(spark, folder), ["kind", "answer_model", "day"], "ms", Q.EPSILON / 2))
-    whole = Q.merge(by_day.drop("day"), ["kind", "answer_model"], Q.EPSILON / 2)
-    days = Q.percentiles(by_day, ["kind", "answer_model", "day"], LEVELS, Q.EPSILON)
-    return days.unionByName(Q.percentiles(whole, ["kind", "answer_model"], LEVELS, Q.EPSILON).withColumn("day", F.lit(None).cast("date")))
+    """Median and upper percentiles per model and day, and of all days together (day null), read from the stored day digests."""
+    store = _published(spark, folder)
+    return store.by_day(LEVELS).unionByName(store.of_period(LEVELS).withColumn("day", F.lit(None).cast("date")))
+
+
+def p3_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored day digests themselves, which later days or other parts are merged with."""
+    return _published(spark, folder).days().select("kind", "answer_model", "day", "node", "count")
 
 
-QUERIES = {"p3_percentiles": p3_percentiles}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_digests": p3_digests}
 SQL: dict[str, str] = {}

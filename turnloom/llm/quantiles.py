@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
@@ -100,3 +100,50 @@ def percentiles(digests: DataFrame, keys: list[str], levels: list[float], epsilo
         return pd.DataFrame({**dict(zip(keys, group)), "n": n, "level": levels, "value": value_of(last[order][at]), "rank_error": int(epsilon * n)})
 
     return digests.groupBy(*keys).applyInPandas(read, out)
+
+
+class DigestStore:
+    """Day digests in a shared folder, a part for each delivery, that any period's percentiles are read from.
+
+    A day that is delivered again is read from its latest part; all other days stay as they are.  ``keys`` are
+    the columns of a group besides ``day``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], epsilon: float = EPSILON) -> None:
+        self.spark, self.folder, self.keys, self.epsilon = spark, folder.rstrip("/"), keys, epsilon
+
+    def _parts(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        n = 0
+        while fs.exists(path(f"{self.folder}/part={n + 1}/_SUCCESS")):
+            n += 1
+        return list(range(1, n + 1))
+
+    def publish(self, rows: DataFrame, value: str) -> DataFrame:
+        """Digest ``rows`` (keys, day, value) and store them as the next part; half of the error is left for merging days."""
+        digests = digest(rows, [*self.keys, "day"], value, self.epsilon / 2)
+        digests.write.mode("overwrite").parquet(f"{self.folder}/part={len(self._parts()) + 1}")
+        return self.days()
+
+    def days(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """(keys, node, count, day) of the stored days from ``first`` to ``last``, both included; without bounds all, undated ones too."""
+        parts = self._parts()
+        got = self.spark.read.option("basePath", self.folder).parquet(*(f"{self.folder}/part={k}" for k in parts))
+        if first is not None:
+            got = got.where(F.col("day") >= F.lit(first).cast("date"))
+        if last is not None:
+            got = got.where(F.col("day") <= F.lit(last).cast("date"))
+        if len(parts) == 1:
+            return got.drop("part")
+        latest = got.groupBy(F.col("day").alias("_day")).agg(F.max("part").alias("_part"))
+        return got.join(latest, F.col("day").eqNullSafe(F.col("_day")) & (F.col("part") == F.col("_part")), "left_semi").drop("part")
+
+    def by_day(self, levels: list[float], first: str | None = None, last: str | None = None) -> DataFrame:
+        """Percentiles of each stored day."""
+        return percentiles(self.days(first, last), [*self.keys, "day"], levels, self.epsilon)
+
+    def of_period(self, levels: list[float], first: str | None = None, last: str | None = None) -> DataFrame:
+        """Percentiles of all days of a period together, by adding the days' nodes."""
+        whole = merge(self.days(first, last).drop("day"), self.keys, self.epsilon / 2)
+        return percentiles(whole, self.keys, levels, self.epsilon)
