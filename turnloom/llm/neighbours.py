@@ -25,7 +25,7 @@ TREES, BITS = 16, 63
 #: Further products of a tree, and the bits of each.
 FINE, STEPS = 8, 24
 #: Entries of a block, at most.
-BLOCK = 2048
+BLOCK = 512
 #: Blocks' worth of entries that a vector meets for each tree before its ascent ends.
 ENOUGH = 2
 #: Vectors whose products are held at once.
