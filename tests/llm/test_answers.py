@@ -83,3 +83,12 @@ def test_long_texts_need_neighbours(spark):
 
 def test_refusals_in_any_sentence():
     assert W.declines("Thanks for asking. You want the tent's price. I'm sorry, but I can't share that.") and not W.declines("Thanks. He declined the tent. She won't be there.")
+
+
+def test_any_sign_behind_a_text_is_enough_over_range_borders(spark):
+    words = sorted({f"w{i:03d}"[:k] for i in range(60) for k in (2, 3, 4)})
+    df = spark.createDataFrame([(w, len(w) < 4) for w in words], "text string, open boolean")
+    for n in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert {r.text for r in W.continued_texts(df, 0).collect()} == {w for w in words if len(w) < 4}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -120,6 +120,24 @@ def continued_texts(texts: DataFrame, more: int) -> DataFrame:
     def goes_on(text: str, by: str) -> bool:
         return len(by) > len(text) and by.startswith(text) and len(_WORD.findall(by[len(text) :])) >= more
 
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Where any sign will do, the next text tells: only open texts and what stands behind them are looked at."""
+        last, part = None, None
+        for b in batches:
+            texts, is_open, out = b["text"].to_numpy(object), b["open"].to_numpy(bool), []
+            if not len(texts):
+                continue
+            if part is None:
+                part = b["pid"].iat[0]
+                out.append((texts[0], part, 2))
+            if last is not None and texts[0].startswith(last):
+                out.append((last, part, 0))
+            out += [(texts[i], part, 0) for i in np.flatnonzero(is_open[:-1]) if texts[i + 1].startswith(texts[i])]
+            last = texts[-1] if is_open[-1] else None
+            yield pd.DataFrame(out, columns=["text", "pid", "kind"])
+        if last is not None:
+            yield pd.DataFrame([(last, part, 1)], columns=["text", "pid", "kind"])
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack, part, head, heads = [], None, None, {}
         for b in batches:
@@ -142,7 +160,7 @@ def continued_texts(texts: DataFrame, more: int) -> DataFrame:
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = texts.repartitionByRange(n, "text").sortWithinPartitions("text").withColumn("pid", F.spark_partition_id())
-    rows = cut(ordered.mapInPandas(walk, "text string, pid int, kind int"))
+    rows = cut(ordered.mapInPandas(walk if more else step, "text string, pid int, kind int"))
     # What meets at the borders: texts of one chain of prefixes, and a text for each length of a first text, from each range.
     border = rows.where("kind > 0").toPandas()
     heads = border[border["kind"] == 2].sort_values(["pid", "text"])
