@@ -73,3 +73,12 @@ def test_round_trip_of_every_chain():
 
 def test_empty_table(spark):
     assert J.garbled_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_long_runs_without_blanks_take_linear_time(spark):
+    from time import monotonic
+
+    texts = ["x" * 300_000 + " été", "é" + "x" * 300_000, "Größe " * 50_000]
+    began = monotonic()
+    assert J.garbled_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).count() == 0
+    assert monotonic() - began < 60

@@ -41,8 +41,7 @@ SWAPPED = [
     ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp1252", "cp437"), ("cp850", "cp1252"), ("cp1252", "cp850"),
     ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("cp437", "cp866"), ("cp437", "koi8-r"), ("cp437", "cp1251"),
 ]
-_SPACE = re.compile(r"[ \t\r\n]+")
-_TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+_TOKEN = re.compile(r"[^ \t\r\n]+")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 #: Characters beyond ASCII that are more than spacing: a token without one has no other reading.
 _TELLING = re.compile("[^\x00-\x7f\xa0\xad\u200b-\u200f\u202f\u2060\ufeff]")
@@ -141,12 +140,13 @@ def _tokens_of_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for h, text in zip(b["h"], b["text"]):
-            special = set(_TOKEN.findall(text))
+            words = _TOKEN.findall(text)
+            special = {t for t in words if not t.isascii()}
             for t in special:
                 if t not in marked:
                     marked[t] = _MARKS.search(t) is not None
             if not any(marked[t] for t in special):
-                counts.update(t for t in _SPACE.split(text) if t)
+                counts.update(words)
                 if special:
                     out.append((h, sorted(special)))
         if len(marked) > REMEMBERED:
@@ -301,7 +301,7 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leads = _Leads(model)
         for b in batches:
-            found = [_TOKEN.findall(t) for t in b["text"]]
+            found = [[x for x in _TOKEN.findall(t) if not x.isascii()] for t in b["text"]]
             known = leads.of({t for ts in found for t in ts})
             better = {t: x for t, x in known.items() if x[0] > margin and not _LOST.search(x[1])}
             lost = {t for t in known if t not in better and (_LOST.search(t) or is_scrap(t))}
