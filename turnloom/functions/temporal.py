@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# English months and weekdays.
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 DAY = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
 # Fixed value: phrases that name a time, first alternative holds.
@@ -34,6 +35,7 @@ FORMS = [
 # Most units a count may name before it means nothing.
 CAPS = {"day": 36500, "week": 5200, "month": 1200, "year": 100}
 PRECISIONS = ["second", "minute", "day", "week", "month", "year"]
+# Counts of units back from a day, and spans that last up to it.
 AGO = r"^(?:about\s+|around\s+)?(?:a|an|one|(\d+))\s+(day|week|month|year)s?\s+ago$"
 LASTED = r"^(?:for\s+)?(?:(just\s+under|almost|nearly|about|around)\s+)?(?:a|an|one|(\d+))\s+(day|week|month|year)s?(?:\s+now)?$"
 
