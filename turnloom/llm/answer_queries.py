@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from turnloom.llm.answers import defective_answers
 from turnloom.sources.tables import table
