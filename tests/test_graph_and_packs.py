@@ -182,3 +182,35 @@ def test_caps_at_both_ends_equal_a_greedy_walk(spark):
             used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
     df = spark.createDataFrame([*edges, edges[0], (999, None, "n1", 1.0)], "edge_id int, a string, b string, confidence double")
     assert {r.edge_id for r in capped_both_ways(df, 3).collect()} == want and capped_both_ways(df.limit(0), 3).count() == 0
+
+
+def shuffled(spark):
+    """Rows written to shuffles so far."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = store.stageList(none, False, False, quantiles, none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_sparse_pairs_like_brute_force_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(B, "OWNERS", 16)
+    rnd = random.Random(4)
+    rows = [(f"m{m}", f"u{u}", f"v{int(rnd.paretovariate(0.7)) % 300}") for m in range(3) for u in range(60 * m + 1) for _ in range(20)]
+    rows += [("m0", None, "v1"), ("m0", "u0", None), (None, "u0", "v1"), ("m2", "ü", "v1"), *(("m2", x, f"w{k}") for x in ("ü", "u\U0001f600") for k in range(5))]
+    sets: dict = {}
+    for m, u, v in rows:
+        if None not in (m, u, v):
+            sets.setdefault((m, u), set()).add(v)
+    wanted = {(m, u, w, len(sets[m, u] & sets[n, w])) for m, u in sets for n, w in sets if m == n and u < w and len(sets[m, u] & sets[n, w]) >= 5}
+    got = B.sparse_pairs(spark.createDataFrame(rows, "memory_id string, owner_id string, value_key string"), 5).collect()
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+
+
+def test_sparse_pairs_shuffle_no_pairs(spark, tmp_path):
+    from turnloom.plans import graph_queries as Q
+
+    held = spark.range(600 * 8).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id div 8 * 20 AS user_id", "'view' AS event_type", "1.0D AS value", "concat('{\"k\": ', id % 8, '}') AS props")
+    held.write.parquet(f"{tmp_path}/events.parquet")
+    before = shuffled(spark)
+    assert Q.gb_sparse_pairs(spark, str(tmp_path)).count() == 600 * 599 // 2
+    assert shuffled(spark) - before < 600 * 599 // 4

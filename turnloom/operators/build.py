@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from turnloom.plans.lineage import cut, ranked
 # Thresholds of relation signals and how a signal's value becomes a gate score (base, slope).
 THRESHOLDS = {"SCENE_SIMILAR": 0.72, "SHARED_ENTITY": 0.25, "STATE_COMPATIBLE": 0.45, "COLLECTION_RELATED": 0.45, "TEMPORAL_NEAR": math.exp(-2.0), "LEXICAL_RARE": 0.50}
 GATES = {"SCENE_SIMILAR": (0.0, 1.0), "SHARED_ENTITY": (0.82, 0.16), "STATE_COMPATIBLE": (0.80, 0.18), "COLLECTION_RELATED": (0.58, 0.18), "TEMPORAL_NEAR": (0.54, 0.20), "LEXICAL_RARE": (0.82, 0.16)}
+#: Owners of a block of ``sparse_pairs``, and columns of its matrices at a time.
+OWNERS, CODES = 1024, 4096
+#: Rows up to which a table of ``sparse_pairs`` is broadcast.
+SMALL = 10_000
 
 
 def _turn_signals(turns: DataFrame, high: int, threshold: float, block: int) -> DataFrame:
@@ -146,3 +152,66 @@ def grouped_hierarchy(leaves: DataFrame, fanout: int, sign: str | None = None) -
     below = F.pow(F.lit(float(fanout)), F.col("level") - 1).cast("bigint")
     first = per.where(F.pmod(F.col("place") - 1, below) == 0)
     return first.select("memory_id", card(F.col("level"), width).alias("parent_id"), F.when(F.col("level") == 1, F.col("leaf_id")).otherwise(card(F.col("level") - 1, below)).alias("child_id"), "level")
+
+
+def _counted(block: pa.Table, least: int) -> pa.Table:
+    """Pairs of the owners of two blocks (of one, where ``a`` is ``b``) with ``least`` common codes or more, counted by products of 0-1 matrices."""
+    memory, a, b = (block.column(c)[0].as_py() for c in ("memory_id", "a", "b"))
+    owners, side, codes = block.column("owner_id").to_pylist(), block.column("block").to_numpy(), block.column("codes").combine_chunks()
+    place = np.empty(len(owners), "i8")
+    place[order := np.array(sorted(range(len(owners)), key=owners.__getitem__), "i8")] = np.arange(len(owners))
+    names = pa.array([owners[i] for i in order], pa.string())
+    row = np.repeat(np.arange(len(owners)), codes.value_lengths().to_numpy())
+    _, code = np.unique(codes.flatten().to_numpy(), return_inverse=True)
+    left, right = (np.flatnonzero(side == x) for x in (a, b))
+    left, right = left[np.argsort(place[left])], right[np.argsort(place[right])]
+    # A code that only one block holds, or only one owner, is in no pair.
+    n = [np.bincount(code[side[row] == x], minlength=code.max() + 1) for x in (a, b)]
+    common = np.flatnonzero(np.minimum(*n) > (a == b))
+    column = np.full(len(n[0]), -1, "i8")
+    column[common] = np.arange(len(common))
+    column = column[code]
+
+    def matrix(rows: np.ndarray, low: int) -> np.ndarray:
+        at = np.full(len(owners), -1, "i8")
+        at[rows] = np.arange(len(rows))
+        here = (at[row] >= 0) & (column >= low) & (column < low + CODES)
+        m = np.zeros((len(rows), min(CODES, len(common) - low)), "f4")
+        m[at[row[here]], column[here] - low] = 1
+        return m
+
+    shared = np.zeros((len(left), len(right)), "f4")
+    for low in range(0, len(common), CODES):
+        shared += matrix(left, low) @ matrix(right, low).T
+    out = []
+    for low in range(0, len(left), 64):
+        part = shared[low : low + 64]
+        i, j = np.nonzero(part >= least)
+        if a == b:
+            i, j = i[i + low < j], j[i + low < j]
+        p, q = place[left[i + low]], place[right[j]]
+        columns = [pa.repeat(pa.scalar(memory, pa.string()), len(i)), names.take(pa.array(np.minimum(p, q))), names.take(pa.array(np.maximum(p, q))), pa.array(part[i, j].astype("i8"))]
+        out.append(pa.record_batch(columns, ["memory_id", "owner_id", "other_id", "shared"]))
+    return pa.Table.from_batches(out, pa.schema([("memory_id", pa.string()), ("owner_id", pa.string()), ("other_id", pa.string()), ("shared", pa.int64())]))
+
+
+def sparse_pairs(held: DataFrame, least: int) -> DataFrame:
+    """(memory_id, owner_id, other_id, shared): pairs of owners of a memory who share ``least`` values or more of ``held`` (memory_id, owner_id, value_key).
+
+    Two such owners share one of either's rarest values, all but ``least`` - 1 of its own.  Owners are cut into
+    blocks by hash; an owner's values go once to every block where one of its rarest is held, whatever the number
+    of owners there, and blocks are compared as wholes: pairs are made where they are written and never shuffled.
+    """
+    rows = held.where("memory_id is not null and owner_id is not null and value_key is not null").repartition("memory_id", "owner_id").distinct()
+    sets = cut(rows.groupBy("memory_id", "owner_id").agg(F.collect_list("value_key").alias("v")).where(F.size("v") >= least))
+    small = lambda df: F.broadcast(df) if df.count() <= SMALL else df
+    blocks = cut(sets.groupBy("memory_id").agg(F.ceil(F.count(F.lit(1)) / OWNERS).alias("blocks")))
+    block = F.pmod(F.xxhash64("owner_id"), F.col("blocks")).cast("int")
+    one = sets.join(small(blocks), "memory_id").select("memory_id", "owner_id", block.alias("block"), F.explode("v").alias("value_key"))
+    where = one.groupBy("memory_id", "value_key", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("memory_id", "value_key").agg(F.sum("n").alias("df"), F.collect_list("block").alias("to"))
+    where = cut(where).withColumn("code", F.monotonically_increasing_id())
+    known = one.join(small(where), ["memory_id", "value_key"]).groupBy("memory_id", "owner_id", "block").agg(F.array_sort(F.collect_list(F.struct("df", "code", "to"))).alias("v"))
+    rarest = F.slice("v", F.lit(1), F.size("v") - (least - 1))
+    sent = known.select("memory_id", "owner_id", "block", F.transform("v", lambda x: x["code"]).alias("codes"), F.explode(F.array_distinct(F.flatten(F.transform(rarest, lambda x: x["to"])))).alias("to"))
+    meet = sent.select("memory_id", F.least("block", "to").alias("a"), F.greatest("block", "to").alias("b"), "owner_id", "block", "codes")
+    return meet.groupBy("memory_id", "a", "b").applyInArrow(lambda t: _counted(t, least), "memory_id string, owner_id string, other_id string, shared bigint")

@@ -506,18 +506,8 @@ def gb_knn_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gb_sparse_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Owners of one memory who share five values or more.
-
-    Two such owners share one of either's rarest values, all but four of its own: so only these prefixes meet,
-    by equal value, and the pairs that did are counted on their whole sets.
-    """
-    f = facts(spark, folder).select("memory_id", "owner_id", "value_key").where("value_key is not null").distinct()
-    df = f.groupBy("memory_id", "value_key").agg(F.count(F.lit(1)).alias("df"))
-    sets = cut(f.join(df, ["memory_id", "value_key"]).groupBy("memory_id", "owner_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "value_key"))), lambda x: x["value_key"]).alias("v")).where(F.size("v") >= 5))
-    head = sets.select("memory_id", "owner_id", F.explode(F.slice("v", F.lit(1), F.size("v") - 4)).alias("value_key"))
-    met = head.join(head.withColumnRenamed("owner_id", "other_id"), ["memory_id", "value_key"]).where("owner_id < other_id").select("memory_id", "owner_id", "other_id").distinct()
-    both = met.join(sets, ["memory_id", "owner_id"]).join(sets.select("memory_id", F.col("owner_id").alias("other_id"), F.col("v").alias("w")), ["memory_id", "other_id"])
-    return both.select("memory_id", "owner_id", "other_id", F.size(F.array_intersect("v", "w")).cast("bigint").alias("shared")).where("shared >= 5")
+    """Owners of one memory who share five values or more."""
+    return B.sparse_pairs(facts(spark, folder).select("memory_id", "owner_id", "value_key"), 5)
 
 
 def gb_canonicalize(spark: SparkSession, folder: str) -> DataFrame:
