@@ -214,3 +214,17 @@ def test_sparse_pairs_shuffle_no_pairs(spark, tmp_path):
     before = shuffled(spark)
     assert Q.gb_sparse_pairs(spark, str(tmp_path)).count() == 600 * 599 // 2
     assert shuffled(spark) - before < 600 * 599 // 4
+
+
+def test_beam_route_makes_no_row_per_query_and_child(spark):
+    nodes = spark.createDataFrame([("r", ["top"], 0.5)], "node_id string, terms array<string>, confidence double").unionByName(spark.range(4000).selectExpr("concat('c', lpad(id, 5, '0')) AS node_id", "array('kind', concat('k', id % 4)) AS terms", "0.9D + id % 2 AS confidence"))
+    tree = nodes.where("node_id <> 'r'").selectExpr("'r' AS parent_id", "node_id AS child_id")
+    queries = spark.range(400).selectExpr("concat('q', id) AS query_id", "array(concat('k', id % 5)) AS terms")
+    before = shuffled(spark)
+    got = {}
+    for r in G.beam_route(queries, nodes, tree).where("depth = 1").collect():
+        got.setdefault(r.query_id, []).append((r.node_id, r.score))
+    # The better half of a kind's children has the odd ids where the kind is odd, none where it is even; k4 is nobody's, so confidence decides.
+    wanted = {k: [(f"c{k + 4 * n:05d}", round(4 + 0.01 * (0.9 + k % 2), 6)) for n in range(4)] for k in range(4)} | {4: [(f"c{n:05d}", 0.019) for n in (1, 3, 5, 7)]}
+    assert {q: sorted(rows) for q, rows in got.items()} == {f"q{i}": wanted[i % 5] for i in range(400)}
+    assert shuffled(spark) - before < 100_000

@@ -45,28 +45,34 @@ def beam_route(queries: DataFrame, nodes: DataFrame, tree: DataFrame, root_beam:
         share = F.size(F.array_intersect("terms", "query_terms")) / F.greatest(F.lit(1), F.size("query_terms"))
         return df.withColumn("score", F.round(4 * share + 0.01 * F.col("confidence"), 6))
 
+    # What a question admits depends on its terms only: questions of the same terms are routed once.
     asked = queries.select("query_id", F.col("terms").alias("query_terms"))
+    kinds = asked.select("query_terms").distinct()
     roots = nodes.join(tree.select(F.col("child_id").alias("node_id")), "node_id", "left_anti")
     # Roots that share a term meet by it; the first ones by id stand in for queries that hit fewer.
-    by_term = asked.select("query_id", F.explode("query_terms").alias("t")).join(roots.select("node_id", F.explode("terms").alias("t")), "t").select("query_id", "node_id")
+    by_term = kinds.select("query_terms", F.explode("query_terms").alias("t")).join(roots.select("node_id", F.explode("terms").alias("t")), "t").select("query_terms", "node_id")
     first = [r[0] for r in roots.orderBy("node_id").select("node_id").limit(root_beam).collect()]
-    spare = asked.select("query_id", F.explode(F.array(*[F.lit(x) for x in first])).alias("node_id")) if first else by_term.limit(0)
-    met = score(by_term.unionByName(spare).distinct().join(asked, "query_id").join(roots, "node_id"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
-    level = met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= root_beam).select("query_id", "query_terms", "node_id", "score")
-    found = level.select("query_id", "node_id", F.lit(0).alias("depth"), "score")
+    spare = kinds.select("query_terms", F.explode(F.array(*[F.lit(x) for x in first])).alias("node_id")) if first else by_term.limit(0)
+    met = score(by_term.unionByName(spare).distinct().join(roots, "node_id"))
+    w = Window.partitionBy("query_terms").orderBy(F.col("score").desc(), "node_id")
+    level = cut(met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= root_beam).select("query_terms", "node_id", "score"))
+    found = level.withColumn("depth", F.lit(0))
+    # Children of like terms and confidence score alike: of each parent's, the ``child_beam`` first by id are all that any question admits.
+    alike = Window.partitionBy("parent_id", "terms", "confidence").orderBy("child_id")
+    children = tree.join(nodes.withColumnRenamed("node_id", "child_id"), "child_id").select("parent_id", "child_id", "terms", "confidence")
+    children = cut(children.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= child_beam).drop("n"))
     for k in range(1, depth + 1):
-        down = level.select("query_id", "query_terms", F.col("node_id").alias("parent_id")).join(tree, "parent_id").join(nodes.withColumnRenamed("node_id", "child_id"), "child_id")
-        down = score(down)
-        per = Window.partitionBy("query_id", "parent_id")
+        down = score(level.select("query_terms", F.col("node_id").alias("parent_id")).join(children, "parent_id"))
+        per = Window.partitionBy("query_terms", "parent_id")
         hit = F.col("score") > 0.011
         keep = down.withColumns({"hits": F.count_if(hit).over(per), "n": F.row_number().over(per.orderBy(F.col("score").desc(), "child_id"))})
         keep = keep.where((F.col("n") <= child_beam) & (hit | (F.col("hits") == 0)))
-        level = cut(keep.groupBy("query_id", "query_terms", F.col("child_id").alias("node_id")).agg(F.max("score").alias("score")))
+        level = cut(keep.groupBy("query_terms", F.col("child_id").alias("node_id")).agg(F.max("score").alias("score")))
         if level.isEmpty():
             break
-        found = found.unionByName(level.select("query_id", "node_id", F.lit(k).alias("depth"), "score"))
-    return found
+        found = found.unionByName(level.withColumn("depth", F.lit(k)))
+    found = found.withColumnRenamed("query_terms", "kind")
+    return asked.join(found, F.col("query_terms").eqNullSafe(F.col("kind"))).select("query_id", "node_id", "depth", "score")
 
 
 def shortest_paths(sources: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
