@@ -228,3 +228,20 @@ def test_beam_route_makes_no_row_per_query_and_child(spark):
     wanted = {k: [(f"c{k + 4 * n:05d}", round(4 + 0.01 * (0.9 + k % 2), 6)) for n in range(4)] for k in range(4)} | {4: [(f"c{n:05d}", 0.019) for n in (1, 3, 5, 7)]}
     assert {q: sorted(rows) for q, rows in got.items()} == {f"q{i}": wanted[i % 5] for i in range(400)}
     assert shuffled(spark) - before < 100_000
+
+
+def test_expansion_makes_no_row_per_query_and_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(G, "FAN", 50, raising=False)
+    steps = spark.range(800).selectExpr("'hub' AS node", "concat('n', lpad(id, 4, '0')) AS next", "if(id % 2 = 0, 'MEMBER_OF', 'OTHER') AS relation")
+    steps = steps.unionByName(spark.range(300).selectExpr("concat('s', id) AS node", "'hub' AS next", "'OTHER' AS relation"))
+    terms = spark.range(800).selectExpr("concat('n', lpad(id, 4, '0')) AS node", "array(concat('k', id % 5), 'x') AS terms")
+    seeds = spark.range(300).selectExpr("concat('q', id) AS query_id", "concat('s', id) AS node_id", "array(concat('k', id % 5), 'y') AS query_terms")
+    before = shuffled(spark)
+    got = {}
+    for r in G.expand(seeds, steps, terms, 12, 2).orderBy("place").collect():
+        got.setdefault(r.query_id, []).append((r.node_id, r.hops, r.priority, r.place))
+    for i in range(300):
+        ranked = sorted((-round((n % 5 == i % 5) / 2 + 0.25 * (n % 2 == 0) - 0.16, 6), f"n{n:04d}") for n in range(800))[:10]
+        assert got[f"q{i}"] == [(f"s{i}", 0, 1.0, 1), ("hub", 1, -0.08, 2), *((node, 2, -less, k + 3) for k, (less, node) in enumerate(ranked))]
+    # 240,000 neighbours are met; each hub part sends its 10 best at most.
+    assert shuffled(spark) - before < 200_000

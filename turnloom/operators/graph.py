@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.plans.lineage import cut
 
 # Relations that earn a bonus in an expansion.
 STRONG = ["PORTAL", "TEMPORAL_BEFORE", "TEMPORAL_AFTER", "STATE_TRANSITION", "MEMBER_OF"]
+#: Neighbours of a node that are scored as one array.
+FAN = 512
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -97,20 +99,33 @@ def expand(seeds: DataFrame, steps: DataFrame, terms: DataFrame, max_nodes: int,
     strong relation, 0.08 less a hop; a node met on several ways keeps the best.  Of a level the first of the
     ``max_nodes`` not used yet stay, by priority, then id; nodes of earlier levels are not met again.
     """
+    of = Window.partitionBy("query_id")
     level = seeds.groupBy("query_id", "query_terms", "node_id").agg(F.lit(0).alias("hops"), F.lit(1.0).alias("priority"))
-    level = level.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))).where(F.col("place") <= max_nodes)
-    seen = level
-    edges = steps.select(F.col("node").alias("node_id"), F.col("next").alias("other"), F.col("relation").isin(STRONG).alias("strong")).groupBy("node_id", "other").agg(F.max("strong").alias("strong"))
-    known = terms.select(F.col("node").alias("other"), "terms")
+    level = level.withColumns({"kind": F.dense_rank().over(of.orderBy("query_terms")), "place": F.row_number().over(of.orderBy("node_id", "query_terms"))})
+    level = cut(level.where(F.col("place") <= max_nodes))
+    kinds, seen = level.select("query_id", "kind", "query_terms").distinct(), level.drop("query_terms")
+    edges = steps.select(F.col("node").alias("node_id"), F.col("next").alias("other"), F.col("relation").isin(STRONG).alias("strong"))
+    known = terms.select(F.col("node").alias("other"), "terms", F.row_number().over(Window.partitionBy("node").orderBy("terms")).alias("variant"))
     for hop in range(1, max_hops + 1):
-        used = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("used"))
-        met = level.select("query_id", "query_terms", "node_id").join(edges, "node_id").groupBy("query_id", "query_terms", "other").agg(F.max("strong").alias("strong"))
-        fresh = met.join(seen.select("query_id", F.col("node_id").alias("other")), ["query_id", "other"], "left_anti").join(known, "other", "left").join(used, "query_id")
-        overlap = F.size(F.array_intersect("query_terms", F.coalesce("terms", F.array().cast("array<string>")))) / F.greatest(F.size("query_terms"), F.lit(1))
-        priority = F.round(overlap + F.when(F.col("strong"), 0.25).otherwise(0.0) - 0.08 * hop, 6)
-        scored = fresh.select("query_id", "query_terms", F.col("other").alias("node_id"), F.lit(hop).alias("hops"), priority.alias("priority"), "used")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("priority").desc(), "node_id"))
-        level = cut(scored.withColumn("place", rank + F.col("used")).where(F.col("place") <= max_nodes).drop("used").withColumn("place", F.col("place").cast("int")))
+        # Neighbours as arrays of at most about ``FAN``: a query takes the best of each and none is a row of its own before.
+        near = edges.join(level.select("node_id").distinct(), "node_id", "left_semi").groupBy("node_id", "other").agg(F.max("strong").alias("strong"))
+        near = near.withColumn("part", F.pmod(F.xxhash64("other"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("node_id")) / FAN)))
+        near = near.join(known, "other", "left").groupBy("node_id", "part").agg(F.collect_list(F.struct("other", "variant", "strong", "terms")).alias("others"))
+        state = seen.groupBy("query_id").agg(F.collect_set("node_id").alias("met"), F.count(F.lit(1)).alias("used")).where(F.col("used") < max_nodes)
+        at = level.select("query_id", "kind", "node_id").distinct().join(kinds, ["query_id", "kind"]).join(state, "query_id").join(near, "node_id")
+
+        def scored(x: Column) -> Column:
+            overlap = F.size(F.array_intersect("query_terms", F.coalesce(x["terms"], F.array().cast("array<string>")))) / F.greatest(F.size("query_terms"), F.lit(1))
+            priority = F.round(overlap + F.when(x["strong"], 0.25).otherwise(0.0) - 0.08 * hop, 6)
+            return F.struct((-priority).alias("less"), x["other"].alias("node_id"), x["variant"].alias("variant"), priority.alias("priority"))
+
+        others = F.transform(F.filter("others", lambda x: ~F.array_contains("met", x["other"])), scored)
+        best = at.select("query_id", "kind", "used", F.explode(F.slice(F.array_sort(others), F.lit(1), (max_nodes - F.col("used")).cast("int"))).alias("b"))
+        best = best.select("query_id", "kind", "used", "b.node_id", "b.variant", "b.priority").repartition("query_id")
+        fresh = best.groupBy("query_id", "kind", "used", "node_id", "variant").agg(F.max("priority").alias("priority"))
+        rank = F.row_number().over(of.orderBy(F.col("priority").desc(), "node_id", "kind", "variant"))
+        level = fresh.withColumns({"hops": F.lit(hop), "place": (rank + F.col("used")).cast("int")}).where(F.col("place") <= max_nodes)
+        level = cut(level.select("query_id", "node_id", "hops", "priority", "kind", "place"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)

@@ -223,11 +223,19 @@ def rt_owner_terminals(spark: SparkSession, folder: str) -> DataFrame:
     return facts(spark, folder).select("owner_id", "binding_id", F.row_number().over(w).alias("rank")).where("rank <= 20")
 
 
+def _node(kind: str, key: str) -> Column:
+    return F.concat(F.lit(kind), F.lpad(F.col(key).cast("string"), 6, "0"))
+
+
+def _capped(spark: SparkSession, folder: str) -> DataFrame:
+    """(l_partkey, l_suppkey): each part with the four suppliers it has most of."""
+    li = table(spark, folder, "lineitem", "l_partkey", "l_suppkey", "l_quantity").repartition("l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("confidence"))
+    return O.degree_capped(li.withColumn("edge_id", F.col("l_suppkey")), 4, ["l_partkey"]).select("l_partkey", "l_suppkey")
+
+
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
     """Parts and suppliers in both directions, each part with the four suppliers it has most of."""
-    li = table(spark, folder, "lineitem", "l_partkey", "l_suppkey", "l_quantity").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("confidence"))
-    e = O.degree_capped(li.withColumn("edge_id", F.col("l_suppkey")), 4, ["l_partkey"]).select("l_partkey", "l_suppkey")
-    return G.both_ways(e.select(F.concat("l_partkey", F.lit("-"), "l_suppkey").alias("edge_id"), F.concat(F.lit("p"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("src_id"), F.lit("MEMBER_OF").alias("relation"), F.concat(F.lit("s"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("dst_id")))
+    return G.both_ways(_capped(spark, folder).select(F.concat("l_partkey", F.lit("-"), "l_suppkey").alias("edge_id"), _node("p", "l_partkey").alias("src_id"), F.lit("MEMBER_OF").alias("relation"), _node("s", "l_suppkey").alias("dst_id")))
 
 
 def rt_node_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,13 +245,17 @@ def rt_node_paths(spark: SparkSession, folder: str) -> DataFrame:
     return G.shortest_paths(sources, steps, 2).select("source_id", "node_id", "hops", F.array_join("path", ">").alias("path"))
 
 
+def _part_terms(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    return p.select("p_partkey", _node("p", "p_partkey").alias("node"), content_terms(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("terms"))
+
+
 def _expansion(spark: SparkSession, folder: str, hops: int) -> DataFrame:
     """From every part divisible by 20, by the words of its brand and type."""
-    steps = _steps(spark, folder)
-    p = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type").select(
-        "p_partkey", F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("node"), content_terms(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("terms")
-    )
-    seeds = p.where("p_partkey % 20 = 0").join(steps.select("node").distinct(), "node", "left_semi")
+    held = cut(_capped(spark, folder)).select(_node("p", "l_partkey").alias("node"), _node("s", "l_suppkey").alias("next"), F.lit("MEMBER_OF").alias("relation"))
+    steps = held.unionByName(held.select(F.col("next").alias("node"), F.col("node").alias("next"), "relation"))
+    p = _part_terms(spark, folder)
+    seeds = p.where("p_partkey % 20 = 0").join(held.select("node").distinct(), "node", "left_semi")
     return G.expand(seeds.select(F.concat(F.lit("q"), "node").alias("query_id"), F.col("node").alias("node_id"), F.col("terms").alias("query_terms")), steps, p, 25, hops)
 
 
@@ -254,10 +266,11 @@ def rt_priority_expand(spark: SparkSession, folder: str) -> DataFrame:
 def rt_schedule(spark: SparkSession, folder: str) -> DataFrame:
     """Obligations first: of each query's visits within two hops, per term of the query the first node that holds it, then the rest by place, ten in all."""
     got = _expansion(spark, folder, 2)
-    p = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("node"), content_terms(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("terms"))
-    asked = p.select(F.concat(F.lit("q"), "node").alias("query_id"), F.explode("terms").alias("term"))
-    holds = got.where("hops > 0").join(p.select(F.col("node").alias("node_id"), F.explode("terms").alias("term")), "node_id").join(asked, ["query_id", "term"])
-    first = holds.groupBy("query_id", "term").agg(F.min("place").alias("place")).groupBy("query_id", "place").agg(F.count(F.lit(1)).alias("proves"))
+    p = _part_terms(spark, folder)
+    asked = p.groupBy(F.concat(F.lit("q"), "node").alias("query_id")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("asked"))
+    holds = got.where("hops > 0").join(p.select(F.col("node").alias("node_id"), "terms"), "node_id").select("query_id", "place", "terms").join(asked, "query_id")
+    first = holds.select("query_id", "place", F.explode(F.array_intersect("asked", "terms")).alias("term")).groupBy("query_id", "term").agg(F.min("place").alias("place"))
+    first = first.groupBy("query_id", "place").agg(F.count(F.lit(1)).alias("proves"))
     both = got.join(first, ["query_id", "place"], "left").withColumn("proves", F.coalesce("proves", F.lit(0)))
     w = Window.partitionBy("query_id").orderBy(F.col("proves").desc(), "place")
     return both.select("query_id", "node_id", "hops", "proves", F.row_number().over(w).alias("turn")).where("turn <= 10")
