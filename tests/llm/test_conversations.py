@@ -155,3 +155,45 @@ def test_crowded_blocks_and_missing_indexes(spark, monkeypatch):
         "swapped clocks": (True, [(39 - i, *(A if i % 2 == 0 else U), "x") for i in range(40)]),
     })
     assert "broken_index" in got["crowded"] and "broken_index" in got["no index"] and got["whole"] == got["swapped clocks"] == []
+
+
+def sessions_of_pairs(rnd, count, senders):
+    """{sid: [(a, b, n, total, least)]}, feasible for about half of the sessions."""
+    out = {}
+    for k in range(count):
+        m = int(rnd.integers(2, senders))
+        clock = rnd.integers(-10**10, 10**10, m)
+        met = {(i, (i + 1) % m) for i in range(m)} | {tuple(p) for p in rnd.integers(0, m, (2 * m, 2)).tolist() if p[0] != p[1]}
+        least = {p: int(clock[p[0]] - clock[p[1]] + rnd.integers(-60_000_000 if k % 2 else 0, 90_000_000)) for p in met}
+        out[b"%d" % k] = [(f"s{i}", f"s{j}", n, float(n * least[i, j] + rnd.integers(0, 10**8)), float(least[i, j])) for i, j in sorted(met) for n in (int(rnd.integers(1, 9)),)]
+    return out
+
+
+def solved(sessions):
+    keys = ("a", "b", "n", "total", "least")
+    frame = pd.DataFrame({"sid": list(sessions), "pairs": [[dict(zip(keys, p)) for p in pairs] for pairs in sessions.values()]})
+    return {(r.sid, r.speaker): (r.offset_us, r.clocks_agree) for r in next(C._solve(iter([frame]))).itertuples()}
+
+
+def test_clocks_do_not_depend_on_the_number_of_senders_or_pairs(spark, monkeypatch):
+    sessions = sessions_of_pairs(np.random.default_rng(8), 40, 60)
+    direct = solved(sessions)
+    assert {agree for _, agree in direct.values()} == {True, False}
+    monkeypatch.setattr(C, "DIRECT", 0)
+    assert solved(sessions) == direct
+    monkeypatch.undo()
+    rows = [(sid, *p) for sid, pairs in sessions.items() for p in pairs]
+    many = C._solve_in_rounds(spark.createDataFrame(rows, "sid binary, a string, b string, n bigint, total double, least double")).collect()
+    assert {(bytes(r.sid), r.speaker): (r.offset_us, r.clocks_agree) for r in many} == direct
+
+
+def test_clocks_of_many_senders_are_judged_exactly():
+    # One circle: the least gaps sum up to 0, then to -1; the mean gaps ask for other clocks than the least ones allow.
+    n = 3 * C.DIRECT
+    a, least = np.arange(n), np.where(np.arange(n) % 2, 70.0, -70.0)
+    gap = least + np.where(np.arange(n) < 5, 10_000.0, 1.0)
+    x = C._least_squares(a, (a + 1) % n, np.ones(n), gap, n)
+    assert not (least + x[(a + 1) % n] - x[a] >= 0).all()
+    assert C._feasible(a, (a + 1) % n, least, x)
+    least[7] -= 1
+    assert not C._feasible(a, (a + 1) % n, least, x)

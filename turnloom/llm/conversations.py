@@ -29,10 +29,10 @@ from turnloom.plans.lineage import cut
 BLOCK = 2048
 #: Blocks that the turns of a session without an index go to.
 LOOSE = 1024
-#: Pairs of senders of a session up to which one task solves for its clocks; more are solved in rounds of joins.
-PAIRS, ROUNDS = 50_000, 16
-#: Senders up to which the solution is direct, and feasibility of the clocks is exact.
-DIRECT = 256
+#: Pairs of senders of a session up to which they come to its task as one row; more come in batches.
+PAIRS = 50_000
+#: Senders up to which the solution is direct, and how often the other one is begun again at most: both end at the same microseconds.
+DIRECT, AGAIN = 256, 20
 # Spellings of roles.
 USER = ["user", "human", "customer", "client"]
 ASSISTANT = ["assistant", "ai", "bot", "model", "agent", "gpt"]
@@ -72,7 +72,7 @@ def _least_squares(a: np.ndarray, b: np.ndarray, weight: np.ndarray, gap: np.nda
             rows[k[at > 0], at[at > 0]] += (sign * weight)[at > 0]
         rows[:, 0] = -weight
         x = np.linalg.lstsq(rows, -weight * gap, rcond=None)[0]
-    else:  # conjugate gradients: two passes over the pairs a step
+    else:  # conjugate gradients, two passes over the pairs a step, begun again on what is left until nothing moves by a hundredth
         def times(x: np.ndarray) -> np.ndarray:
             y = np.concatenate([[0.0], x[1:]])
             return weight * (y[b] - y[a] - x[0])
@@ -82,70 +82,100 @@ def _least_squares(a: np.ndarray, b: np.ndarray, weight: np.ndarray, gap: np.nda
             out[0] = -(weight * r).sum()
             return out
 
-        x, r = np.zeros(senders), -weight * gap
-        d = g = back(r)
-        size = start = float(g @ g)
-        for _ in range(2 * senders):
-            if size <= 1e-18 * start or not size:
+        x = np.zeros(senders)
+        for _ in range(AGAIN):
+            r, move = -weight * gap - times(x), np.zeros(senders)
+            d = g = back(r)
+            size = float(g @ g)
+            # Sums of terms of this size have no more digits.
+            rough = np.bincount(b, weight * np.abs(r), senders) + np.bincount(a, weight * np.abs(r), senders)
+            rough[0] = (weight * np.abs(r)).sum()
+            enough = max(1e-18 * size, 1e-30 * float(rough @ rough))
+            for _ in range(2 * senders):
+                if size <= enough or not size:
+                    break
+                q = times(d)
+                step = size / float(q @ q)
+                move, r = move + step * d, r - step * q
+                g = back(r)
+                size, last = float(g @ g), size
+                d = g + size / last * d
+            x = x + move
+            if np.abs(move).max() < 0.01:
                 break
-            q = times(d)
-            step = size / float(q @ q)
-            x, r = x + step * d, r - step * q
-            g = back(r)
-            size, last = float(g @ g), size
-            d = g + size / last * d
     x[0] = 0.0
     return x
 
 
 def _feasible(a: np.ndarray, b: np.ndarray, least: np.ndarray, x: np.ndarray) -> bool:
-    """Whether some clocks bring every reply after the turn before it: no cycle of least gaps is negative. Over ``DIRECT`` senders: whether those of ``x`` do."""
-    if len(x) > DIRECT:
-        return bool((least + x[b] - x[a] >= 0).all())
-    far = np.zeros(len(x))
-    for _ in range(len(x)):
+    """Whether some clocks bring every reply after the turn before it: no cycle of least gaps is negative.
+
+    Begun at the clocks ``x`` in whole microseconds, so all sums are exact. What each sender's bound last came
+    from is looked at in rounds 1, 2, 4 and so on: bounds that come from each other in a circle are a negative cycle.
+    """
+    far, source = -np.rint(x), np.full(len(x) + 1, len(x))
+    for k in range(len(x) + 1):
         nearer = far.copy()
         np.minimum.at(nearer, b, far[a] + least)
-        if (nearer == far).all():
+        moved = nearer < far
+        if not moved.any():
             return True
+        by = moved[b] & (far[a] + least == nearer[b])
+        source[b[by]] = a[by]
         far = nearer
+        if k & (k - 1) == 0:
+            at = source
+            for _ in range(len(x).bit_length()):
+                at = at[at]
+            if (at < len(x)).any():
+                return False
     return False
 
 
+def _offsets(a: list[str], b: list[str], n: np.ndarray, total: np.ndarray, least: np.ndarray) -> tuple[list[str], np.ndarray, bool]:
+    """Senders of a session, their offsets and whether clocks are feasible, whatever the order of its pairs."""
+    senders = sorted({*a, *b})
+    at = {s: i for i, s in enumerate(senders)}
+    a, b = (np.array([at[s] for s in c]) for c in (a, b))
+    order = np.lexsort((b, a))
+    a, b, n, total, least = a[order], b[order], n[order], total[order], least[order]
+    x = _least_squares(a, b, np.sqrt(n), total / n, len(senders))
+    return senders, np.rint(x).astype("i8"), _feasible(a, b, least, x)
+
+
 def _solve(stats: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Least-squares clock offsets of each session from (sender, next sender, count, sum, least gap)."""
     for batch in stats:
         out = []
         for sid, pairs in zip(batch["sid"], batch["pairs"]):
-            senders = sorted({p["a"] for p in pairs} | {p["b"] for p in pairs})
-            at = {s: i for i, s in enumerate(senders)}
-            a, b = (np.array([at[p[c]] for p in pairs]) for c in "ab")
             n, total, least = (np.array([p[c] for p in pairs], "f8") for c in ("n", "total", "least"))
-            x = _least_squares(a, b, np.sqrt(n), total / n, len(senders))
-            feasible = _feasible(a, b, least, x)
-            out += [(sid, s, int(round(x[i])), feasible) for s, i in at.items()]
+            senders, x, feasible = _offsets([p["a"] for p in pairs], [p["b"] for p in pairs], n, total, least)
+            out += [(sid, s, int(o), feasible) for s, o in zip(senders, x)]
         yield pd.DataFrame(out, columns=["sid", "speaker", "offset_us", "clocks_agree"])
 
 
+def _solve_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """As ``_solve`` from rows sorted by session."""
+    def solved(sid: bytes, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        p = pd.concat(parts)
+        senders, x, feasible = _offsets(p["a"].tolist(), p["b"].tolist(), *(p[c].to_numpy("f8") for c in ("n", "total", "least")))
+        return pd.DataFrame({"sid": [sid] * len(senders), "speaker": senders, "offset_us": x, "clocks_agree": feasible})
+
+    held, parts = None, []
+    for batch in batches:
+        for sid, part in batch.groupby("sid", sort=False):
+            if parts and sid != held:
+                yield solved(held, parts)
+                parts = []
+            held = sid
+            parts.append(part)
+    if parts:
+        yield solved(held, parts)
+
+
 def _solve_in_rounds(stats: DataFrame) -> DataFrame:
-    """As ``_solve`` for sessions of very many senders: each round moves every offset halfway to what its pairs ask for, ``ROUNDS`` times."""
-    mean = F.col("total") / F.col("n")
-    x = stats.select("sid", F.explode(F.array("a", "b")).alias("speaker")).distinct().withColumn("x", F.lit(0.0))
-
-    def met(x: DataFrame) -> DataFrame:
-        own = [x.select("sid", F.col("speaker").alias(s), F.col("x").alias(f"x{s}")) for s in "ab"]
-        return stats.join(own[0], ["sid", "a"]).join(own[1], ["sid", "b"])
-
-    for _ in range(ROUNDS):
-        e = met(x)
-        usual = e.groupBy("sid").agg((F.sum(F.col("n") * (mean + F.col("xb") - F.col("xa"))) / F.sum("n")).alias("usual"))
-        e = e.join(usual, "sid")
-        asks = F.explode(F.array(F.struct(F.col("b").alias("speaker"), (F.col("usual") - mean + F.col("xa")).alias("to")), F.struct(F.col("a").alias("speaker"), (mean + F.col("xb") - F.col("usual")).alias("to"))))
-        asked = e.select("sid", "n", asks.alias("s")).groupBy("sid", "s.speaker").agg((F.sum(F.col("n") * F.col("s.to")) / F.sum("n")).alias("to"))
-        x = x.join(asked, ["sid", "speaker"]).select("sid", "speaker", ((F.col("x") + F.col("to")) / 2).alias("x"))
-        x = cut(x)
-    agree = met(x).groupBy("sid").agg(F.min(F.col("least") + F.col("xb") - F.col("xa") >= 0).alias("clocks_agree"), F.min_by("xa", "a").alias("first"))
-    return x.join(agree, "sid").select("sid", "speaker", F.round(F.col("x") - F.col("first")).cast("bigint").alias("offset_us"), "clocks_agree")
+    """As ``_solve``, with the same results, for sessions of very many pairs: these come to their task in batches instead of as one row."""
+    return stats.repartition("sid").sortWithinPartitions("sid").mapInPandas(_solve_sorted, "sid binary, speaker string, offset_us bigint, clocks_agree boolean")
 
 
 def clock_offsets(turns: DataFrame) -> DataFrame:
