@@ -1,12 +1,15 @@
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from turnloom.llm import quantiles as Q
+from turnloom.llm.quantile_queries import LEVELS
 
 
 def error_of(node, count, leaves, level):
@@ -64,3 +67,16 @@ def test_stored_days_merge_like_the_whole_and_are_replaced_one_by_one(spark, tmp
     assert {r.n for r in store.of_period([0.5]).collect()} == {4000} and {(r.day is None, r.n) for r in store.by_day([0.5]).collect() if r.day is None} == {(True, 80)}
     store.publish(df.where("day = '2024-01-02'").limit(10), "ms")
     assert {str(r.day): r.n for r in store.by_day([0.5]).collect()}["2024-01-02"] == 10 and store.of_period([0.5], "2024-01-03", "2024-01-03").first().n == sum(r[1] == "2024-01-03" for r in rows)
+
+
+def test_percentiles_stand_for_every_answer_once(spark, tmp_path):
+    """Sent again in another spelling is one answer, not known to have arrived is one too; a row per model, day and level, and all days."""
+    day = [datetime(2024, 1, d, 5) for d in (1, 2)]
+    answers = [("q1", "HARROW ", day[0], day[0], 10.0), ("q1", "harrow", day[0], day[1], 30.0), ("q2", "harrow", day[1], None, 20.0)]
+    answers += [("q3", "pell", day[1], None, 70.0), ("q3", "pell", day[1], day[1], 50.0), ("q4", "pell", day[1], day[1], None)]
+    spark.createDataFrame([("r", *a) for a in answers], "run_id string, question_id string, answer_model string, answered_at timestamp_ntz, arrived_at timestamp_ntz, latency_ms double").write.parquet(f"{tmp_path}/answers.parquet")
+    spark.createDataFrame([(None, day[0], 5.0)], "answer_model string, prepared_at timestamp_ntz, preparation_latency_ms double").write.parquet(f"{tmp_path}/prepared_answers.parquet")
+    got = queries()["p3_percentiles"](spark, str(tmp_path)).collect()
+    first, second = (d.date() for d in day)
+    expected = {("answer", "harrow", first): (1, 30), ("answer", "harrow", second): (1, 20), ("answer", "harrow", None): (2, 20), ("answer", "pell", second): (1, 50), ("answer", "pell", None): (1, 50), ("preparation", "unknown", first): (1, 5), ("preparation", "unknown", None): (1, 5)}
+    assert {(r.kind, r.answer_model, r.day): (r.n, round(r.value)) for r in got if r.level == 0.5} == expected and len(got) == len(LEVELS) * len(expected)

@@ -15,12 +15,13 @@ LEVELS = [0.5, 0.9, 0.95, 0.99]
 
 
 def latencies(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, answer_model, day, ms): answers sent again count once; model names in one spelling, null as unknown."""
+    """(kind, answer_model, day, ms): answers sent again count once, in any spelling of the model, an unknown arrival as the first; null models as unknown."""
     model = F.coalesce(F.lower(F.trim("answer_model")), F.lit("unknown")).alias("answer_model")
     answers = table(spark, folder, "answers", "question_id", "run_id", "answer_model", "answered_at", "arrived_at", "latency_ms")
-    once = answers.groupBy("question_id", "run_id", "answer_model", "answered_at").agg(F.max_by("latency_ms", "arrived_at").alias("ms"))
+    arrival = F.coalesce("arrived_at", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")))  # max_by loses rows without one
+    once = answers.groupBy("question_id", "run_id", model, "answered_at").agg(F.max_by("latency_ms", arrival).alias("ms"))
     prepared = table(spark, folder, "prepared_answers", "answer_model", "prepared_at", "preparation_latency_ms")
-    return once.select(F.lit("answer").alias("kind"), model, F.to_date("answered_at").alias("day"), "ms").unionByName(
+    return once.select(F.lit("answer").alias("kind"), "answer_model", F.to_date("answered_at").alias("day"), "ms").unionByName(
         prepared.select(F.lit("preparation").alias("kind"), model, F.to_date("prepared_at").alias("day"), F.col("preparation_latency_ms").alias("ms"))
     )
 
