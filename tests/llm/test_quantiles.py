@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from turnloom.llm import quantiles as Q
-from turnloom.llm.quantile_queries import LEVELS
+from turnloom.llm.quantile_queries import LEVELS, latencies
 
 
 def error_of(node, count, leaves, level):
@@ -80,3 +80,15 @@ def test_percentiles_stand_for_every_answer_once(spark, tmp_path):
     first, second = (d.date() for d in day)
     expected = {("answer", "harrow", first): (1, 30), ("answer", "harrow", second): (1, 20), ("answer", "harrow", None): (2, 20), ("answer", "pell", second): (1, 50), ("answer", "pell", None): (1, 50), ("preparation", "unknown", first): (1, 5), ("preparation", "unknown", None): (1, 5)}
     assert {(r.kind, r.answer_model, r.day): (r.n, round(r.value)) for r in got if r.level == 0.5} == expected and len(got) == len(LEVELS) * len(expected)
+
+
+def test_copies_that_arrived_together_and_undated_answers(spark, tmp_path):
+    """Whatever their order, the slowest measured of such copies stands for the answer; undated ones are told from all days together."""
+    day = datetime(2024, 1, 1, 5)
+    answers = [("q1", day, day, 10.0), ("q1", day, day, 30.0), ("q2", day, day, 30.0), ("q2", day, day, 10.0), ("q3", day, None, 30.0), ("q3", day, None, math.nan), ("q4", day, None, None), ("q4", day, None, 30.0)]
+    answers += [("q5", None, day, 90.0)]
+    spark.createDataFrame([("r", "pell", *a) for a in answers], "run_id string, answer_model string, question_id string, answered_at timestamp_ntz, arrived_at timestamp_ntz, latency_ms double").coalesce(1).write.parquet(f"{tmp_path}/answers.parquet")
+    spark.createDataFrame([], "answer_model string, prepared_at timestamp_ntz, preparation_latency_ms double").write.parquet(f"{tmp_path}/prepared_answers.parquet")
+    assert {r.ms for r in latencies(spark, str(tmp_path)).where("day is not null").collect()} == {30.0}
+    got = queries()["p3_percentiles"](spark, str(tmp_path)).where("level = 0.5").collect()
+    assert sorted((r.period, str(r.day), r.n, round(r.value)) for r in got) == [("day", "2024-01-01", 4, 30), ("day", "None", 1, 90), ("whole", "None", 5, 30)]
